@@ -30,9 +30,12 @@ class RangeFilter:
 
     def predicate(self, df: DataFrame) -> Column | None:
         c = _q(self.column)
+        # plain comparisons on the raw column reach the parquet scan as
+        # pushed filters; the NaN guard is a separate conjunct
+        p = (c >= F.lit(self.low)) & (c <= F.lit(self.high))
         if isinstance(df.schema[self.column].dataType, (T.FloatType, T.DoubleType)):
-            c = F.nanvl(c, F.lit(None).cast("double"))
-        return c.between(F.lit(self.low), F.lit(self.high))
+            p = p & ~F.isnan(c)
+        return p
 
 
 @dataclass(frozen=True)

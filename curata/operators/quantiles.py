@@ -28,9 +28,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from ..session import materialize
 
-DEFAULT_EXACT_LIMIT = 1_000_000
+DEFAULT_EXACT_LIMIT = 50_000
 DEFAULT_BUCKETS = 4096
 BROADCAST_ROWS = 200_000
 MAX_ROUNDS = 64
@@ -126,11 +128,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     kn = [f"_k{i}" for i in range(len(keys))]
     v = F.col(value) if isinstance(value, str) else value
     v = v.cast("double")
-    data = (df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)], v.alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    projected = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)],
+                          F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
+    data = projected.where(F.col("_v").isNotNull())
     if stats is None:
-        stats = materialize(data.groupBy(*kn).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+        # over all rows, so groups without any value still get a (NULL) row
+        stats = materialize(projected.groupBy(*kn).agg(
+            F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
     else:
         cols = stats.columns
         stats = stats.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)],
@@ -144,7 +148,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                       F.col("_n").alias("_cnt")))
     found: list[DataFrame] = []
     for rnd in range(MAX_ROUNDS):
-        active = materialize(active, cut_lineage=rnd > 0 and rnd % 4 == 0)
+        active = active.persist(StorageLevel.MEMORY_AND_DISK)
+        if rnd > 0 and rnd % 4 == 0:
+            active = materialize(active, cut_lineage=True)
         c = active.agg(
             F.count_if(F.col("_a") == F.col("_b")).alias("const"),
             F.count_if((F.col("_a") != F.col("_b")) & (F.col("_cnt") <= exact_limit)).alias("small"),
