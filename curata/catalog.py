@@ -316,7 +316,8 @@ def prepared_orders(spark, sf):
     d = dirty_orders(spark, sf)
     recipe = CleaningRecipe(remove_duplicates=True, missing_strategy="median_mode",
                             handle_outliers=True, outlier_cols=("Total-Price ($)",),
-                            drop_rules=(DropRule("Status", ("P",)),))
+                            drop_rules=(DropRule("Status", ("P",)),),
+                            checkpoint_after_dedup=True)
     cleaned, log = recipe.apply(d)
     rules = FeatureRules(
         maps=[make_map_rule(cleaned, "total_price_", ">", "median", "price_flag", "high")],

@@ -22,15 +22,17 @@ MISSING_LABEL = "(Missing)"
 # Text forms of a missing cell in the reference's string casts.
 MISSING_TOKENS = ("nan", "<NA>", "None")
 
-# date/time layouts tried, in order, when text is read as time.
+# date/time layouts tried, in order, when text is read as time,
+# each with a regular expression every parseable text matches (checked first,
+# so texts that cannot parse never reach the parser).
 DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "yyyy-MM",
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"),
+    ("yyyy-MM-dd HH:mm", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$"),
+    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"),
+    ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
+    ("yyyy-MM", r"^[0-9]{4}-[0-9]{2}$"),
 )
 
 
@@ -120,9 +122,11 @@ def text_in(c: Column, dtype: T.DataType, values) -> Column:
 
 
 def parse_datetime(c: Column, formats=DATETIME_FORMATS) -> Column:
-    """Text to timestamp with the fixed layout list; unparseable gives NULL."""
+    """Text to timestamp with the fixed layout list; unparseable gives NULL.
+    A layout is only tried on text its pattern admits: a failed parse is
+    costly, a regular-expression test is not."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(f))) for f, rx in formats])
 
 
 def safe_name(value: str) -> str:

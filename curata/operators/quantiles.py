@@ -7,10 +7,14 @@ table would not fit. Here each quantile is found by rank instead:
 1. per group: ``n``, ``min``, ``max`` (partial aggregation, skew-safe);
 2. each quantile ``p`` needs the values of rank ``floor((n-1)p)`` and
    ``ceil((n-1)p)`` (the numpy/pandas "linear" rule);
-3. every wanted rank starts in the interval ``[min, max]``. While an interval
-   holds more than ``exact_limit`` rows it is cut into ``buckets`` equal-width
-   buckets, counted with a partial aggregate, and the rank moves into the
-   bucket that contains it (interval = that bucket's own min and max);
+3. the first pass needs no statistics: values are counted per monotone
+   "octave" bucket (binary exponent plus the top mantissa bits), in the same
+   partial aggregate that yields the group's count, min and max (and, for
+   summaries, sums and variances). Each wanted rank is located in its bucket.
+   While an interval holds more than ``exact_limit`` rows it is cut into
+   ``buckets`` equal-width buckets, counted with a partial aggregate, and the
+   rank moves into the bucket that contains it (interval = that bucket's own
+   min and max);
 4. once an interval holds at most ``exact_limit`` rows its distinct values are
    counted and ranked with a window whose partition is that interval only.
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pyspark import StorageLevel
 
-from ..session import materialize
+from ..session import materialize, materialize_counted
 
 DEFAULT_EXACT_LIMIT = 50_000
 DEFAULT_BUCKETS = 4096
@@ -110,18 +114,75 @@ def _split_pass(data: DataFrame, tg: DataFrame, kn: list[str], n_tg: int,
                       F.col("_c").alias("_cnt"))
 
 
+OCTAVE_BITS = 8
+
+
+def octave_bucket(v: Column) -> Column:
+    """Monotone bucket id of a double: its binary exponent and the top
+    ``OCTAVE_BITS`` bits of its mantissa (sign-mirrored for negatives, 0 for
+    zero). Exact: ``pow(2, e)`` is exact for integer ``e`` and the exponent
+    from ``log2`` is corrected by one where rounding put it off."""
+    a = F.abs(v)
+    e0 = F.floor(F.log2(a))
+    p0 = F.pow(F.lit(2.0), e0)
+    e = F.when(p0 > a, e0 - 1).when(p0 * 2.0 <= a, e0 + 1).otherwise(e0)
+    m = a / F.pow(F.lit(2.0), e)
+    sub = F.floor((m - 1.0) * float(1 << OCTAVE_BITS))
+    mag = (e + 1100) * (1 << OCTAVE_BITS) + sub + 1
+    return F.when(v == 0, F.lit(0)).when(v > 0, mag).otherwise(-mag).cast("long")
+
+
+def octave_histogram(projected: DataFrame, kn: list[str], moments: bool) -> DataFrame:
+    """One partial aggregate per (group, octave bucket): count, min, max and,
+    for summaries, sum and population variance. Rows whose value is missing
+    land in a NULL bucket with count 0, so every group appears."""
+    aggs = [F.count("_v").alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
+    if moments:
+        aggs += [F.sum("_v").alias("_s"), F.var_pop("_v").alias("_vp")]
+    return projected.groupBy(*kn, octave_bucket(F.col("_v")).alias("_bk")).agg(*aggs)
+
+
+def moments_from_histogram(hist: DataFrame, kn: list[str]) -> DataFrame:
+    """count, min, max, mean and sample sd per group, merged from the bucket
+    table with the parallel-variance rule (stable, no sum of squares)."""
+    g = Window.partitionBy(*kn)
+    n = F.sum("_c").over(g)
+    mean = F.try_divide(F.sum("_s").over(g), n)
+    with_mean = hist.select(*kn, "_c", "_bmin", "_bmax", "_s", "_vp", n.alias("_n"),
+                            mean.alias("_mean"))
+    dev = F.try_divide(F.col("_s"), F.col("_c")) - F.col("_mean")
+    m2 = F.when(F.col("_c") > 0, F.col("_vp") * F.col("_c") + F.col("_c") * dev * dev)
+    agg = with_mean.groupBy(*kn).agg(
+        F.sum("_c").alias("count"), F.min("_bmin").alias("min"), F.max("_bmax").alias("max"),
+        F.first("_mean", ignorenulls=True).alias("mean"), F.sum(m2).alias("_m2"))
+    sd = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("_m2"), F.col("count") - 1)))
+    return agg.select(*kn, "count", "min", "max", "mean", sd.alias("sd"))
+
+
+def _locate(hist: DataFrame, targets: DataFrame, kn: list[str], n_tg: int) -> DataFrame:
+    """Move each wanted rank into the octave bucket that holds it."""
+    w = (Window.partitionBy(*kn).orderBy("_bk")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    h = (hist.where(F.col("_c") > 0)
+         .withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c")))
+    want = broadcast_if_small(targets.select(*kn, "_r"), n_tg)
+    hit = null_safe_join(h, want, kn, extra=lambda l, r: (r("_r") >= l("_lo")) & (r("_r") < l("_hi")))
+    return hit.select(*kn, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
+                      (F.col("_r") - F.col("_lo")).alias("_rel"), F.col("_c").alias("_cnt"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                     probs: Sequence[float], names: Sequence[str] | None = None,
-                    stats: DataFrame | None = None,
+                    moments: bool = False,
                     exact_limit: int = DEFAULT_EXACT_LIMIT,
                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` (linear interpolation between
     closest ranks, as numpy/pandas/DuckDB ``quantile_cont``).
 
-    Missing and NaN values are ignored. ``stats`` may supply the per-group
-    ``(keys..., n, min, max)`` of the non-missing values when the caller has it
-    already. Returns ``keys`` plus one double column per probability (named
-    ``names`` or ``q0, q1, ...``); groups without values give NULL.
+    Missing and NaN values are ignored; a group without values gets NULLs.
+    Returns ``keys`` plus one double column per probability (named ``names``
+    or ``q0, q1, ...``); with ``moments`` also ``count, min, max, mean, sd``
+    (sample sd) from the same first pass.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
@@ -131,21 +192,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     projected = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)],
                           F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
     data = projected.where(F.col("_v").isNotNull())
-    if stats is None:
-        # over all rows, so groups without any value still get a (NULL) row
-        stats = materialize(projected.groupBy(*kn).agg(
-            F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+
+    hist = materialize(octave_histogram(projected, kn, moments))
+    if moments:
+        base, n_groups = materialize_counted(moments_from_histogram(hist, kn))
+        counts = base.select(*kn, F.col("count").alias("_n"))
     else:
-        cols = stats.columns
-        stats = stats.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)],
-                             F.col(cols[len(keys)]).cast("long").alias("_n"),
-                             F.col(cols[len(keys) + 1]).cast("double").alias("_a"),
-                             F.col(cols[len(keys) + 2]).cast("double").alias("_b"))
-
-    active = (stats.where(F.col("_n") > 0)
-              .select(*kn, "_n", "_a", "_b", F.explode(_rank_exprs(probs)).alias("_r"))
-              .select(*kn, "_r", "_a", "_b", F.col("_r").alias("_rel"),
-                      F.col("_n").alias("_cnt")))
+        base, n_groups = materialize_counted(hist.groupBy(*kn).agg(F.sum("_c").alias("_n")))
+        counts = base
+    n_tg = n_groups * 2 * len(probs)
+    targets = (counts.where(F.col("_n") > 0)
+               .select(*kn, F.explode(_rank_exprs(probs)).alias("_r")))
+    active = _locate(hist, targets, kn, n_tg)
+
     found: list[DataFrame] = []
     for rnd in range(MAX_ROUNDS):
         active = active.persist(StorageLevel.MEMORY_AND_DISK)
@@ -175,16 +234,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
             allv = allv.unionByName(f)
         ranked = allv.groupBy(*kn).agg(
             F.map_from_entries(F.collect_list(F.struct("_r", "_val"))).alias("_m"))
-        out = null_safe_join(stats.select(*kn, "_n"), ranked, kn, how="left")
+        out = null_safe_join(base, broadcast_if_small(ranked, n_groups), kn, how="left")
     else:
-        out = stats.select(*kn, "_n").withColumn("_m", F.lit(None).cast("map<bigint,double>"))
+        out = base.withColumn("_m", F.lit(None).cast("map<bigint,double>"))
+    n = F.col("count") if moments else F.col("_n")
     qcols = []
     for p, name in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (n - 1) * F.lit(float(p))
         lo = F.floor(h).cast("long")
         hi = F.ceil(h).cast("long")
         vlo = F.try_element_at(F.col("_m"), lo)
         vhi = F.try_element_at(F.col("_m"), hi)
-        q = F.when(F.col("_n") > 0, vlo + (vhi - vlo) * (h - lo))
-        qcols.append(q.alias(name))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, kn)], *qcols)
+        qcols.append(F.when(n > 0, vlo + (vhi - vlo) * (h - lo)).alias(name))
+    extra = [F.col(c) for c in ("count", "min", "max", "mean", "sd")] if moments else []
+    return out.select(*[F.col(n_).alias(k) for k, n_ in zip(keys, kn)], *extra, *qcols)

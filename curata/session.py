@@ -84,3 +84,9 @@ def materialize(df: DataFrame, cut_lineage: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
     df.count()
     return df
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` that also returns the row count (one job for both)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
