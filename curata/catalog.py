@@ -59,6 +59,13 @@ def q_num_summary_filtered(spark, sf):
     return summary.numerical_summary(d, ["Total-Price ($)", "Sparse"], ["Priority"])
 
 
+def q_num_summary_levels(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    binned = apply_bin(li, make_bin_rule(li, "l_quantity", [10, 10.5, 20], "qty_bin"))
+    return summary.numerical_summary(binned, ["l_extendedprice"], ["qty_bin"],
+                                     include_empty_levels=True)
+
+
 def q_filter_status(spark, sf):
     return filter_status(dirty_orders(spark, sf), summary_filters())
 
@@ -344,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "num_summary": q_num_summary,
     "num_summary_grouped": q_num_summary_grouped,
     "num_summary_filtered": q_num_summary_filtered,
+    "num_summary_levels": q_num_summary_levels,
     "filter_status": q_filter_status,
     "cat_summary": q_cat_summary,
     "cat_top_n": q_cat_top_n,

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import roles
 from ..functions.exprs import clean_numeric, label_missing, parse_datetime, zero_sign
+from ..session import materialize_counted
 from .quantiles import BROADCAST_ROWS, exact_quantiles, null_safe_join
 
 DEFAULT_BINS = 30
@@ -32,9 +33,11 @@ def _group_label(df: DataFrame, group_by: str | None) -> Column:
     return label_missing(_q(group_by), df.schema[group_by].dataType)
 
 
-def _checked_broadcast(small: DataFrame, upper_bound_rows: DataFrame | int) -> DataFrame:
-    """Broadcast a per-group table only when its measured size is bounded."""
-    n = upper_bound_rows if isinstance(upper_bound_rows, int) else upper_bound_rows.count()
+def _checked_broadcast(small: DataFrame) -> DataFrame:
+    """Compute a per-group table once (persisted) and broadcast it only when
+    its measured row count is under the bound; otherwise Catalyst / AQE pick
+    a shuffle join."""
+    small, n = materialize_counted(small)
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
@@ -48,15 +51,19 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS,
     x = clean_numeric(df, column)
     grouped = bool(group_by and group_by in df.columns)
     base = df.select(x.alias("x"), _group_label(df, group_by).alias("group")).where(F.col("x").isNotNull())
-    rng = base.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo = rng.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5)
-                    .otherwise(F.col("lo"))).scalar()
-    hi = rng.select(F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5)
-                    .otherwise(F.col("hi"))).scalar()
+    # fit: the edges are one row of two numbers, used as literals afterwards
+    r = base.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if r["lo"] is None:
+        lo, hi = 0.0, 1.0                      # no values: every bin empty
+    elif r["lo"] == r["hi"]:
+        lo, hi = r["lo"] - 0.5, r["hi"] + 0.5
+    else:
+        lo, hi = float(r["lo"]), float(r["hi"])
+    lo, hi = F.lit(lo), F.lit(hi)
     idx = F.least(F.greatest(F.floor((F.col("x") - lo) * (F.lit(float(bins)) / (hi - lo))),
                              F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = base.groupBy("group", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    groups = base.select("group").distinct()
+    groups = counts.select("group").distinct()
     grid = groups.select("group", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = null_safe_join(grid, counts, ["group", "bin"], how="left")
     width = (hi - lo) / F.lit(float(bins))
@@ -100,7 +107,7 @@ def density(df: DataFrame, column: str, group_by: str | None = None, bw_adjust:
                          (F.col("mn") - F.lit(cut) * bw).alias("glo"),
                          (F.col("mx") + F.lit(cut) * bw).alias("ghi"))
     weights = base.groupBy("group", "x").agg(F.count(F.lit(1)).alias("w"))
-    stats_b = _checked_broadcast(stats, stats.count())
+    stats_b = _checked_broadcast(stats)
     j = null_safe_join(weights, stats_b, ["group"])
     step = (F.col("ghi") - F.col("glo")) / F.lit(float(gridsize - 1))
     pts = j.select("group", "x", "w", "n", "bw", "glo", "ghi",
@@ -131,7 +138,7 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) ->
     fences = qs.select("group", "q1", "median", "q3",
                        (F.col("q1") - F.lit(whis) * iqr).alias("flo"),
                        (F.col("q3") + F.lit(whis) * iqr).alias("fhi"))
-    j = null_safe_join(base, _checked_broadcast(fences, fences.count()), ["group"])
+    j = null_safe_join(base, _checked_broadcast(fences), ["group"])
     inside = (F.col("y") >= F.col("flo")) & (F.col("y") <= F.col("fhi"))
     agg = j.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
@@ -155,7 +162,7 @@ def box_outliers(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5)
     iqr = F.col("q3") - F.col("q1")
     fences = qs.select("group", (F.col("q1") - F.lit(whis) * iqr).alias("flo"),
                        (F.col("q3") + F.lit(whis) * iqr).alias("fhi"))
-    j = null_safe_join(base, _checked_broadcast(fences, fences.count()), ["group"])
+    j = null_safe_join(base, _checked_broadcast(fences), ["group"])
     out = j.where((F.col("y") < F.col("flo")) | (F.col("y") > F.col("fhi"))).select("group", "y")
     out = out.withColumnRenamed("y", y)
     return out.withColumnRenamed("group", x) if grouped else out.drop("group")
@@ -209,6 +216,29 @@ def datetime_report(df: DataFrame, columns: Sequence[str] | None = None,
                        F.coalesce(share >= F.lit(threshold), F.lit(False)).alias("is_datetime"))
 
 
+def datetime_columns(df: DataFrame, threshold: float = 0.8) -> list[str]:
+    """Columns that are date/time typed or date/time-like text (one aggregate
+    for all text columns)."""
+    rep = datetime_report(df, threshold=threshold).collect()        # one row per column
+    like = {r["column"] for r in rep if r["is_datetime"]}
+    return [c for c in df.columns if c in like]
+
+
+def line_x_choices(df: DataFrame) -> list[str]:
+    """Columns a line plot may use as x: date/time-like first, then numeric."""
+    dts = datetime_columns(df)
+    return dts + [c for c in roles.numeric_columns(df) if c not in dts]
+
+
+def box_points(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
+    """The raw points drawn over a box plot: ``[x,] y`` of every non-missing y
+    (missing categories labelled). All rows: nothing is sampled."""
+    grouped = bool(x and x in df.columns)
+    out = df.select(_group_label(df, x).alias("group"), clean_numeric(df, y).alias(y)) \
+        .where(F.col(f"`{y}`").isNotNull())
+    return out.withColumnRenamed("group", x) if grouped else out.drop("group")
+
+
 def coerce_datetime(df: DataFrame, column: str) -> Column:
     """The column as a timestamp when it is date/time-like, else unchanged."""
     f = df.schema[column]

@@ -254,12 +254,29 @@ def _filter_pred() -> str:
             '("Priority" IN (\'1-URGENT\', \'2-HIGH\') OR "Priority" IS NULL)')
 
 
+def _levels_sql() -> str:
+    prefix = """st AS (SELECT MIN(l_quantity) AS mn, MAX(l_quantity) AS mx FROM lineitem),
+b AS (SELECT CASE WHEN l_quantity >= mn AND l_quantity <= 10.0 THEN CAST(mn AS VARCHAR) || '-10.0'
+                  WHEN l_quantity > 10.0 AND l_quantity <= 10.5 THEN '10.0-10.5'
+                  WHEN l_quantity > 10.5 AND l_quantity <= 20.0 THEN '10.5-20.0'
+                  WHEN l_quantity > 20.0 AND l_quantity <= mx THEN '20.0-' || CAST(mx AS VARCHAR) END AS qty_bin,
+             l_extendedprice FROM lineitem, st),
+levels AS (SELECT CAST(mn AS VARCHAR) || '-10.0' AS qty_bin FROM st UNION ALL SELECT '10.0-10.5'
+           UNION ALL SELECT '10.5-20.0' UNION ALL SELECT '20.0-' || CAST(mx AS VARCHAR) FROM st),
+s AS (""" + num_summary_sql("b", ["l_extendedprice"], ["qty_bin"]) + ")"
+    return f"""WITH {prefix}
+SELECT levels.qty_bin, 'l_extendedprice' AS variable, COALESCE(s.count, 0) AS count, s.min, s."Q1",
+  s.median, s.mean, s."Q3", s.max, s.sd
+FROM levels LEFT JOIN s ON levels.qty_bin IS NOT DISTINCT FROM s.qty_bin"""
+
+
 SQL: dict[str, str] = {
     "num_summary": num_summary_sql("lineitem", LINE_NUMS, []),
     "num_summary_grouped": num_summary_sql("lineitem", LINE_NUMS, ["l_returnflag", "l_linestatus"]),
     "num_summary_filtered": num_summary_sql(
         f"(SELECT * FROM dirty WHERE {_filter_pred()}) AS f", ["Total-Price ($)", "Sparse"],
         ["Priority"], DIRTY),
+    "num_summary_levels": _levels_sql(),
     "filter_status": f"""WITH {DIRTY}
 SELECT COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE {_filter_pred()}) AS rows_after FROM dirty""",
     "cat_summary": cat_summary_sql("orders", "o_orderpriority"),

@@ -82,3 +82,11 @@ def test_correlation_and_regression(spark):
     assert sm["histograms"].count() == 36 and sm["correlations"].count() == 1
     with pytest.raises(ValueError):
         corr.scatter_matrix_data(df, [])
+
+
+def test_datetime_columns_and_points(spark):
+    df = spark.createDataFrame([("2024-01-02", 1.0, "a"), ("2024-02-01", None, None)], "d string, y double, c string")
+    assert plotdata.datetime_columns(df) == ["d"]
+    assert plotdata.line_x_choices(df) == ["d", "y"]
+    pts = plotdata.box_points(df, "y", "c").collect()
+    assert [(r["c"], r["y"]) for r in pts] == [("a", 1.0)]
