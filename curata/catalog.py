@@ -296,6 +296,12 @@ def q_line(spark, sf):
     return _round_cols(ln, {"y_mean": 6})
 
 
+def q_line_day(spark, sf):
+    e = table(spark, sf, "events").select(F.date_trunc("DAY", "ts").alias("day"), "event_type", "value")
+    ln = plotdata.line_series(e, "day", "value", "event_type")
+    return _round_cols(ln, {"y_mean": 6})
+
+
 def q_datetime_detect(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority", "o_orderstatus")
@@ -393,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "box_outliers": q_box_outliers,
     "bar": q_bar,
     "line_orders": q_line,
+    "line_day": q_line_day,
     "datetime_detect": q_datetime_detect,
     "corr_matrix": q_corr_matrix,
     "pair_regression": q_pair_regression,

@@ -377,6 +377,8 @@ GROUP BY 1 ORDER BY count DESC, category""",
     "line_orders": f"""SELECT o_orderstatus, o_orderdate, {r('AVG(o_totalprice)', 6)} AS y_mean, COUNT(*) AS n
 FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL
 GROUP BY o_orderstatus, o_orderdate ORDER BY 1, 2""",
+    "line_day": f"""SELECT event_type, date_trunc('day', ts) AS day, {r('AVG(value)', 6)} AS y_mean, COUNT(*) AS n
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2 ORDER BY 1, 2""",
     "datetime_detect": f"""WITH t AS (SELECT CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority, o_orderstatus FROM orders),
 c AS (
   SELECT 'o_orderdate' AS "column", COUNT(o_orderdate) AS non_missing, COUNT({_parses('o_orderdate')}) AS parsed FROM t

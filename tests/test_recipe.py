@@ -59,3 +59,19 @@ def test_fitted_replays_on_other_table_and_stream(spark, raw, tmp_path):
 def test_prepare_workflow(spark, raw):
     p = prepare(raw, CleaningRecipe(remove_duplicates=True), FeatureRules(logs=[make_log2_rule("price_", "lp")]))
     assert p.features.columns[-1] == "lp" and p.cleaned.count() == 6 and p.rule_errors == []
+
+
+def test_stream_dedup_within_watermark(spark, tmp_path):
+    rows = [(1, "a", "2024-01-01 00:00:00"), (1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "k int, s string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    fitted = CleaningRecipe(remove_duplicates=True).fit(df)
+    src = tmp_path / "ev"
+    df.write.parquet(str(src))
+    stream = spark.readStream.schema(df.schema).parquet(str(src))
+    out = clean_stream(stream, fitted, event_time="t", delay="1 hour")
+    q = out.writeStream.format("memory").queryName("dedup_stream").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("SELECT * FROM dedup_stream").count() == 2
+    with pytest.raises(ValueError):
+        clean_stream(stream, fitted)
