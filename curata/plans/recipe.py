@@ -181,7 +181,9 @@ class CleaningRecipe:
             before = cur
             cur = run("dedup", clean.drop_duplicates)
             if self.checkpoint_after_dedup:
-                cur = materialize(cur)
+                # every later fit reads this table: write it once to the
+                # shared checkpoint folder instead of re-running the shuffle
+                cur = materialize(cur, cut_lineage=True)
             log.add("dedup", True, "Removed {removed} duplicate row(s).", before, cur)
         else:
             log.add("dedup", False, "Duplicates kept.")

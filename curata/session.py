@@ -60,10 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    root = checkpoint_root(spark)
+    """A fresh path for a written table: under the shared checkpoint folder,
+    or, when the session names none, under the warehouse folder (also shared
+    on a cluster). Never a machine-local temporary folder."""
+    root = checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is needed")
+        raise RuntimeError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir is set")
     return f"{root.rstrip('/')}/curata-{name}-{uuid.uuid4().hex}"
 
 

@@ -50,3 +50,12 @@ def test_filter_pushed_to_scan(spark):
     plan = filter_range(li, "l_quantity", 5, 10).select("l_tax")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,5.0)" in plan
     assert "ReadSchema: struct<l_quantity:double,l_tax:double>" in plan
+
+
+def test_no_single_partition_windows_or_cartesian(spark):
+    import re
+    for name in ["num_summary_grouped", "box", "density", "hist_by", "clean_engineer_summary",
+                 "impute_median", "overview", "cat_summary"]:
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Window \[[^\n]*\], \[\], ", plan), name
+        assert "CartesianProduct" not in plan, name
