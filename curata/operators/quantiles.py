@@ -117,19 +117,43 @@ def _split_pass(data: DataFrame, tg: DataFrame, kn: list[str], n_tg: int,
 OCTAVE_BITS = 8
 
 
-def octave_bucket(v: Column) -> Column:
-    """Monotone bucket id of a double: its binary exponent and the top
-    ``OCTAVE_BITS`` bits of its mantissa (sign-mirrored for negatives, 0 for
-    zero). Exact: ``pow(2, e)`` is exact for integer ``e`` and the exponent
-    from ``log2`` is corrected by one where rounding put it off."""
-    a = F.abs(v)
-    e0 = F.floor(F.log2(a))
-    p0 = F.pow(F.lit(2.0), e0)
-    e = F.when(p0 > a, e0 - 1).when(p0 * 2.0 <= a, e0 + 1).otherwise(e0)
-    m = a / F.pow(F.lit(2.0), e)
-    sub = F.floor((m - 1.0) * float(1 << OCTAVE_BITS))
-    mag = (e + 1100) * (1 << OCTAVE_BITS) + sub + 1
-    return F.when(v == 0, F.lit(0)).when(v > 0, mag).otherwise(-mag).cast("long")
+def _pow2(e: Column) -> Column:
+    """Exactly 2^e for an integer column e: integer shifts where they fit
+    (cheap), ``pow`` only beyond 2^+-62."""
+    one = F.lit(1).cast("long")
+
+    def shl(k: Column) -> Column:          # shift amount is a column here
+        return F.call_function("shiftleft", one, k.cast("int")).cast("double")
+    return (F.when((e >= 0) & (e <= 62), shl(e))
+            .when((e < 0) & (e >= -62), F.lit(1.0) / shl(-e))
+            .otherwise(F.pow(F.lit(2.0), e)))
+
+
+def with_octave_bucket(df: DataFrame, v: str = "_v", out: str = "_bk") -> DataFrame:
+    """Add the monotone bucket id of the double ``v``: its binary exponent and
+    the top ``OCTAVE_BITS`` bits of its mantissa (sign-mirrored for negatives,
+    0 for zero, NULL for NULL).
+
+    Exact: the exponent estimate from one ``ln`` is corrected by one where
+    rounding put it off, powers of two are exact, and dividing by one is
+    exact, so bucket order is value order. The steps are separate projections
+    so that Catalyst keeps the one ``ln`` per row instead of inlining it into
+    every branch that uses the exponent.
+    """
+    a = F.abs(F.col(v))
+    est = F.floor(F.ln(a) * F.lit(1.4426950408889634))                       # 1 / ln(2)
+    step1 = df.withColumn("__e0", F.least(F.greatest(est, F.lit(-1074)), F.lit(1023)))
+    step2 = step1.withColumn("__p0", _pow2(F.col("__e0")))
+    p0, e0 = F.col("__p0"), F.col("__e0")
+    low, high = p0 > a, p0 * 2.0 <= a
+    step3 = step2.select(
+        "*", F.when(low, e0 - 1).when(high, e0 + 1).otherwise(e0).alias("__e"),
+        F.when(low, p0 * 0.5).when(high, p0 * 2.0).otherwise(p0).alias("__p"))
+    sub = F.floor((a / F.col("__p") - 1.0) * float(1 << OCTAVE_BITS))
+    mag = (F.col("__e") + 1100) * (1 << OCTAVE_BITS) + sub + 1
+    val = F.col(v)
+    bucket = F.when(val == 0, F.lit(0)).when(val > 0, mag).otherwise(-mag).cast("long")
+    return step3.withColumn(out, bucket).drop("__e0", "__p0", "__e", "__p")
 
 
 def octave_histogram(projected: DataFrame, kn: list[str], moments: bool) -> DataFrame:
@@ -139,7 +163,7 @@ def octave_histogram(projected: DataFrame, kn: list[str], moments: bool) -> Data
     aggs = [F.count("_v").alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
     if moments:
         aggs += [F.sum("_v").alias("_s"), F.var_pop("_v").alias("_vp")]
-    return projected.groupBy(*kn, octave_bucket(F.col("_v")).alias("_bk")).agg(*aggs)
+    return with_octave_bucket(projected).groupBy(*kn, "_bk").agg(*aggs)
 
 
 def moments_from_histogram(hist: DataFrame, kn: list[str]) -> DataFrame:

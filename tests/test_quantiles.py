@@ -43,3 +43,18 @@ def test_property_integers(spark, xs):
     df = spark.createDataFrame([(float(x),) for x in xs], "v double").selectExpr("'k' AS g", "v")
     r = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], exact_limit=4, buckets=3).first()
     assert [r["q0"], r["q1"], r["q2"]] == pytest.approx(_expected(xs, [0.1, 0.5, 0.9]))
+
+
+def test_octave_bucket_is_monotone_on_awkward_doubles(spark):
+    import math
+    from curata.operators.quantiles import with_octave_bucket
+    vals = {0.0, 5e-324, 1.7976931348623157e308}
+    for k in range(-1074, 1024, 3):
+        p = math.ldexp(1.0, k)
+        for x in (p, math.nextafter(p, 0), math.nextafter(p, math.inf), p * 1.5):
+            if math.isfinite(x):
+                vals.update((x, -x))
+    df = spark.createDataFrame([(v,) for v in sorted(vals)], "_v double")
+    rows = with_octave_bucket(df).orderBy("_v").collect()
+    assert all(a["_bk"] <= b["_bk"] for a, b in zip(rows, rows[1:]))
+    assert all(r["_bk"] is not None for r in rows)
