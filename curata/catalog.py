@@ -330,7 +330,7 @@ def prepared_orders(spark, sf):
     recipe = CleaningRecipe(remove_duplicates=True, missing_strategy="median_mode",
                             handle_outliers=True, outlier_cols=("Total-Price ($)",),
                             drop_rules=(DropRule("Status", ("P",)),),
-                            checkpoint_after_dedup=True)
+                            keep_after_dedup="persist")
     cleaned, log = recipe.apply(d)
     rules = FeatureRules(
         maps=[make_map_rule(cleaned, "total_price_", ">", "median", "price_flag", "high")],

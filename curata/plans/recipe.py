@@ -27,6 +27,7 @@ from ..session import materialize
 MISSING_STRATEGIES = ("none", "drop_rows", "drop_cols", "mean_mode", "median_mode")
 SCALING_METHODS = ("none", "standard", "minmax")
 OUTLIER_ACTIONS = ("cap", "remove")
+KEEP_MODES = ("none", "persist", "write")
 
 
 @dataclass
@@ -113,7 +114,7 @@ class CleaningRecipe:
     outlier_action: str = "cap"
     iqr_multiplier: float = 1.5
     drop_rules: tuple = ()
-    checkpoint_after_dedup: bool = False    # write the deduplicated table once
+    keep_after_dedup: str = "none"          # "none" | "persist" | "write" (see below)
 
     def __post_init__(self):
         if self.missing_strategy not in MISSING_STRATEGIES:
@@ -124,6 +125,8 @@ class CleaningRecipe:
             raise ValueError(f"outlier_action must be one of {OUTLIER_ACTIONS}")
         if self.dtype_target not in clean.CAST_TARGETS:
             raise ValueError(f"dtype_target must be one of {clean.CAST_TARGETS}")
+        if self.keep_after_dedup not in KEEP_MODES:
+            raise ValueError(f"keep_after_dedup must be one of {KEEP_MODES}")
 
     # rule list editing: add, delete, enable / disable
     def with_rule(self, rule: DropRule) -> CleaningRecipe:
@@ -180,10 +183,12 @@ class CleaningRecipe:
         if self.remove_duplicates:
             before = cur
             cur = run("dedup", clean.drop_duplicates)
-            if self.checkpoint_after_dedup:
-                # every later fit reads this table: write it once to the
-                # shared checkpoint folder instead of re-running the shuffle
-                cur = materialize(cur, cut_lineage=True)
+            if self.keep_after_dedup != "none":
+                # every later fit reads this table: keep it instead of
+                # re-running the shuffle per fit. "persist" caches it (lost
+                # blocks are recomputed from lineage); "write" writes it as
+                # parquet to the shared folder and restarts the plan there
+                cur = materialize(cur, cut_lineage=self.keep_after_dedup == "write")
             log.add("dedup", True, "Removed {removed} duplicate row(s).", before, cur)
         else:
             log.add("dedup", False, "Duplicates kept.")

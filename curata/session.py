@@ -70,20 +70,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, cut_lineage: bool = False) -> DataFrame:
-    """Compute a small intermediate table once and keep it.
-
-    The table is persisted (memory, spilling to disk); if an executor is lost
-    its blocks are recomputed from lineage. With ``cut_lineage`` (long
-    iterative loops) it is also written with a reliable ``checkpoint()`` into
-    the shared folder named by ``spark.checkpoint.dir`` -- never
-    ``localCheckpoint`` -- reading from the cache, so the plan runs once.
+    """Compute an intermediate table once and keep it.
+
+    By default the table is persisted (memory, spilling to disk); if an
+    executor is lost its blocks are recomputed from lineage. With
+    ``cut_lineage`` the table is written as parquet under the shared folder
+    named by ``spark.checkpoint.dir`` (or the warehouse folder) and read back:
+    the plan restarts from those files, which survive executor loss, stay
+    columnar (later reads prune columns) and keep column metadata. Never
+    ``localCheckpoint``.
     """
     spark = df.sparkSession
+    if cut_lineage and (checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir", None)):
+        path = scratch_path(spark, "table")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cut_lineage and checkpoint_root(spark):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-        return df.checkpoint(eager=True)
     df.count()
     return df
 
