@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pyspark import StorageLevel
 
-from ..session import materialize, materialize_counted
+from ..session import materialize
 
 DEFAULT_EXACT_LIMIT = 50_000
 DEFAULT_BUCKETS = 4096
@@ -183,14 +183,18 @@ def moments_from_histogram(hist: DataFrame, kn: list[str]) -> DataFrame:
     return agg.select(*kn, "count", "min", "max", "mean", sd.alias("sd"))
 
 
-def _locate(hist: DataFrame, targets: DataFrame, kn: list[str], n_tg: int) -> DataFrame:
-    """Move each wanted rank into the octave bucket that holds it."""
-    w = (Window.partitionBy(*kn).orderBy("_bk")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _locate(hist: DataFrame, kn: list[str], probs: Sequence[float]) -> DataFrame:
+    """Wanted ranks of every group, each moved into the octave bucket that
+    holds it, from the (small) bucket table alone: running and total counts
+    come from windows over one group's buckets."""
+    g = Window.partitionBy(*kn)
+    w = g.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = (hist.where(F.col("_c") > 0)
-         .withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c")))
-    want = broadcast_if_small(targets.select(*kn, "_r"), n_tg)
-    hit = null_safe_join(h, want, kn, extra=lambda l, r: (r("_r") >= l("_lo")) & (r("_r") < l("_hi")))
+         .select(*kn, "_bk", "_c", "_bmin", "_bmax",
+                 F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(g).alias("_n")))
+    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))
+    hit = (h.select("*", F.explode(_rank_exprs(probs)).alias("_r"))
+           .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))))
     return hit.select(*kn, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
                       (F.col("_r") - F.col("_lo")).alias("_rel"), F.col("_c").alias("_cnt"))
 
@@ -217,28 +221,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                           F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
     data = projected.where(F.col("_v").isNotNull())
 
-    hist = materialize(octave_histogram(projected, kn, moments))
+    # persisted lazily: the first action below fills it, later uses read it
+    hist = octave_histogram(projected, kn, moments).persist(StorageLevel.MEMORY_AND_DISK)
     if moments:
-        base, n_groups = materialize_counted(moments_from_histogram(hist, kn))
-        counts = base.select(*kn, F.col("count").alias("_n"))
+        base = moments_from_histogram(hist, kn)
     else:
-        base, n_groups = materialize_counted(hist.groupBy(*kn).agg(F.sum("_c").alias("_n")))
-        counts = base
-    n_tg = n_groups * 2 * len(probs)
-    targets = (counts.where(F.col("_n") > 0)
-               .select(*kn, F.explode(_rank_exprs(probs)).alias("_r")))
-    active = _locate(hist, targets, kn, n_tg)
+        base = hist.groupBy(*kn).agg(F.sum("_c").alias("_n"))
+    active = _locate(hist, kn, probs)
 
     found: list[DataFrame] = []
+    n_tg = None
     for rnd in range(MAX_ROUNDS):
         active = active.persist(StorageLevel.MEMORY_AND_DISK)
         if rnd > 0 and rnd % 4 == 0:
             active = materialize(active, cut_lineage=True)
         c = active.agg(
+            F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("_a") == F.col("_b")).alias("const"),
             F.count_if((F.col("_a") != F.col("_b")) & (F.col("_cnt") <= exact_limit)).alias("small"),
             F.count_if((F.col("_a") != F.col("_b")) & (F.col("_cnt") > exact_limit)).alias("big"),
         ).first()
+        if n_tg is None:
+            n_tg = c["total"]                  # wanted ranks over all groups
         if c["const"]:
             found.append(active.where(F.col("_a") == F.col("_b"))
                          .select(*kn, "_r", F.col("_a").alias("_val")))
@@ -258,7 +262,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
             allv = allv.unionByName(f)
         ranked = allv.groupBy(*kn).agg(
             F.map_from_entries(F.collect_list(F.struct("_r", "_val"))).alias("_m"))
-        out = null_safe_join(base, broadcast_if_small(ranked, n_groups), kn, how="left")
+        out = null_safe_join(base, broadcast_if_small(ranked, n_tg), kn, how="left")
     else:
         out = base.withColumn("_m", F.lit(None).cast("map<bigint,double>"))
     n = F.col("count") if moments else F.col("_n")
