@@ -323,6 +323,31 @@ def q_scatter_hist(spark, sf):
     return _round_cols(h, {"bin_lo": 6, "bin_hi": 6})
 
 
+# ------------------------------------------------------------- other tables
+
+def q_doc_length_summary(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "lang", F.length("text").cast("long").alias("text_chars"), "n_chars")
+    return summary.numerical_summary(d, ["text_chars", "n_chars"], ["lang"])
+
+
+def q_doc_overview(spark, sf):
+    d = table(spark, sf, "documents").select("text", "lang", "source")
+    return summary.dataset_overview(d, clean.drop_duplicates(d))
+
+
+def q_source_top_n(spark, sf):
+    return summary.categorical_summary(table(spark, sf, "documents"), "source", top_n=5)
+
+
+def q_conversation_roles(spark, sf):
+    return summary.categorical_summary(table(spark, sf, "conversations"), "role")
+
+
+def q_label_summary(spark, sf):
+    return summary.numerical_summary(table(spark, sf, "labels"), ["quality", "toxic"])
+
+
 # ------------------------------------------------------------- end to end
 
 def prepared_orders(spark, sf):
@@ -404,6 +429,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corr_matrix": q_corr_matrix,
     "pair_regression": q_pair_regression,
     "scatter_hist": q_scatter_hist,
+    "doc_length_summary": q_doc_length_summary,
+    "doc_overview": q_doc_overview,
+    "source_top_n": q_source_top_n,
+    "conversation_roles": q_conversation_roles,
+    "label_summary": q_label_summary,
     "clean_engineer_summary": q_clean_engineer_summary,
     "clean_engineer_categories": q_clean_engineer_categories,
 }

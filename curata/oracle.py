@@ -389,6 +389,22 @@ SELECT "column", non_missing, parsed, round_even(CAST(parsed AS DOUBLE) / NULLIF
     "corr_matrix": _corr_sql(),
     "pair_regression": _regr_sql(),
     "scatter_hist": _scatter_hist_sql(),
+    "doc_length_summary": num_summary_sql(
+        "(SELECT lang, CAST(length(text) AS BIGINT) AS text_chars, n_chars FROM documents) AS d",
+        ["text_chars", "n_chars"], ["lang"]),
+    "doc_overview": """WITH d AS (SELECT text, lang, source FROM documents),
+dd AS (SELECT DISTINCT * FROM d),
+raw_rows AS (SELECT COUNT(*) AS n FROM d)
+SELECT 'raw' AS stage, COUNT(*) AS rows, CAST(3 AS BIGINT) AS columns,
+  CAST(SUM(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT) + CAST(source IS NULL AS BIGINT)) AS BIGINT) AS missing_cells,
+  COUNT(*) - (SELECT COUNT(*) FROM dd) AS duplicate_rows, (SELECT n FROM raw_rows) - COUNT(*) AS rows_removed FROM d
+UNION ALL
+SELECT 'cleaned', COUNT(*), CAST(3 AS BIGINT),
+  CAST(SUM(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT) + CAST(source IS NULL AS BIGINT)) AS BIGINT),
+  CAST(0 AS BIGINT), (SELECT n FROM raw_rows) - COUNT(*) FROM dd""",
+    "source_top_n": cat_summary_sql("documents", "source", 5),
+    "conversation_roles": cat_summary_sql("conversations", "role"),
+    "label_summary": num_summary_sql("labels", ["quality", "toxic"], []),
     "clean_engineer_summary": num_summary_sql("feats", ["total_price_", "price_log2", "sparse"],
                                               ["price_bin", "price_flag"], _orders_prepared()),
     "clean_engineer_categories": cat_summary_sql("feats", "price_bin", None, _orders_prepared()),
