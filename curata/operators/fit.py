@@ -62,7 +62,9 @@ class ImputeModel:
                 rep[c] = (F.coalesce(x, F.lit(v)) if v is not None else x).alias(c)
         for c, v in self.categorical_fill.items():
             if c in df.columns:
-                rep[c] = F.coalesce(_q(c), F.lit(v)).alias(c, metadata=df.schema[c].metadata)
+                f = df.schema[c]               # the mode was found as text: cast it back
+                fill = F.lit(v).cast(f.dataType)
+                rep[c] = F.coalesce(_q(c), fill).alias(c, metadata=f.metadata)
         return _project(df, rep)
 
     @property

@@ -66,3 +66,13 @@ def test_one_hot(spark):
     assert keep.columns == ["s", "n", "t", "n_is_1", "n_is_2", "n_is_10"]   # sorted as numbers
     with pytest.raises(ValueError):
         fit.fit_one_hot(df, ["s"], max_levels=1)
+
+
+def test_impute_mode_of_categorical_integer(spark):
+    from curata.operators.clean import cast_columns
+    df = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    cat, _, _ = cast_columns(df, ["k"], "category")
+    m = fit.fit_impute(cat, "mean")
+    out = m.transform(cat)
+    assert m.categorical_fill == {"k": "2"} and dict(out.dtypes)["k"] == "int"
+    assert sorted(r["k"] for r in out.collect()) == [1, 2, 2, 2]
