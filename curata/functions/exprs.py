@@ -36,6 +36,25 @@ DATETIME_FORMATS = (
 )
 
 
+# The text shape of a number (decimal, exponent, inf, nan),
+# white space around it allowed.
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def text_to_double(c: Column) -> Column:
+    """Text to double, NULL when it is not a number. Text that does not have
+    the shape of a number never reaches the parser (a failed parse costs an
+    exception per cell)."""
+    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
+
+
+def text_to_long(c: Column) -> Column:
+    """Text to bigint, NULL when it is not a whole number in range. Only text
+    shaped like an integer is cast (TRY casts pay an exception per failure)."""
+    return F.when(c.rlike(INTEGER_PATTERN), c.try_cast("bigint"))
+
+
 def nan_to_null(c: Column) -> Column:
     """Float NaN becomes NULL (in Spark ``NaN > 0`` is true, ``NaN IS NULL`` false)."""
     return F.nanvl(c, F.lit(None).cast("double"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
-from ..functions.exprs import bool_text, strip_ws
+from ..functions.exprs import bool_text, strip_ws, text_to_double, text_to_long
 from ..functions.names import standardize_names
 
 
@@ -119,7 +119,7 @@ def cast_columns(df: DataFrame, columns: Sequence[str], target: str
             if isinstance(f.dataType, T.BooleanType):
                 d = _q(c).cast("double")
             elif isinstance(f.dataType, T.StringType):
-                d = F.expr(f"try_cast(`{c}` as double)")
+                d = text_to_double(_q(c))
             else:
                 d = _q(c).cast("double")
             parsed[c] = d
@@ -135,7 +135,7 @@ def cast_columns(df: DataFrame, columns: Sequence[str], target: str
             f = df.schema[c]
             if target == "integer":
                 if isinstance(f.dataType, T.StringType):
-                    e = F.coalesce(F.expr(f"try_cast(`{c}` as bigint)"), parsed[c].cast("long"))
+                    e = F.coalesce(text_to_long(_q(c)), parsed[c].cast("long"))
                 else:
                     e = parsed[c].cast("long") if not isinstance(f.dataType, roles.INTEGRAL_TYPES) \
                         else _q(c).cast("long")

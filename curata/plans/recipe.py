@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roles
+from ..functions.exprs import text_to_double, text_to_long
 from ..functions.names import map_selected_columns
 from ..operators import clean, fit
 from ..operators.filters import DropRule, drop_values
@@ -331,8 +332,8 @@ def _cast_frozen(df: DataFrame, cols, target: str) -> DataFrame:
             continue
         dt = df.schema[c].dataType.simpleString()
         if dt == "string":
-            d = F.expr(f"try_cast(`{c}` as double)")
-            e = F.coalesce(F.expr(f"try_cast(`{c}` as bigint)"), d.cast("long")) \
+            d = text_to_double(F.col(f"`{c}`"))
+            e = F.coalesce(text_to_long(F.col(f"`{c}`")), d.cast("long")) \
                 if target == "integer" else d
         else:
             e = F.col(f"`{c}`").cast("long" if target == "integer" else "double")

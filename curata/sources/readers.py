@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import nan_to_null
+from ..functions.exprs import nan_to_null, text_to_double, text_to_long
 
 # Cell texts pandas reads as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -59,8 +59,8 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     aggs = []
     for i, c in enumerate(nulled.columns):
         v = _q(c)
-        aggs += [F.count_if(v.isNotNull() & F.expr(f"try_cast(`{c}` as bigint)").isNull()).alias(f"l{i}"),
-                 F.count_if(v.isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(f"d{i}"),
+        aggs += [F.count_if(v.isNotNull() & text_to_long(v).isNull()).alias(f"l{i}"),
+                 F.count_if(v.isNotNull() & text_to_double(v).isNull()).alias(f"d{i}"),
                  F.count_if(v.isNotNull() & ~v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
                  F.count(v).alias(f"n{i}")]
     facts = nulled.agg(*aggs).first()
@@ -70,9 +70,9 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
         if facts[f"n{i}"] == 0:
             out.append(v)
         elif facts[f"l{i}"] == 0:
-            out.append(F.expr(f"try_cast(`{c}` as bigint)").alias(c))
+            out.append(text_to_long(v).alias(c))
         elif facts[f"d{i}"] == 0:
-            out.append(nan_to_null(F.expr(f"try_cast(`{c}` as double)")).alias(c))
+            out.append(nan_to_null(text_to_double(v)).alias(c))
         elif facts[f"b{i}"] == 0:
             out.append(v.isin(list(TRUE_TOKENS)).alias(c))
         else:
