@@ -59,13 +59,26 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return root
 
 
+def shared_root(spark: SparkSession) -> str | None:
+    """Folder for written intermediate tables: the cluster's
+    ``spark.checkpoint.dir``. The warehouse folder is used instead only on a
+    ``local[...]`` master, where driver and executors share one disk; its
+    default (``./spark-warehouse``) is machine-local on a cluster."""
+    root = checkpoint_root(spark)
+    if root:
+        return root
+    if spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir", None)
+    return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table: under the shared checkpoint folder,
-    or, when the session names none, under the warehouse folder (also shared
-    on a cluster). Never a machine-local temporary folder."""
-    root = checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir", None)
+    """A fresh path for a written table under :func:`shared_root`. Never a
+    machine-local temporary folder."""
+    root = shared_root(spark)
     if not root:
-        raise RuntimeError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir is set")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                           "(HDFS, S3, ABFS) to write intermediate tables")
     return f"{root.rstrip('/')}/curata-{name}-{uuid.uuid4().hex}"
 
 
@@ -77,11 +90,12 @@ def materialize(df: DataFrame, cut_lineage: bool = False) -> DataFrame:
     ``cut_lineage`` the table is written as parquet under the shared folder
     named by ``spark.checkpoint.dir`` (or the warehouse folder) and read back:
     the plan restarts from those files, which survive executor loss, stay
-    columnar (later reads prune columns) and keep column metadata. Never
+    columnar (later reads prune columns) and keep column metadata. Without a
+    shared folder (see :func:`shared_root`) it persists instead. Never
     ``localCheckpoint``.
     """
     spark = df.sparkSession
-    if cut_lineage and (checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir", None)):
+    if cut_lineage and shared_root(spark):
         path = scratch_path(spark, "table")
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
