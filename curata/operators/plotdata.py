@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,15 +84,21 @@ def log2_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def density(df: DataFrame, column: str, group_by: str | None = None, bw_adjust: float = 1.0,
-            gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+            gridsize: int = 200, cut: float = 3.0,
+            collapse: bool | None = None) -> DataFrame:
     """Gaussian kernel density on a grid of ``gridsize`` points per group.
 
     Bandwidth is Scott's rule (sample sd x n^-1/5) times ``bw_adjust`` (at
     least 0.1); the grid runs ``cut`` bandwidths beyond the data; each group
     integrates to 1; groups with under 2 rows or zero variance have none.
-    Exact: equal values are first collapsed to (value, weight) with a partial
-    aggregate, then each distinct value adds its kernel at every grid point,
-    summed per (group, point) with map-side partial sums.
+    Exact either way: where values repeat (estimated distinct values at most
+    half the rows, from the same pass as the bandwidths) equal values are first
+    collapsed to (value, weight), so each distinct value adds its kernel once;
+    for near-unique columns that collapse would shuffle the whole column for
+    nothing, so each row adds its kernel directly in the map stage. Kernel
+    terms are summed per (group, point) with map-side partial sums, so only
+    ``groups x gridsize`` partials are shuffled. ``collapse`` forces either
+    path (``None``: choose by the estimate).
     Columns: ``[group,] point, x, density``.
     """
     adjust = max(float(bw_adjust or 1.0), 0.1)
@@ -100,15 +107,25 @@ def density(df: DataFrame, column: str, group_by: str | None = None, bw_adjust:
     base = df.select(x.alias("x"), _group_label(df, group_by).alias("group")).where(F.col("x").isNotNull())
     stats = (base.groupBy("group")
              .agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                  F.min("x").alias("mn"), F.max("x").alias("mx"))
+                  F.min("x").alias("mn"), F.max("x").alias("mx"),
+                  F.approx_count_distinct("x").alias("ndv"))
              .where((F.col("n") >= 2) & (F.col("sd") > 0)))
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
-    stats = stats.select("group", "n", bw.alias("bw"),
+    stats = stats.select("group", "n", "ndv", bw.alias("bw"),
                          (F.col("mn") - F.lit(cut) * bw).alias("glo"),
                          (F.col("mx") + F.lit(cut) * bw).alias("ghi"))
-    weights = base.groupBy("group", "x").agg(F.count(F.lit(1)).alias("w"))
-    stats_b = _checked_broadcast(stats)
-    j = null_safe_join(weights, stats_b, ["group"])
+    # one job computes the per-group table, keeps it, and measures it
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    facts = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"),
+                      F.sum("ndv").alias("ndv")).first()
+    stats_b = F.broadcast(stats) if facts["groups"] <= BROADCAST_ROWS else stats
+    if collapse is None:
+        collapse = bool(facts["groups"]) and facts["ndv"] * 2 <= facts["rows"]
+    if collapse:
+        weights = base.groupBy("group", "x").agg(F.count(F.lit(1)).alias("w"))
+    else:
+        weights = base.select("group", "x", F.lit(1).cast("long").alias("w"))
+    j = null_safe_join(weights, stats_b.drop("ndv"), ["group"])
     step = (F.col("ghi") - F.col("glo")) / F.lit(float(gridsize - 1))
     pts = j.select("group", "x", "w", "n", "bw", "glo", "ghi",
                    F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))

@@ -43,6 +43,20 @@ def test_density_integrates_to_one(spark):
     assert pa.density.iloc[57] == pytest.approx(direct)
 
 
+def test_density_paths_agree(spark):
+    # repeated values (auto: collapsed) and a near-unique group, both paths forced
+    rows = [("r", float(v % 7)) for v in range(400)] + [("u", v * 0.37) for v in range(300)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {}
+    for how in (None, True, False):
+        pdf = plotdata.density(df, "x", "g", collapse=how).toPandas()
+        got[how] = pdf.sort_values(["g", "point"]).reset_index(drop=True)
+    for how in (True, False):
+        assert (got[how][["g", "point"]] == got[None][["g", "point"]]).all().all()
+        np.testing.assert_allclose(got[how].density, got[None].density, rtol=1e-12, atol=1e-15)
+        np.testing.assert_allclose(got[how].x, got[None].x, rtol=0, atol=0)
+
+
 def test_box_stats(spark):
     vals = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 50.0, -40.0]
     df = spark.createDataFrame([("k", v) for v in vals] + [("k", None)], "g string, y double")
