@@ -7,9 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.llm import sql
 from curata.llm.common import remainder, table
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.url_graph import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("url")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.chat_schema import canonical_turns, format_turns, read_back, records_of_rows
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    found = read_back(format_turns(canonical_turns(records_of_rows(rows))))
+    said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,9 +58,14 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_url_filters": sql.url_filters(URL_RULES),
+    "op6_chat_formatting": sql.chat_formatting(),
+}
