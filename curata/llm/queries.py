@@ -21,6 +21,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    return score(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                                     "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curata.llm.mih_search import search
 
@@ -65,6 +74,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op3_quality": op3_quality,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
