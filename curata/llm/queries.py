@@ -11,6 +11,12 @@ from curata.llm import sql
 from curata.llm.common import remainder, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.ngram_join import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 #: Host, path and verdict of each rule.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -80,6 +86,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
@@ -92,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_url_filters": sql.url_filters(URL_RULES),
+    "op4_substring_dedup": sql.substring_dedup(),
     "op6_chat_formatting": sql.chat_formatting(),
 }

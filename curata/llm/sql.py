@@ -61,3 +61,16 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length({escaped('role', True)}) + length({escaped('text', False)}) + {each})::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
+
+
+def substring_dedup(width: int = 13) -> str:
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+words AS (SELECT k, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+windows AS (SELECT k, doc_id, i, array_to_string(ws[i:i + {width - 1}], ' ') AS s FROM (
+    SELECT k, doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS i FROM texts)),
+firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT k, i + j AS i FROM windows JOIN firsts USING (s), range({width}) r(j) WHERE doc_id > least),
+kept AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, len(ws) AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (k)"""
