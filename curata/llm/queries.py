@@ -79,6 +79,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curata.llm.feistel_shards import shard_documents
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
