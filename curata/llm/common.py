@@ -62,13 +62,11 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     return pa.concat_arrays([pc.fill_null(batch.column(text), "").cast(pa.large_string())])
 
 
-def split_words(texts: pa.Array, separators: str = " \n") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of the texts, the index of every word in reading order,
-    and the offsets of the texts in that order. Words end at ``separators``;
-    empty strings between two separators count as words."""
-    for s in separators[1:]:
-        texts = pc.replace_substring(texts, s, separators[0])
-    parts = pc.split_pattern(texts, separators[0])
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of the texts (cut at blanks and ASCII control spaces),
+    the index of every word in reading order, and the offsets of the texts in
+    that order. An empty string may stand at either end of a text."""
+    parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.flatten())
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import chunks, segment_sums, split_words, texts_of
+from curata.llm.common import chunks, segment_sums, split_words, texts_of, written
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 3, 2, 1)
-ROWS_PER_LANGUAGE = 3000
+ROWS_PER_LANGUAGE = 1500
 MAX_WORDS = 120_000
 MAX_GRAMS = 60_000
 #: Words that a task remembers the score of.
@@ -72,6 +72,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_wor
                 yield pd.DataFrame({"lang": lang, "n": n, "gram": list(counter), "k": list(counter.values())})
 
     counted = sample.mapInPandas(count, "lang string, n int, gram string, k long").groupBy("n", "gram", "lang").agg(F.sum("k").alias("k"))
+    counted = written(counted, "grams")
     by_gram = counted.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "k"))).alias("by"), F.sum("k").alias("k"))
     by_gram = by_gram.where(F.col("k") >= min_count)
     kept = []
@@ -88,35 +89,69 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_wor
     return model
 
 
-def word_score(word: str, model: dict) -> np.ndarray:
-    """Log posteriors of the languages given one word."""
-    found = model["words"].get(word)
-    if found is None:
-        for n in GRAMS:
-            known = [x for g in grams(word, n) if (x := model["grams"].get((n, g))) is not None]
-            if known:
-                found = np.mean(known, axis=0)
-                break
-        else:
-            return np.zeros(len(model["langs"]), np.float32)
-    top = found.max()
-    return found - top - np.log(np.exp(found - top).sum())
+def _posteriors(frequencies: np.ndarray) -> np.ndarray:
+    """Log posteriors of the languages from rows of log frequencies."""
+    x = frequencies - frequencies.max(axis=1, keepdims=True, initial=-np.inf)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
 
+class Scorer:
+    """Scores of words by a model, kept for words seen before."""
 
-def predict_texts(texts: pa.Array, model: dict, memo: dict) -> tuple[list[str], np.ndarray]:
+    def __init__(self, model: dict):
+        self.langs = model["langs"]
+        n = len(self.langs)
+        self.words = {w: i for i, w in enumerate(model["words"])}
+        self.word_rows = _posteriors(np.array(list(model["words"].values()), np.float64).reshape(-1, max(n, 1)))[:, :n]
+        self.grams = {g: i for i, g in enumerate(model["grams"])}
+        self.gram_rows = np.array(list(model["grams"].values()), np.float64).reshape(-1, max(n, 1))[:, :n]
+        self.place: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def backed_off(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of an unseen word that are known."""
+        for n in GRAMS:
+            if found := [i for g in grams(word, n) if (i := self.grams.get((n, g))) is not None]:
+                return found
+        return []
+
+    def score(self, letters: list[str]) -> np.ndarray:
+        """Log posteriors of each word; zeros where nothing is known."""
+        out = np.zeros((len(letters), len(self.langs)))
+        known = [self.words.get(w, -1) for w in letters]
+        at = np.array(known, np.int64)
+        out[at >= 0] = self.word_rows[at[at >= 0]]
+        unseen = [(i, f) for i, k in enumerate(known) if k < 0 and (f := self.backed_off(letters[i]))]
+        if unseen:
+            size = np.array([len(f) for _, f in unseen])
+            flat = self.gram_rows[np.array([x for _, f in unseen for x in f])]
+            mean = np.add.reduceat(flat, np.cumsum(size) - size, axis=0) / size[:, None]
+            out[[i for i, _ in unseen]] = _posteriors(mean)
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """For each string the summed log posteriors of its words, and their number."""
+        if len(self.place) > MEMO:
+            self.place, self.rows = {}, []
+        place = self.place
+        if new := [w for w in words if w not in place]:
+            letters = [WORD.findall(w.lower()) for w in new]
+            size = np.array([len(x) for x in letters])
+            total = segment_sums(self.score([x for own in letters for x in own]), np.concatenate([[0], np.cumsum(size)]))
+            self.place.update(zip(new, range(len(place), len(place) + len(new))))
+            self.rows.append(np.column_stack([total, size]))
+        table = np.concatenate(self.rows) if len(self.rows) != 1 else self.rows[0]
+        self.rows = [table]
+        return table[[place[w] for w in words]]
+
+
+def predict_texts(texts: pa.Array, scorer: Scorer) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    langs = model["langs"]
-    words, codes, offsets = split_words(texts, " \n\t\r\v\f")
-    if len(memo) > MEMO:
-        memo.clear()
-    per_word = np.zeros((len(words), len(langs) + 1), np.float64)
-    for i, w in enumerate(words):
-        known = memo.get(w)
-        if known is None:
-            letters = WORD.findall(w.lower())
-            known = memo[w] = (*np.sum([word_score(x, model) for x in letters], axis=0), len(letters)) if letters and langs else (*[0.0] * len(langs), len(letters))
-        per_word[i] = known
-    sums = segment_sums(per_word[codes], offsets)
+    langs = scorer.langs
+    words, codes, offsets = split_words(texts)
+    if not len(codes):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    sums = segment_sums(scorer.of(words)[codes], offsets)
     n = np.rint(sums[:, -1])
     if not langs:
         return [UNKNOWN] * len(n), np.zeros(len(n))
@@ -134,14 +169,15 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams
     kept = [k for k in keep if k not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col("text").alias("_curata_text"))
+    text = "text" if "text" in kept else "_curata_text"  # a kept text travels once
+    rows = docs.select(*kept) if text == "text" else docs.select(*kept, F.col("text").alias(text))
     schema = rows.drop("_curata_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
-        memo: dict = {}
+        scorer = Scorer(sent.value)
         for batch in batches:
-            for part in chunks(batch, "_curata_text"):
-                lang, score = predict_texts(texts_of(part, "_curata_text"), sent.value, memo)
+            for part in chunks(batch, text):
+                lang, score = predict_texts(texts_of(part, text), scorer)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)

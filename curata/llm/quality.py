@@ -62,7 +62,7 @@ class Tokens:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token numbers, offsets of the texts, and for each token whether it is made of symbols."""
-        words, codes, offsets = split_words(pc.utf8_lower(texts), " \n\t\r\v\f")
+        words, codes, offsets = split_words(pc.utf8_lower(texts))
         if len(self.memo) > MEMO:
             self.memo.clear()
         per_word = []
