@@ -397,7 +397,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = placed.join(least, "component").select("node", "component_id")
     linked = rows.join(by_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = judged.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # an empty set has no node, also where its id has another row that is open
+    full = judged.where("n_shingles > 0").join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+    alone = full.unionByName(judged.where("n_shingles = 0")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).unionByName(_without_id(own))
 
 
