@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -41,55 +42,77 @@ from curata.llm.common import chunks, split_words, texts_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a task remembers the ids of.
-MEMO = 250_000
+MEMO = 600_000
 #: Pieces that are numbered in one bucket.
-BUCKET_ROWS = 200_000
-_SEPARATOR = "\x00"
+BUCKET_ROWS = 10_000
+
+
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose tokens never cross a blank or a
-    line end, with the ids of words remembered."""
+    """Ids of whole texts by a lower-casing byte-level tokenizer that splits at
+    white space and between letters and stops. The ids of words are remembered.
+
+    A word of Latin letters, with a stop after it or not, goes to the
+    vocabulary directly; whatever else goes through the whole tokenizer."""
+
+    STOPS = (",", ".")
+    #: Letters below this one are lower-cased one by one and are composed already.
+    LATIN = "\u0130"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = lambda s, t=Tokenizer.from_file(path): t.encode(s, add_special_tokens=False).ids
-        self.mark = self.encode(_SEPARATOR)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words: one call for many, told apart by a mark."""
-        single = [w for w in words if _SEPARATOR in w]
-        words = [w for w in words if _SEPARATOR not in w] if single else words
-        for w in single:
-            self.memo[w] = np.array(self.encode(w), np.uint32)
-        for i in range(0, len(words), 2000):
-            some = words[i:i + 2000]
-            ids = np.array(self.encode(f" {_SEPARATOR} ".join(some)), np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark[0])) if len(self.mark) == 1 else []
-            if len(parts) == len(some):
-                self.memo.update((w, p[j > 0:]) for j, (w, p) in enumerate(zip(some, parts, strict=True)))
-            else:
-                self.memo.update((w, np.array(self.encode(w), np.uint32)) for w in some)
+        whole = Tokenizer.from_file(path)
+        self.encode = lambda s: whole.encode(s, add_special_tokens=False).ids
+        self.model, self.letters = whole.model, _byte_letters()
+        self.stop_ids = {s: self.encode(s) for s in self.STOPS}
+        self.clear()
+
+    def clear(self) -> None:
+        self.cores: dict[str, list[int]] = {}
+        self.place: dict[str, int] = {}
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def core(self, word: str) -> list[int]:
+        ids = self.cores.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = self.cores[word] = [t.id for t in self.model.tokenize(mapped)]
+        return ids
+
+    def word(self, word: str) -> list[int]:
+        stop = self.stop_ids.get(word[-1:])
+        body = word[:-1] if stop else word
+        if body.isalpha() and max(body) < self.LATIN:
+            ids = self.core(body.lower())
+            return ids + stop if stop else ids
+        return self.encode(word)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of the texts."""
         words, codes, offsets = split_words(texts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        if new := [w for w in words if w not in memo]:
-            self.learn(new)
-        per_word = [memo[w] for w in words]
-        size = np.fromiter(map(len, per_word), np.int64, len(words))
-        flat = np.concatenate(per_word) if per_word else np.zeros(0, np.uint32)
-        start = np.cumsum(size) - size
-        length = size[codes]
+        if len(self.place) > MEMO:
+            self.clear()
+        place, flat, starts = self.place, self.flat, self.start
+        for w in words:
+            if w not in place:
+                place[w] = len(starts) - 1
+                flat.extend(self.word(w))
+                starts.append(len(flat))
+        at = np.fromiter((place[w] for w in words), np.int64, len(words))[codes]
+        bounds = np.array(starts, np.int64)
+        start, length = bounds[at], (bounds[1:] - bounds[:-1])[at] if len(at) else np.zeros(0, np.int64)
         ends = np.cumsum(length)
-        place = np.repeat(start[codes] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        return flat[place], np.concatenate([[0], ends])[offsets]
+        order = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        return np.array(flat, np.uint32)[order], np.concatenate([[0], ends])[offsets]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
