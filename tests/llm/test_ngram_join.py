@@ -122,3 +122,9 @@ def test_components(spark, edges):
 def test_plan_has_no_cross_join(docs):
     plan = partial(join_documents, docs)()._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+@pytest.mark.parametrize("places, n", [([], 99), ([3, 1, 3], 4), ([5], 1000), ([7, 70000, 7], 80000)])
+def test_dealt(places, n):
+    got = {k: i.tolist() for k, i in packed.dealt(np.array(places, np.int64), n)}
+    assert got == {k: [i for i, p in enumerate(places) if p == k] for k in places}
