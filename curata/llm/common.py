@@ -4,16 +4,37 @@ Python object per word."""
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.session import scratch_path
 
+
+
+def _reach_workers() -> None:
+    """Python workers import this package by name. Where it is not installed
+    but found beside the entry file, they get its folder in their path, both
+    those of a running session and those of one started later."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = os.environ.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+        running = SparkContext._active_spark_context
+        if running is not None:
+            running.environment.setdefault("PYTHONPATH", root)
+
+
+_reach_workers()
+
 #: Bytes of text that a task works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,11 +20,11 @@ U = np.uint64
 #: Windows that a segment holds on average.
 SEGMENT_WINDOWS = 1 << 20
 #: Bytes of text of a bucket of documents.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Hashes that a map task holds before it packs them.
 FLUSH = 2 << 20
 #: Bytes hashed at once.
-SPAN = 4 << 20
+SPAN = 1 << 20
 #: Bytes of a word and the blank after it, for the number of segments.
 WORD_BYTES = 6
 
@@ -175,6 +175,8 @@ def unpack_all(blobs, *kinds) -> tuple[np.ndarray, ...]:
 
 def dealt(place: np.ndarray, n: int):
     """For each place that occurs: the place and the indices that go there."""
+    if not len(place):
+        return
     order = np.argsort(place.astype(np.uint16) if n <= 1 << 16 else place, kind="stable")
     cut = np.searchsorted(place[order], np.arange(n + 1)) if n <= 4 * len(place) + 16 else None
     if cut is None:
