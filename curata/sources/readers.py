@@ -42,32 +42,58 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_CORRUPT = "_curata_corrupt"
+#: A comma outside quotes.
+_CELL_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _csv(spark: SparkSession, schema: str | None = None, multi_line: bool = False):
+    """Cells as text; a quote inside a quoted cell is doubled."""
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT))
+    return reader.schema(schema) if schema else reader
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with a header. Cells are read as text, the pandas missing tokens
     become NULL, then each column takes the narrowest of bigint / double /
     boolean that every non-missing cell casts to (all-or-nothing), else stays
-    text. Inference is one aggregate pass for all columns."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("mode", "PERMISSIVE").csv(path))
+    text. Inference is one aggregate pass for all columns.
+
+    A line with an odd number of quotes means that a cell holds a line end;
+    only then is the file read with ``multiLine`` (one task a file). A row
+    with fewer cells than the header is filled with missing cells; one with
+    more raises ``ValueError``.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).first()[0]
+    names = _csv(spark, multi_line=bool(broken)).csv(path).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType())
+    # the reserved column holds rows whose number of cells is not the header's
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    raw = _csv(spark, f"{schema}, {_CORRUPT} string", bool(broken)).csv(path)
     tokens = list(NA_TOKENS)
     nulled = raw.select(*[
         F.when(_q(c).isin(tokens) | _q(c).isNull(), F.lit(None).cast("string"))
-        .otherwise(_q(c)).alias(c) for c in raw.columns])
-    if not infer or not raw.columns:
-        return nulled
-    aggs = []
-    for i, c in enumerate(nulled.columns):
+        .otherwise(_q(c)).alias(c) for c in names], _CORRUPT)
+    cells = F.size(F.split(_CORRUPT, _CELL_END, -1))
+    aggs = [F.count_if(F.col(_CORRUPT).isNotNull() & (cells > len(names))).alias("ragged")]
+    for i, c in enumerate(names):
         v = _q(c)
         aggs += [F.count_if(v.isNotNull() & text_to_long(v).isNull()).alias(f"l{i}"),
                  F.count_if(v.isNotNull() & text_to_double(v).isNull()).alias(f"d{i}"),
                  F.count_if(v.isNotNull() & ~v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
                  F.count(v).alias(f"n{i}")]
     facts = nulled.agg(*aggs).first()
+    if facts["ragged"]:
+        raise ValueError(f"{facts['ragged']} row(s) of {path} have more cells than the header")
     out = []
-    for i, c in enumerate(nulled.columns):
+    for i, c in enumerate(names):
         v = _q(c)
-        if facts[f"n{i}"] == 0:
+        if not infer or facts[f"n{i}"] == 0:
             out.append(v)
         elif facts[f"l{i}"] == 0:
             out.append(text_to_long(v).alias(c))
@@ -80,12 +106,42 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     return nulled.select(*out)
 
 
+def _by_columns(df: DataFrame) -> DataFrame | None:
+    """The table of a document ``{"column": {"row": value}}``, if it is one."""
+    kinds = [f.dataType for f in df.schema.fields]
+    if not kinds or not all(isinstance(k, T.StructType) for k in kinds):
+        return None
+    labels = list(dict.fromkeys(n for k in kinds for n in k.names))
+    if len(df.take(2)) != 1:
+        return None
+    if all(x.isdigit() for x in labels):
+        labels.sort(key=int)
+    cells = []
+    for label in labels:
+        row = []
+        for f in df.schema.fields:
+            there = label in f.dataType.names
+            kind = next(x.dataType for x in f.dataType.fields)
+            row.append((_q(f.name)[label] if there else F.lit(None).cast(kind)).alias(f.name))
+        cells.append(F.struct(*row))
+    return df.select(F.inline(F.array(*cells)))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records or JSON lines."""
-    df = spark.read.json(path)
-    if df.columns == ["_corrupt_record"]:
-        df = spark.read.option("multiLine", True).json(path)
-    return df
+    """JSON lines, an array of records (on one line or many), or a document by
+    columns, ``{"column": {"row": value}}``. Text that is none of these
+    raises ``ValueError``."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    df = None
+    if first and first[0] != "[":
+        df = spark.read.options(**options).json(path)
+    if df is None or _CORRUPT in df.columns:
+        df = spark.read.options(**options).option("multiLine", True).json(path)
+    if _CORRUPT in df.columns:
+        raise ValueError(f"{path} is not JSON")
+    turned = _by_columns(df)
+    return df if turned is None else turned
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -115,13 +171,15 @@ def read_sample(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, UTF-8, no index; nested values written as JSON."""
+    """CSV with a header, UTF-8, no index; quotes inside cells are doubled;
+    nested values written as JSON."""
     flat = normalize_types(df)
     (flat.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+     .option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows shown in a preview (no order exists in Spark: any n rows)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, key: str | None = None) -> DataFrame:
+    """The first rows by ``key``; without one any n rows, for Spark keeps no order."""
+    return df.orderBy(_q(key)).limit(n) if key else df.limit(n)
