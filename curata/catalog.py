@@ -20,10 +20,11 @@ from .operators.features import (FeatureRules, apply_bin, apply_log2, apply_map_
                                   make_bin_rule, make_log2_rule, make_map_rule,
                                   make_one_hot_rule)
 from .operators.filters import (DropRule, RangeFilter, ValueFilter, filter_all,
-                                filter_status)
+                                filter_status, parse_drop_rule)
 from .plans.recipe import CleaningRecipe
+from .plans.workflow import prepare_file
 from .session import scratch_path
-from .sources import dirty_orders, read_csv, table, write_csv
+from .sources import dirty_orders, load_table, normalize_types, preview, read_csv, read_json, table, write_csv
 
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -62,8 +63,32 @@ def q_num_summary_filtered(spark, sf):
 def q_num_summary_levels(spark, sf):
     li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
     binned = apply_bin(li, make_bin_rule(li, "l_quantity", [10, 10.5, 20], "qty_bin"))
-    return summary.numerical_summary(binned, ["l_extendedprice"], ["qty_bin"],
-                                     include_empty_levels=True)
+    return summary.numerical_summary(binned, ["l_extendedprice"], ["qty_bin"])
+
+
+def q_num_summary_missing_level(spark, sf):
+    """Bins frozen on the orders under 300,000: the others have a missing bin."""
+    o = table(spark, sf, "orders").select("o_totalprice")
+    rule = make_bin_rule(o.where("o_totalprice < 300000"), "o_totalprice", [100000, 200000], "price_bin")
+    return summary.numerical_summary(apply_bin(o, rule), ["o_totalprice"], ["price_bin"]).where("price_bin is null or count > 0").drop("price_bin")
+
+
+def q_stat_select(spark, sf):
+    return summary.numerical_summary(table(spark, sf, "lineitem"), LINE_NUMS, ["l_returnflag"], stats=["max", "Q1", "count"])
+
+
+def q_cat_stat_select(spark, sf):
+    return summary.categorical_summary(dirty_orders(spark, sf), "Priority", stats=["percentage"])
+
+
+def q_distinct_missing(spark, sf):
+    d = dirty_orders(spark, sf)
+    rows = [(c, summary.distinct_count(d, c), summary.distinct_count(d, c, missing_as_value=True)) for c in ("Priority", "Status")]
+    return spark.createDataFrame(rows, "column string, n_distinct long, n_with_missing long")
+
+
+def q_preview(spark, sf):
+    return preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")
 
 
 def q_filter_status(spark, sf):
@@ -209,12 +234,127 @@ def q_drop_values(spark, sf):
     return recipe.apply(o)[0]
 
 
+def _noted_orders(spark, sf):
+    """Dirty orders with a text column of quotes, commas and line ends."""
+    k = F.col("`Order Key`")
+    note = (F.when(k % 4 == 0, F.concat(F.lit('say "hi", no. '), k.cast("string")))
+            .when(k % 4 == 1, F.concat(F.lit("two\nlines "), k.cast("string")))
+            .when(k % 4 == 2, F.lit('"quoted"')).otherwise(F.lit("a,b")))
+    return dirty_orders(spark, sf).withColumn("Note", note)
+
+
 def q_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "csv")
-    write_csv(dirty_orders(spark, sf), path)
+    write_csv(_noted_orders(spark, sf), path)
     return read_csv(spark, path)
 
 
+def q_json_roundtrip(spark, sf):
+    """Customers as JSON lines, nations as an array with a record a line (an
+    array is one document, read by one task: a layout for small tables)."""
+    lines, array = scratch_path(spark, "lines"), scratch_path(spark, "array")
+    table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.json(lines)
+    text = table(spark, sf, "nation").select(F.struct("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("t")).alias("r"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), ",\n")
+    text.agg(F.concat(F.lit("[\n"), rows, F.lit("\n]")).alias("value")).write.text(array)
+    return read_json(spark, lines).select(F.lit("lines").alias("layout"), "key", "name").unionByName(
+        read_json(spark, array).select(F.lit("array").alias("layout"), "key", "name"))
+
+
+def q_load_dispatch(spark, sf):
+    path = scratch_path(spark, "load")
+    rows = table(spark, sf, "nation")
+    write_csv(rows, path + ".csv")
+    rows.write.json(path + ".JSON")
+    rows.write.parquet(path + ".parquet")
+    parts = [load_table(spark, path + suffix).select(F.lit(suffix).alias("suffix"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+             for suffix in (".csv", ".JSON", ".parquet")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_normalize_types(spark, sf):
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", F.slice("embedding", 1, 2).cast("array<int>").alias("head"), F.to_date(F.lit("2024-02-29")).alias("day"),
+        F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("vec_id") / 2).alias("half"), (F.col("label") > 2).alias("flag"))
+    return normalize_types(e)
+
+
+def q_write_summary_csv(spark, sf):
+    path = scratch_path(spark, "summary")
+    write_csv(summary.numerical_summary(table(spark, sf, "events"), ["value"], ["event_type"]), path)
+    return read_csv(spark, path)
+
+
+def q_unique_names(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("Key"), F.col("p_size").alias("A b"), F.col("p_name").alias("a-b"),
+                                        F.col("p_brand").alias("a_b_2"), F.col("p_type").alias("$"))
+    return clean.clean_names(p)[0]
+
+
+def q_cast_category(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    out = clean.cast_columns(p, ["p_size"], "category")[0]
+    return summary.categorical_summary(out, "p_size")
+
+
+def q_cast_int_nan(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("p_size").cast("double")).alias("size"),
+                                        F.when(F.col("p_size") % 5 == 0, F.lit("nan")).otherwise(F.col("p_retailprice").cast("string")).alias("price"))
+    out = clean.cast_columns(p, ["size"], "integer")[0]
+    return clean.cast_columns(out, ["price"], "float")[0]
+
+
+def q_drop_values_int(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    recipe = CleaningRecipe().with_rule(parse_drop_rule("p_size", " 05, --7, 10, 12 ,12, 13.0"))
+    return recipe.apply(p)[0]
+
+
+def q_impute_mode_tie(spark, sf):
+    """Two sizes made equally frequent, as a number category: 2 before 10."""
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, 10).when(F.col("p_partkey") % 4 == 1, 2).when(
+        F.col("p_partkey") % 4 == 2, F.lit(None)).otherwise(F.col("p_partkey") + 100).cast("int").alias("size"))
+    cat = clean.cast_columns(p.where("p_partkey <= 2000"), ["size"], "category")[0]
+    return fit.fit_impute(cat, "mean").transform(cat)
+
+
+def q_ln_bool(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") > 0).alias("positive"), "p_retailprice")
+    out, _ = CleaningRecipe(apply_log=True, log_cols=("positive", "p_retailprice")).apply(p)
+    return _round_cols(out, {"p_retailprice": 9})
+
+
+def q_onehot_keep_double(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, F.lit(2e7)).when(F.col("n_regionkey") == 1, F.lit(0.0005)).when(
+        F.col("n_regionkey") == 2, F.lit(float("nan"))).otherwise(F.col("n_regionkey").cast("double")).alias("level"))
+    return make_one_hot_rule(n, "level").apply(n).drop("level")
+
+
+def q_step_log(spark, sf):
+    recipe = CleaningRecipe(remove_duplicates=True, missing_strategy="drop_rows", missing_threshold=20, handle_outliers=True,
+                            outlier_action="remove", outlier_cols=("Total-Price ($)",), drop_rules=(DropRule("Status", ("P",)),))
+    out, log = recipe.apply(dirty_orders(spark, sf))
+    out.write.format("noop").mode("overwrite").save()
+    return log.to_dataframe(spark).where("rows_removed is not null").select("step", "rows_removed")
+
+
+def q_rule_toggle(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    recipe = (CleaningRecipe().with_rule(DropRule("o_orderstatus", ("P",))).with_rule(DropRule("o_orderstatus", ("F",)))
+              .with_rule(DropRule("o_orderpriority", ("2-HIGH",))))
+    return recipe.toggled(1, False).without_rule(0).apply(o)[0]
+
+
+def q_prepare_file(spark, sf):
+    """A file through load, cleaning and features in one go."""
+    path = scratch_path(spark, "orders") + ".csv"
+    write_csv(dirty_orders(spark, sf), path)
+    recipe = CleaningRecipe(remove_duplicates=True, missing_strategy="mean_mode")
+    rules = FeatureRules(logs=[make_log2_rule("total_price_", "price_log2")])
+    done = prepare_file(spark, path, recipe, rules)
+    return _round_cols(done.explore([RangeFilter("total_price_", 100000.0, 300000.0)]).drop("sparse"), {"total_price_": 6, "price_log2": 9})
+
+
 # ------------------------------------------------------------- features
 
 def _orders(spark, sf):
@@ -239,6 +379,13 @@ def q_map_chain(spark, sf):
     return apply_map_rules(o, rules)
 
 
+def q_map_sequence(spark, sf):
+    """The second rule reads what the first wrote."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    rules = [make_map_rule(p, "p_size", ">", "custom", "p_size", "5", 40), make_map_rule(p, "p_size", "<", "custom", "flag", "low", 10)]
+    return apply_map_rules(p, rules)
+
+
 def q_bin_int(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_size")
     return apply_bin(p, make_bin_rule(p, "p_size", "10, 20, 30, 40", "size_bin"))
@@ -262,6 +409,11 @@ def q_hist(spark, sf):
     return _round_cols(h, {"bin_lo": 6, "bin_hi": 6})
 
 
+def q_hist_discount(spark, sf):
+    h = plotdata.histogram(table(spark, sf, "lineitem"), "l_discount", 30)
+    return _round_cols(h, {"bin_lo": 6, "bin_hi": 6})
+
+
 def q_hist_by(spark, sf):
     h = plotdata.histogram(table(spark, sf, "events"), "value", 20, group_by="event_type")
     return _round_cols(h, {"bin_lo": 6, "bin_hi": 6})
@@ -302,6 +454,22 @@ def q_line_day(spark, sf):
     return _round_cols(ln, {"y_mean": 6})
 
 
+def q_line_text_day(spark, sf):
+    """A text column of dates becomes the x of a line."""
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy/MM/dd").alias("day"), "o_totalprice")
+    ln = plotdata.line_series(o, "day", "o_totalprice")
+    return _round_cols(ln, {"y_mean": 6})
+
+
+def q_line_choices(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus", "o_totalprice")
+    return spark.createDataFrame(list(enumerate(plotdata.line_x_choices(o), 1)), "place int, column string")
+
+
+def q_box_points(spark, sf):
+    return plotdata.box_points(dirty_orders(spark, sf), "Total-Price ($)", "Priority")
+
+
 def q_datetime_detect(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority", "o_orderstatus")
@@ -323,6 +491,11 @@ def q_scatter_hist(spark, sf):
     return _round_cols(h, {"bin_lo": 6, "bin_hi": 6})
 
 
+def q_scatter_matrix(spark, sf):
+    m = corr.scatter_matrix_table(table(spark, sf, "lineitem"), LINE_NUMS[:3])
+    return _round_cols(m, {"bin_lo": 6, "bin_hi": 6, "slope": 6, "intercept": 6, "corr": 9})
+
+
 # ------------------------------------------------------------- other tables
 
 def q_doc_length_summary(spark, sf):
@@ -434,6 +607,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_top_n": q_source_top_n,
     "conversation_roles": q_conversation_roles,
     "label_summary": q_label_summary,
+    "num_summary_missing_level": q_num_summary_missing_level,
+    "stat_select": q_stat_select,
+    "cat_stat_select": q_cat_stat_select,
+    "distinct_missing": q_distinct_missing,
+    "preview": q_preview,
+    "json_roundtrip": q_json_roundtrip,
+    "load_dispatch": q_load_dispatch,
+    "normalize_types": q_normalize_types,
+    "write_summary_csv": q_write_summary_csv,
+    "unique_names": q_unique_names,
+    "cast_category": q_cast_category,
+    "cast_int_nan": q_cast_int_nan,
+    "drop_values_int": q_drop_values_int,
+    "impute_mode_tie": q_impute_mode_tie,
+    "ln_bool": q_ln_bool,
+    "onehot_keep_double": q_onehot_keep_double,
+    "step_log": q_step_log,
+    "rule_toggle": q_rule_toggle,
+    "prepare_file": q_prepare_file,
+    "map_sequence": q_map_sequence,
+    "hist_discount": q_hist_discount,
+    "line_text_day": q_line_text_day,
+    "line_choices": q_line_choices,
+    "box_points": q_box_points,
+    "scatter_matrix": q_scatter_matrix,
     "clean_engineer_summary": q_clean_engineer_summary,
     "clean_engineer_categories": q_clean_engineer_categories,
 }

@@ -4,6 +4,7 @@ functions, so they stay inside whole-stage codegen."""
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,55 +101,61 @@ def python_float_text(v: float) -> str:
     return repr(float(v))
 
 
-def text_in(c: Column, dtype: T.DataType, values) -> Column:
-    """True where ``str(value)`` of the reference would be in ``values``.
-
-    Strings compare as they are, booleans as ``True``/``False``, integers as
-    their digits. For floating columns a value matches a token exactly when the
-    token is Python's canonical text of that float, so ``5.0`` matches 5 and
-    ``5`` does not, as in the reference. Missing cells match ``nan``, ``<NA>``
-    or ``None``. Never NULL.
-    """
+def _text_matches(c: Column, dtype: T.DataType, values) -> tuple[Column, bool]:
+    """A predicate that is true where the text of a value is in ``values``
+    (NULL for a missing cell), and whether missing cells match too."""
     values = list(dict.fromkeys(str(v) for v in values))
-    missing_hit = any(v in MISSING_TOKENS for v in values)
+    missing = any(v in MISSING_TOKENS for v in values)
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        nums = []
+        numbers = []
         for v in values:
             try:
                 f = float(v)
             except ValueError:
                 continue
             if not math.isnan(f) and python_float_text(f) == v:
-                nums.append(f)
-        cc = c.cast("double")
-        hit = cc.isin(nums) if nums else F.lit(False)
-        if missing_hit:
-            hit = hit | cc.isNull() | F.isnan(cc)
-        return F.coalesce(hit, F.lit(False))
+                numbers.append(f)
+        c = c if isinstance(dtype, T.DoubleType) else c.cast("double")
+        return (c.isin(numbers) if numbers else F.lit(False)), missing
     if isinstance(dtype, T.BooleanType):
-        hit = bool_text(c).isin(values)
-    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        ints = []
-        for v in values:
-            if v.lstrip("-").isdigit():
-                ints.append(int(v))
-        hit = c.isin(ints) if ints else F.lit(False)
-    else:
-        hit = c.cast("string").isin(values)
-    if missing_hit:
-        hit = hit | c.isNull()
+        return bool_text(c).isin(values), missing
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        # only the text that the number itself would have
+        whole = [int(v) for v in values if re.fullmatch(r"-?[0-9]{1,19}", v) and str(int(v)) == v and abs(int(v)) < 2**63]
+        return (c.isin(whole) if whole else F.lit(False)), missing
+    return (c if isinstance(dtype, T.StringType) else c.cast("string")).isin(values), missing
+
+
+def text_in(c: Column, dtype: T.DataType, values) -> Column:
+    """True where the text of a value is in ``values``. Never NULL.
+
+    Strings compare as they are, booleans as ``True``/``False``, integers as
+    their digits (``05`` is not 5). For floating columns a value matches a
+    token exactly when the token is Python's canonical text of that float, so
+    ``5.0`` matches 5 and ``5`` does not. Missing cells match ``nan``,
+    ``<NA>`` or ``None``.
+    """
+    hit, missing = _text_matches(c, dtype, values)
+    if missing:
+        gone = c.isNull()
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            gone = gone | F.isnan(c)
+        hit = hit | gone
     return F.coalesce(hit, F.lit(False))
 
 
+def text_not_in(c: Column, dtype: T.DataType, values) -> Column:
+    """The opposite of :func:`text_in` in a form that the scan can evaluate."""
+    hit, missing = _text_matches(c, dtype, values)
+    if missing:
+        keep = c.isNotNull() & ~hit
+        return keep & ~F.isnan(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else keep
+    return c.isNull() | ~hit
+
+
 def parse_datetime(c: Column, formats=DATETIME_FORMATS) -> Column:
     """Text to timestamp with the fixed layout list; unparseable gives NULL.
     A layout is only tried on text its pattern admits: a failed parse is
     costly, a regular-expression test is not."""
     s = F.trim(c.cast("string"))
     return F.coalesce(*[F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(f))) for f, rx in formats])
-
-
-def safe_name(value: str) -> str:
-    """Value to a column-name part: lower case, non-word runs to ``_``."""
-    import re
-    return re.sub(r"[^\w]+", "_", str(value).strip().lower()).strip("_")

@@ -1,17 +1,31 @@
-"""Column-name clean-up and user-selection mapping (driver-side, metadata only)."""
+"""Spelling of names, and the way of a column's name through the cleaning steps."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 
 
-def standardize_name(name: str) -> str:
-    """Trim, lower-case, turn runs of dashes/white space into ``_``, drop other
-    non-word characters."""
-    out = str(name).strip().lower()
-    out = re.sub(r"[-\s]+", "_", out)
-    return re.sub(r"[^\w]", "", out)
+def spell(text: str, symbols_part: bool = False) -> str:
+    """Lower-case name made of letters, digits and ``_``.
+
+    Blanks and dashes part words: each run of them becomes one ``_``. Other
+    symbols vanish, or part words too with ``symbols_part``, and then no ``_``
+    is left at either end.
+    """
+    out: list[str] = []
+    in_gap = False
+    for ch in str(text).strip().lower():
+        if ch == "_" or ch.isalnum():
+            out.append(ch)
+            in_gap = False
+        elif symbols_part or ch == "-" or ch.isspace():
+            if not in_gap:
+                out.append("_")
+            in_gap = True
+        else:
+            in_gap = False
+    name = "".join(out)
+    return name.strip("_") if symbols_part else name
 
 
 def make_unique(names: Sequence[str]) -> list[str]:
@@ -45,26 +59,27 @@ def make_unique(names: Sequence[str]) -> list[str]:
 
 
 def standardize_names(columns: Iterable[str]) -> list[str]:
-    return make_unique([standardize_name(c) for c in columns])
+    return make_unique([spell(c) for c in columns])
 
 
-def map_selected_columns(selected: Iterable[str] | None, rename_map: dict[str, str],
-                         current: Sequence[str]) -> list[str]:
-    """Map user-chosen (original) names to current ones: exact match first,
-    then through the rename map; unknown names are dropped, order kept, no
-    duplicates."""
-    if not selected:
-        return []
-    current_set = set(current)
-    out: list[str] = []
-    for name in selected:
-        name = str(name)
-        if name in current_set:
-            hit = name
-        else:
-            hit = rename_map.get(name)
-            if hit not in current_set:
-                continue
-        if hit not in out:
-            out.append(hit)
-    return out
+class ColumnTrail:
+    """Where each column of the loaded table is now: it follows renames and
+    drops, and finds the columns that a user names, by either name."""
+
+    def __init__(self, columns: Iterable[str]):
+        self.now = {c: c for c in columns}
+
+    def rename(self, new_names: Sequence[str]) -> None:
+        self.now = dict(zip(self.now, new_names, strict=True))
+
+    def keep(self, columns: Iterable[str]) -> None:
+        left = set(columns)
+        self.now = {old: new for old, new in self.now.items() if new in left}
+
+    def find(self, wanted: Iterable[str] | None, columns: Sequence[str]) -> list[str]:
+        """Columns of a table that are wanted, each once, in the order asked
+        for. A name that is a column means that column, else the column that
+        was loaded under it; names of neither kind are passed over."""
+        there = dict.fromkeys(columns)
+        asked = [w if w in there else self.now.get(w) for w in map(str, wanted or ())]
+        return list(dict.fromkeys(c for c in asked if c in there))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
-from ..functions.exprs import bool_text, strip_ws, text_to_double, text_to_long
+from ..functions.exprs import bool_text, nan_to_null, strip_ws, text_to_double, text_to_long
 from ..functions.names import standardize_names
 
 
@@ -88,60 +88,72 @@ def drop_cols_missing(df: DataFrame, threshold_pct: float) -> tuple[DataFrame, l
 CAST_TARGETS = ("category", "string", "integer", "float")
 
 
+def _number(field: T.StructField) -> Column:
+    """The cell as double; NaN, and the text of it, is missing."""
+    c = _q(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return nan_to_null(text_to_double(c))
+    return nan_to_null(c.cast("double"))
+
+
+def _is_missing(field: T.StructField) -> Column:
+    c = _q(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return c.isNull() | F.isnan(c)
+    if isinstance(field.dataType, T.StringType):
+        return c.isNull() | F.lower(F.trim(c)).isin("nan", "+nan", "-nan")
+    return c.isNull()
+
+
+def castable(df: DataFrame, columns: Sequence[str], target: str) -> list[str]:
+    """Columns whose every non-missing cell is a number (for ``integer`` a whole
+    one in range); any column for the text targets. One aggregate for all."""
+    if target not in CAST_TARGETS:
+        raise ValueError(f"unknown cast target {target!r}")
+    columns = [c for c in columns if c in df.columns]
+    if target in ("category", "string") or not columns:
+        return columns
+    checks = []
+    for i, c in enumerate(columns):
+        f = df.schema[c]
+        x = _number(f)
+        bad = x.isNull()
+        if target == "integer":
+            bad = bad | (x != F.floor(x)) | (F.abs(x) > F.lit(9.2e18))
+        checks.append(F.count_if(~_is_missing(f) & bad).alias(f"b{i}"))
+    r = df.agg(*checks).first()
+    return [c for i, c in enumerate(columns) if not r[f"b{i}"]]
+
+
+def apply_casts(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """The casts that :func:`castable` allowed, as expressions without a check."""
+    out = []
+    for f in df.schema.fields:
+        c = _q(f.name)
+        if f.name not in columns:
+            out.append(c)
+        elif target == "category":
+            out.append(roles.categorical(c, f.name))
+        elif target == "string":
+            out.append((bool_text(c) if isinstance(f.dataType, T.BooleanType) else c.cast("string")).alias(f.name))
+        elif target == "float":
+            out.append(_number(f).alias(f.name))
+        elif isinstance(f.dataType, roles.INTEGRAL_TYPES):
+            out.append(c.cast("long").alias(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            out.append(F.coalesce(text_to_long(c), _number(f).cast("long")).alias(f.name))
+        else:
+            out.append(_number(f).cast("long").alias(f.name))
+    return df.select(*out)
+
+
 def cast_columns(df: DataFrame, columns: Sequence[str], target: str
                  ) -> tuple[DataFrame, list[str], list[str]]:
     """Cast ``columns`` to ``category`` / ``string`` / ``integer`` / ``float``.
 
-    Integer and float casts parse text; any value that does not parse (or, for
-    integer, is not whole) leaves that column unchanged. Returns the table,
-    converted and skipped names.
+    A column with a cell that does not parse (or, for integer, is not whole)
+    stays as it is. Returns the table, converted and skipped names.
     """
-    if target not in CAST_TARGETS:
-        raise ValueError(f"unknown cast target {target!r}")
     columns = [c for c in columns if c in df.columns]
-    if not columns:
-        return df, [], []
-    exprs: dict[str, Column] = {}
-    skipped: list[str] = []
-    if target in ("category", "string"):
-        for c in columns:
-            f = df.schema[c]
-            if target == "category":
-                exprs[c] = roles.categorical(_q(c), c)
-            else:
-                txt = bool_text(_q(c)) if isinstance(f.dataType, T.BooleanType) else _q(c).cast("string")
-                exprs[c] = txt.alias(c)
-    else:
-        checks = []
-        parsed = {}
-        for i, c in enumerate(columns):
-            f = df.schema[c]
-            if isinstance(f.dataType, T.BooleanType):
-                d = _q(c).cast("double")
-            elif isinstance(f.dataType, T.StringType):
-                d = text_to_double(_q(c))
-            else:
-                d = _q(c).cast("double")
-            parsed[c] = d
-            bad = _q(c).isNotNull() & (d.isNull() | F.isnan(d) if target == "integer" else d.isNull())
-            if target == "integer":
-                bad = bad | (_q(c).isNotNull() & ((d != F.floor(d)) | (F.abs(d) > F.lit(9.2e18))))
-            checks.append(F.count_if(bad).alias(f"b{i}"))
-        r = df.agg(*checks).first()
-        for i, c in enumerate(columns):
-            if r[f"b{i}"]:
-                skipped.append(c)
-                continue
-            f = df.schema[c]
-            if target == "integer":
-                if isinstance(f.dataType, T.StringType):
-                    e = F.coalesce(text_to_long(_q(c)), parsed[c].cast("long"))
-                else:
-                    e = parsed[c].cast("long") if not isinstance(f.dataType, roles.INTEGRAL_TYPES) \
-                        else _q(c).cast("long")
-            else:
-                e = parsed[c]
-            exprs[c] = e.alias(c)
-    out = df.select(*[exprs.get(c, _q(c)) for c in df.columns])
-    converted = [c for c in columns if c not in skipped]
-    return out, converted, skipped
+    done = castable(df, columns, target)
+    return (apply_casts(df, done, target) if done else df), done, [c for c in columns if c not in done]

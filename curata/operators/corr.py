@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import roles
 from ..functions.exprs import clean_numeric
 from .filters import complete_rows
-from .plotdata import histogram
+from .plotdata import histograms
 
 MAX_SCATTER_COLUMNS = 6
 
@@ -87,12 +87,26 @@ def scatter_matrix_data(df: DataFrame, columns: Sequence[str]) -> dict[str, Data
         raise ValueError(f"select at most {MAX_SCATTER_COLUMNS} numeric columns")
     data = complete_rows(df.select(*[clean_numeric(df, c).alias(c) for c in cols]), cols)
     bins = 20 if len(cols) == 1 else 18
-    hists = None
-    for c in cols:
-        h = histogram(data, c, bins).select(F.lit(c).alias("variable"), "*")
-        hists = h if hists is None else hists.unionByName(h)
-    out = {"histograms": hists}
+    out = {"histograms": histograms(data, cols, bins)}
     if len(cols) >= 2:
         out["regressions"] = pair_regression(data, cols)
         out["correlations"] = correlation_matrix(data, cols)
     return out
+
+
+def scatter_matrix_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The whole scatter matrix as one table: ``part`` (histogram, regression
+    or correlation), the variables, the bin and its numbers, NULL where a part
+    has none."""
+    parts = scatter_matrix_data(df, columns)
+    names = ["part", "var_y", "var_x", "bin", "bin_lo", "bin_hi", "count", "slope", "intercept", "corr", "n"]
+    kinds = ["string", "string", "string", "int", "double", "double", "bigint", "double", "double", "double", "bigint"]
+    out = None
+    for part, table in parts.items():
+        if "variable" in table.columns:
+            table = table.withColumn("var_y", F.col("variable"))
+        cells = [F.lit(part.removesuffix("s")) if n == "part" else F.col(n) if n in table.columns else F.lit(None)
+                 for n in names]
+        rows = table.select(*[c.cast(k).alias(n) for c, k, n in zip(cells, kinds, names, strict=True)])
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -14,43 +14,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
-from ..functions.exprs import clean_numeric
-from .fit import DEFAULT_MAX_LEVELS, OneHotModel, distinct_values
+from ..functions.exprs import bool_text, clean_numeric
+from .fit import OneHotModel, distinct_values
 from .summary import compare_stat, field_range
 
 # Comparison operators a map rule may use.
 MAP_OPERATORS = ("<", ">", "=", "<=", ">=")
-NAME_PATTERN = re.compile(r"[A-Za-z0-9_]+")
+NEW_COLUMN = re.compile(r"\w+", re.ASCII)
+WHOLE = re.compile(r"[+-]?[0-9]+")
 
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _check_name(name: str) -> str:
-    name = (name or "").strip()
-    if not name:
-        raise ValueError("new field name cannot be empty")
-    if not NAME_PATTERN.fullmatch(name):
-        raise ValueError("new field name may only contain letters, digits and underscores")
+def new_column(name: str) -> str:
+    """The name for a column that a rule makes: ASCII letters, digits, ``_``."""
+    name = str(name or "").strip()
+    if not NEW_COLUMN.fullmatch(name):
+        raise ValueError(f"{name!r} cannot name a column: use letters, digits and _")
     return name
 
 
 def parse_value(raw: str):
-    """``true``/``false`` to a boolean, a number to int (when whole) or
-    float, anything else stays text. Non-finite numbers are rejected."""
-    s = raw.strip()
-    if not s:
-        raise ValueError("assign value cannot be empty")
-    if s.lower() in ("true", "false"):
-        return s.lower() == "true"
+    """What a rule assigns: a truth value, a number (whole ones as int), else
+    the text itself. Blank text and numbers that are not finite are refused."""
+    text = raw.strip()
+    truth = {"true": True, "false": False}.get(text.lower())
+    if truth is not None:
+        return truth
+    if WHOLE.fullmatch(text):
+        return int(text)
     try:
-        f = float(s)
+        number = float(text)
     except ValueError:
-        return s
-    if math.isinf(f) or math.isnan(f):
-        raise ValueError(f"value {raw!r} is not a finite number")
-    return int(f) if f == int(f) else f
+        if not text:
+            raise ValueError("a rule needs a value to assign") from None
+        return text
+    if not math.isfinite(number):
+        raise ValueError(f"{raw!r} is no finite number")
+    return int(number) if number.is_integer() else number
 
 
 # ---------------------------------------------------------------- map rules
@@ -72,7 +75,7 @@ class MapRule:
 
     @property
     def label(self) -> str:
-        return f"{self.field} {self.operator} {self.threshold:.4g} -> {self.new_field} = {self.true_value}"
+        return f"{self.new_field} := {self.true_value!r} where {self.field} {self.operator} {self.threshold:g}"
 
 
 def make_map_rule(df: DataFrame, field: str, operator: str, method: str, new_field: str,
@@ -87,7 +90,7 @@ def make_map_rule(df: DataFrame, field: str, operator: str, method: str, new_fie
             raise ValueError(f"could not compute the {method} of {field!r}")
     else:
         thr = float(number)
-    return MapRule(field, operator, thr, _check_name(new_field), parse_value(str(value)))
+    return MapRule(field, operator, thr, new_column(new_field), parse_value(str(value)))
 
 
 def _lit_type(v) -> str:
@@ -101,99 +104,126 @@ def _lit_type(v) -> str:
 
 
 def apply_map_rules(df: DataFrame, rules: Sequence[MapRule]) -> DataFrame:
-    """All map rules in one projection. Rules on one target form a CASE in
-    which the later rule wins; rows no rule matches keep the target's earlier
-    value (or missing). Mixed value types on one target become text. The
-    target is marked categorical (it is an object column in the reference)."""
-    rules = [r for r in rules if r.enabled]
-    if not rules:
-        return df
+    """Map rules one after another: a rule sees what earlier rules wrote.
+
+    Rules up to the next that reads an earlier target share one projection.
+    Rules on one target form a CASE in which the later rule wins; rows no rule
+    matches keep the target's earlier value (or missing). Mixed value types on
+    one target become text. A new target is marked categorical; a column that
+    was there keeps its role, if its type stays."""
+    batch: list[MapRule] = []
+    for rule in (r for r in rules if r.enabled):
+        if rule.field in {r.new_field for r in batch}:
+            df, batch = _map_batch(df, batch), []
+        batch.append(rule)
+    return _map_batch(df, batch) if batch else df
+
+
+def _target_type(df: DataFrame, name: str, rules: Sequence[MapRule]) -> str:
+    types = {_lit_type(r.true_value) for r in rules}
+    if name in df.columns:
+        types.add(df.schema[name].dataType.simpleString())
+    if len(types) == 1:
+        return types.pop()
+    if types <= {"int", "bigint"}:
+        return "bigint"
+    return "double" if types <= {"int", "bigint", "float", "double"} else "string"
+
+
+def _map_batch(df: DataFrame, rules: Sequence[MapRule]) -> DataFrame:
+    """Rules that read only what the table holds now, in one projection."""
     targets: dict[str, list[MapRule]] = {}
     for r in rules:
         targets.setdefault(r.new_field, []).append(r)
-    new_cols = {}
-    for name, rs in targets.items():
-        types = {_lit_type(r.true_value) for r in rs}
-        if name in df.columns:
-            types.add(df.schema[name].dataType.simpleString())
-        if len(types) == 1:
-            t = types.pop()
-        elif types <= {"bigint", "double", "int"}:
-            t = "double"
-        else:
-            t = "string"
+    made = {}
+    for name, own in targets.items():
+        kind = _target_type(df, name, own)
+        there = name in df.columns
+        expr = F
+        for r in reversed(own):
+            v = r.true_value
+            value = F.lit(str(v)) if isinstance(v, bool) and kind == "string" else F.lit(v).cast(kind)
+            expr = expr.when(r.condition(df), value)
+        if not there:
+            made[name] = roles.categorical(expr.otherwise(F.lit(None).cast(kind)), name)
+            continue
+        before = df.schema[name]
+        old = bool_text(_q(name)) if kind == "string" and before.dataType == T.BooleanType() else _q(name).cast(kind)
+        made[name] = expr.otherwise(old).alias(name, metadata=before.metadata)
+    return df.select(*[made.pop(c, _q(c)) for c in df.columns], *made.values())
 
-        def val(v):
-            if isinstance(v, bool) and t == "string":
-                return F.lit("True" if v else "False")
-            return F.lit(v).cast(t)
 
-        base = _q(name).cast(t) if name in df.columns else F.lit(None).cast(t)
-        expr = None
-        for r in reversed(rs):
-            expr = F.when(r.condition(df), val(r.true_value)) if expr is None \
-                else expr.when(r.condition(df), val(r.true_value))
-        new_cols[name] = roles.categorical(expr.otherwise(base), name)
-    keep = [new_cols.pop(c) if c in new_cols else _q(c) for c in df.columns]
-    return df.select(*keep, *new_cols.values())
+# ------------------------------------------------------------------ binning
 
+@dataclass(frozen=True)
+class Bins:
+    """Edges of right-closed bins and the label of each, fixed when made."""
+    edges: tuple
+    labels: tuple
+
+    @classmethod
+    def over(cls, low: float, cuts: Sequence[float], high: float, whole: bool) -> Bins:
+        """Bins from ``low`` over ``cuts`` to ``high``. Labels read
+        ``13-20``, ``21-30`` for whole numbers (a bin starts one above the
+        edge, but for the first), else ``13.0-20.0``, ``20.0-30.0``."""
+        edges = tuple(float(e) for e in (low, *cuts, high))
+        spans = list(zip(edges, edges[1:]))
+        if whole:
+            labels = [f"{int(a) + (k > 0)}-{int(b)}" for k, (a, b) in enumerate(spans)]
+        else:
+            labels = [f"{a}-{b}" for a, b in spans]
+        if len(set(labels)) < len(labels):
+            raise ValueError(f"two bins would be called alike: {labels}")
+        return cls(edges, tuple(labels))
+
+    def label_of(self, x: Column) -> Column:
+        """The label of each value; missing outside the edges."""
+        first, *rest = zip(self.edges, self.edges[1:], self.labels)
+        expr = F.when((x >= F.lit(first[0])) & (x <= F.lit(first[1])), F.lit(first[2]))
+        for low, high, label in rest:
+            expr = expr.when((x > F.lit(low)) & (x <= F.lit(high)), F.lit(label))
+        return expr
 
-# ------------------------------------------------------------------ binning
 
 def bin_labels(edges: Sequence[float], is_int: bool) -> list[str]:
-    """``13-20``, ``21-30`` for integer columns (left edge + 1 after the
-    first bin), ``13.0-20.0`` otherwise."""
-    out = []
-    for i in range(len(edges) - 1):
-        lo, hi = edges[i], edges[i + 1]
-        if is_int:
-            left = int(lo) if i == 0 else int(lo) + 1
-            out.append(f"{left}-{int(hi)}")
-        else:
-            out.append(f"{float(lo)}-{float(hi)}")
-    return out
+    return list(Bins.over(edges[0], edges[1:-1], edges[-1], is_int).labels)
 
 
 @dataclass(frozen=True)
 class BinRule:
     field: str
-    edges: tuple
-    labels: tuple
+    bins: Bins
     new_col: str
     enabled: bool = True
 
+    @property
+    def edges(self) -> tuple:
+        return self.bins.edges
+
+    @property
+    def labels(self) -> tuple:
+        return self.bins.labels
+
     def expression(self, df: DataFrame) -> Column:
         """Right-closed bins, lowest edge included, outside the edges missing."""
-        x = clean_numeric(df, self.field)
-        e = self.edges
-        expr = F.when((x >= F.lit(e[0])) & (x <= F.lit(e[1])), F.lit(self.labels[0]))
-        for i in range(1, len(self.labels)):
-            expr = expr.when((x > F.lit(e[i])) & (x <= F.lit(e[i + 1])), F.lit(self.labels[i]))
-        return roles.categorical(expr, self.new_col, list(self.labels))
+        return roles.categorical(self.bins.label_of(clean_numeric(df, self.field)), self.new_col, list(self.labels))
 
 
 def make_bin_rule(df: DataFrame, field: str, cutoffs: Sequence[float] | str, new_col: str) -> BinRule:
-    """Edges are ``[min] + sorted(set(cutoffs)) + [max]`` (frozen); each
-    cutoff must lie strictly between min and max; equal labels are refused."""
-    new_col = _check_name(new_col)
-    if isinstance(cutoffs, str):
-        cutoffs = [float(x.strip()) for x in cutoffs.split(",") if x.strip()]
-    cuts = sorted({float(c) for c in cutoffs})
+    """Bins between the column's min and max (frozen), cut at ``cutoffs`` (each
+    once, in order), which must all lie inside."""
+    new_col = new_column(new_col)
+    parts = cutoffs.split(",") if isinstance(cutoffs, str) else cutoffs
+    cuts = sorted({float(c) for c in parts if str(c).strip()})
     if not cuts:
-        raise ValueError("at least one cutoff is needed")
-    rng = field_range(df, field)
-    if rng is None:
+        raise ValueError("bins need a cutoff")
+    ends = field_range(df, field)
+    if ends is None:
         raise ValueError(f"{field!r} has no values")
-    lo, hi = rng
-    for c in cuts:
-        if c <= lo or c >= hi:
-            raise ValueError(f"cutoff {c} must be strictly between min ({lo}) and max ({hi})")
-    is_int = roles.is_integral(df, field)
-    edges = [lo] + cuts + [hi]
-    labels = bin_labels(edges, is_int)
-    if len(set(labels)) != len(labels):
-        raise ValueError(f"cutoffs {cuts} give repeated bin labels {labels}")
-    return BinRule(field, tuple(edges), tuple(labels), new_col)
+    outside = [c for c in cuts if not ends[0] < c < ends[1]]
+    if outside:
+        raise ValueError(f"cutoffs {outside} are not inside the values of {field!r}, {ends[0]:g} to {ends[1]:g}")
+    return BinRule(field, Bins.over(ends[0], cuts, ends[1], roles.is_integral(df, field)), new_col)
 
 
 def apply_bin(df: DataFrame, rule: BinRule) -> DataFrame:
@@ -215,11 +245,11 @@ class OneHotRule:
 
 
 def make_one_hot_rule(df: DataFrame, field: str, existing: Sequence[OneHotRule] = (),
-                      max_levels: int = DEFAULT_MAX_LEVELS) -> OneHotRule:
+                      max_levels: int | None = None) -> OneHotRule:
     """Boolean ``field_is_value`` columns, source kept; a field once only."""
-    if any(r.field == field for r in existing):
-        raise ValueError(f"{field!r} has already been one-hot encoded")
-    return OneHotRule(field, tuple(distinct_values(df, field, max_levels)))
+    if field in [r.field for r in existing]:
+        raise ValueError(f"there is a one-hot rule for {field!r}")
+    return OneHotRule(field, tuple(distinct_values(df, [field], max_levels)[field]))
 
 
 @dataclass(frozen=True)
@@ -234,7 +264,7 @@ class Log2Rule:
 
 
 def make_log2_rule(field: str, new_col: str, existing: Sequence[Log2Rule] = ()) -> Log2Rule:
-    new_col = _check_name(new_col)
+    new_col = new_column(new_col)
     if any(r.new_col == new_col for r in existing):
         raise ValueError(f"a rule writing to {new_col!r} already exists")
     return Log2Rule(field, new_col)
@@ -256,31 +286,19 @@ class FeatureRules:
     logs: list = field(default_factory=list)
 
     def apply(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        steps = [("map", r.label, lambda d, r=r: apply_map_rules(d, [r])) for r in self.maps if r.enabled]
+        steps += [("bin", r.field, lambda d, r=r: apply_bin(d, r)) for r in self.bins if r.enabled]
+        steps += [("one-hot", r.field, lambda d, r=r: r.apply(d)) for r in self.one_hots if r.enabled]
+        steps += [("log2", r.field, lambda d, r=r: apply_log2(d, r)) for r in self.logs if r.enabled]
         errors: list[str] = []
-        maps = [r for r in self.maps if r.enabled]
-        try:
-            df = apply_map_rules(df, maps)
-        except Exception as exc:  # one bad rule must not stop the rest
-            for r in maps:
-                try:
-                    df = apply_map_rules(df, [r])
-                except Exception as one:
-                    errors.append(f"Map rule '{r.label}' failed: {one}")
-            if not errors:
-                errors.append(f"Map rules failed: {exc}")
-        for r in [b for b in self.bins if b.enabled]:
-            try:
-                df = apply_bin(df, r)
-            except Exception as exc:
-                errors.append(f"Binning on '{r.field}' failed: {exc}")
-        for r in [o for o in self.one_hots if o.enabled]:
-            try:
-                df = r.apply(df)
-            except Exception as exc:
-                errors.append(f"OHE on '{r.field}' failed: {exc}")
-        for r in [g for g in self.logs if g.enabled]:
+        try:  # the usual case: no map rule is bad, and they share projections
+            df = apply_map_rules(df, self.maps)
+            steps = [s for s in steps if s[0] != "map"]
+        except Exception:  # then one by one, to tell which
+            pass
+        for kind, what, step in steps:
             try:
-                df = apply_log2(df, r)
-            except Exception as exc:
-                errors.append(f"Log transform on '{r.field}' failed: {exc}")
+                df = step(df)
+            except Exception as exc:  # one bad rule must not stop the rest
+                errors.append(f"{kind} rule ({what}) not applied: {exc}")
         return df, errors

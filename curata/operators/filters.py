@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
-from ..functions.exprs import text_in
+from ..functions.exprs import text_not_in
 
 
 def _q(name: str) -> Column:
@@ -83,13 +83,13 @@ def combined_predicate(df: DataFrame, filters: Sequence) -> Column | None:
 def filter_all(df: DataFrame, filters: Sequence) -> DataFrame:
     """All filters in one ``filter`` node."""
     cond = combined_predicate(df, filters)
-    return df if cond is None else df.where(F.coalesce(cond, F.lit(False)))
+    return df if cond is None else df.where(cond)  # a NULL condition keeps no row
 
 
 def filter_status(df: DataFrame, filters: Sequence) -> DataFrame:
     """Rows before and after the filters, in one aggregate."""
     cond = combined_predicate(df, filters)
-    after = F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))
+    after = F.count(F.lit(1)) if cond is None else F.count_if(cond)
     return df.agg(F.count(F.lit(1)).alias("rows_before"), after.alias("rows_after"))
 
 
@@ -122,7 +122,6 @@ def parse_drop_rule(column: str, text: str) -> DropRule | None:
 
 
 def drop_values(df: DataFrame, column: str, values: Iterable[str]) -> DataFrame:
-    """Drop rows where ``str(value)`` (as the reference prints it) is in
-    ``values``; missing cells match ``nan`` / ``<NA>`` / ``None``."""
-    dtype = df.schema[column].dataType
-    return df.where(~text_in(_q(column), dtype, values))
+    """Drop rows whose value, as text, is in ``values``; missing cells match
+    ``nan`` / ``<NA>`` / ``None``."""
+    return df.where(text_not_in(_q(column), df.schema[column].dataType, values))

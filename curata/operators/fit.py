@@ -16,13 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
-from ..functions.exprs import clean_numeric, display_text, safe_name
-from ..functions.names import make_unique
+from ..functions.exprs import clean_numeric
+from ..functions.names import make_unique, spell
 from .quantiles import exact_quantiles
 from .summary import unpivot_numeric
 
-DEFAULT_MAX_LEVELS = 1000
-
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -62,7 +60,7 @@ class ImputeModel:
                 rep[c] = (F.coalesce(x, F.lit(v)) if v is not None else x).alias(c)
         for c, v in self.categorical_fill.items():
             if c in df.columns:
-                f = df.schema[c]               # the mode was found as text: cast it back
+                f = df.schema[c]
                 fill = F.lit(v).cast(f.dataType)
                 rep[c] = F.coalesce(_q(c), fill).alias(c, metadata=f.metadata)
         return _project(df, rep)
@@ -116,19 +114,26 @@ def fit_impute(df: DataFrame, method: str = "mean") -> ImputeModel:
     return ImputeModel(numeric_fill, categorical_fill, method)
 
 
-def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent non-missing text of each column, smallest on ties.
-
-    All columns in one job: unpivot to (column, value), count per pair with
-    a partial aggregate, then keep the min of (-count, value) per column, so
-    no column's distinct values are ever held by one task."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value"))
-        for c in columns])).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("b"))
-    return {r["column"]: r["b"]["value"] for r in best.collect()}
+def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """Most frequent non-missing value of each column, the smallest on ties.
+
+    Columns of one type share a job: unpivot to (column, value), count per
+    pair with a partial aggregate, then keep the min of (-count, value) per
+    column, so no column's distinct values are ever held by one task, and ties
+    are ordered as their own type orders them."""
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    modes: dict[str, object] = {}
+    for same in by_type.values():
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), _q(c).alias("value"))
+            for c in same])).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
+        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("column").agg(
+            F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("b"))
+        modes.update((r["column"], r["b"]["value"]) for r in best.collect())
+    return modes
 
 
 # ------------------------------------------------------------------- scaling
@@ -193,9 +198,12 @@ class Fences:
         return _project(df, rep)
 
     def keep_predicate(self, df: DataFrame) -> Column | None:
+        """Plain comparisons on the raw columns, which the scan can evaluate."""
         cond = None
         for c, (lo, hi) in self.bounds.items():
-            p = F.coalesce(clean_numeric(df, c).between(F.lit(lo), F.lit(hi)), F.lit(False))
+            p = (_q(c) >= F.lit(lo)) & (_q(c) <= F.lit(hi))
+            if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+                p = p & ~F.isnan(_q(c))
             cond = p if cond is None else cond & p
         return cond
 
@@ -223,30 +231,49 @@ def fit_fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -
 
 # ------------------------------------------------------------------ ln gate
 
-def ln_transform(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
-    """Natural log in place for columns with no missing cell and all values
-    > 0 (gate for all columns from one aggregate); others are skipped."""
+def ln_ready(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Number columns (booleans too) without a missing cell and with all
+    values > 0; one aggregate for all."""
     cols = [c for c in columns if c in df.columns and roles.is_numeric_field(df.schema[c], True)]
     if not cols:
-        return df, [], []
+        return []
     r = df.agg(*[F.count_if(clean_numeric(df, c).isNull() | (clean_numeric(df, c) <= 0)).alias(f"b{i}")
                  for i, c in enumerate(cols)]).first()
-    done = [c for i, c in enumerate(cols) if r[f"b{i}"] == 0]
-    skipped = [c for c in cols if c not in done]
-    rep = {c: F.ln(clean_numeric(df, c)).alias(c) for c in done}
-    return _project(df, rep), done, skipped
+    return [c for i, c in enumerate(cols) if r[f"b{i}"] == 0]
+
+
+def apply_ln(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _project(df, {c: F.ln(clean_numeric(df, c)).alias(c) for c in columns})
+
+
+def ln_transform(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Natural log in place of the columns that :func:`ln_ready` lets pass;
+    the other number columns are skipped."""
+    cols = [c for c in columns if c in df.columns and roles.is_numeric_field(df.schema[c], True)]
+    done = ln_ready(df, cols)
+    return (apply_ln(df, done) if done else df), done, [c for c in cols if c not in done]
 
 
 # ------------------------------------------------------------------ one-hot
 
-def distinct_values(df: DataFrame, column: str, max_levels: int = DEFAULT_MAX_LEVELS) -> list:
-    """Distinct non-missing values, sorted in their own type. Only up to
-    ``max_levels + 1`` values ever reach the driver; more raises."""
-    vals = (df.select(_q(column).alias("v")).where(F.col("v").isNotNull()).distinct()
-            .orderBy("v").limit(max_levels + 1).collect())
-    if len(vals) > max_levels:
-        raise ValueError(f"column {column!r} has more than {max_levels} distinct values")
-    return [r["v"] for r in vals]
+def distinct_values(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict[str, list]:
+    """Distinct non-missing values of each column, sorted in their own type;
+    one aggregate for all columns. Every value becomes a column of the result,
+    so they fit a plan by nature; ``max_levels`` makes more of them an error."""
+    if not columns:
+        return {}
+    cells = []
+    for i, c in enumerate(columns):
+        v = _q(c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            v = F.when(~F.isnan(v), v + F.lit(0.0).cast(df.schema[c].dataType))
+        cells.append(F.collect_set(v).alias(f"v{i}"))
+    r = df.agg(*cells).first()
+    found = {c: sorted(r[f"v{i}"]) for i, c in enumerate(columns)}
+    for c, values in found.items():
+        if max_levels is not None and len(values) > max_levels:
+            raise ValueError(f"column {c!r} has {len(values)} distinct values, more than {max_levels}")
+    return found
 
 
 def _value_text(v) -> str:
@@ -261,19 +288,21 @@ class OneHotModel:
     keep_source: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Cells are compared as values of the column's type; their text only
+        names the new columns."""
         existing = [c for c in df.columns if not (not self.keep_source and c in self.levels)]
         new_names, new_exprs = [], []
         for c, vals in self.levels.items():
             if c not in df.columns:
                 continue
-            dtype = df.schema[c].dataType
             for v in vals:
+                same = _q(c) == F.lit(v).cast(df.schema[c].dataType)
                 if self.keep_source:
-                    name = f"{c}_is_{safe_name(_value_text(v))}"
-                    e = F.coalesce(display_text(_q(c), dtype) == F.lit(_value_text(v)), F.lit(False))
+                    name = f"{c}_is_{spell(_value_text(v), symbols_part=True)}"
+                    e = F.coalesce(same, F.lit(False))
                 else:
                     name = f"{c}_{_value_text(v)}"
-                    e = F.when(_q(c) == F.lit(v), 1).otherwise(0)
+                    e = F.when(same, 1).otherwise(0)
                 new_names.append(name)
                 new_exprs.append(e)
         unique = make_unique(existing + new_names)[len(existing):]
@@ -282,7 +311,7 @@ class OneHotModel:
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str] | None = None, keep_source: bool = False,
-                max_levels: int = DEFAULT_MAX_LEVELS) -> OneHotModel:
+                max_levels: int | None = None) -> OneHotModel:
     """Levels of each column. Replacing encoding (``keep_source=False``)
     without a list encodes every text/category column and ignores non-text
     columns in a list; the keeping form takes any column."""
@@ -291,5 +320,4 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str] | None = None, keep_source
     else:
         cat = roles.categorical_columns(df, include_bool=False)
         cols = [c for c in columns if c in cat] if columns else cat
-    levels = {c: distinct_values(df, c, max_levels) for c in cols}
-    return OneHotModel(levels, keep_source)
+    return OneHotModel(distinct_values(df, cols, max_levels), keep_source)

@@ -11,14 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import roles
 from ..functions.exprs import clean_numeric, label_missing, parse_datetime, zero_sign
-from ..session import materialize_counted
+from ..session import kept_rows
 from .quantiles import BROADCAST_ROWS, exact_quantiles, null_safe_join
 
 DEFAULT_BINS = 30
@@ -34,46 +33,78 @@ def _group_label(df: DataFrame, group_by: str | None) -> Column:
     return label_missing(_q(group_by), df.schema[group_by].dataType)
 
 
-def _checked_broadcast(small: DataFrame) -> DataFrame:
-    """Compute a per-group table once (persisted) and broadcast it only when
-    its measured row count is under the bound; otherwise Catalyst / AQE pick
-    a shuffle join."""
-    small, n = materialize_counted(small)
-    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+def _named(df: DataFrame, group_by: str | None, grouped: bool) -> DataFrame:
+    """The group column under its own name, or ``<name>_group`` where a result
+    column is called like it; without a group it goes."""
+    if not grouped:
+        return df.drop("_g")
+    name = f"{group_by}_group" if group_by.lower() in {c.lower() for c in df.columns} else group_by
+    return df.withColumnRenamed("_g", name).orderBy(_q(name), *[c for c in ("bin", "point") if c in df.columns])
+
+
+def _edges(lo: float | None, hi: float | None) -> tuple[float, float]:
+    """Outer edges: no value gives 0 to 1, one value half a unit either side."""
+    if lo is None:
+        return 0.0, 1.0
+    return (lo - 0.5, hi + 0.5) if lo == hi else (float(lo), float(hi))
+
+
+def _edge(i: Column, ends: tuple[float, float], bins: int) -> Column:
+    step = (ends[1] - ends[0]) / bins
+    return F.when(i == bins, F.lit(ends[1])).otherwise(i.cast("double") * F.lit(step) + F.lit(ends[0]))
+
+
+def _bin_of(x: Column, ends: tuple[float, float], bins: int) -> Column:
+    """Place of a value among equal bins, the last one closed. The quotient may
+    round to a neighbour, so it is compared with the bin's own two edges."""
+    near = F.least(F.greatest(F.floor((x - F.lit(ends[0])) / F.lit(ends[1] - ends[0]) * F.lit(float(bins))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    down = (x < _edge(near, ends, bins)) & (near > 0)
+    up = (x >= _edge(near + 1, ends, bins)) & (near < bins - 1)
+    return F.when(down, near - 1).when(up, near + 1).otherwise(near)
+
+
+def _all_bins(counted: DataFrame, keys: list[str], ends: tuple[float, float], bins: int) -> DataFrame:
+    """Bin rows, empty ones too, of ``counted`` (keys, bin, n): a group's bins
+    are a map of at most ``bins`` entries."""
+    entries = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))))
+    each = counted.groupBy(*keys).agg(entries.alias("_m")) if keys else counted.agg(entries.alias("_m"))
+    rows = each.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return rows.select(*keys, "bin", zero_sign(_edge(F.col("bin"), ends, bins)).alias("bin_lo"),
+                       zero_sign(_edge(F.col("bin") + 1, ends, bins)).alias("bin_hi"),
+                       F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).cast("long").alias("count"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS,
               group_by: str | None = None) -> DataFrame:
     """Equal-width counts over the non-missing values (edges shared by all
     groups; a constant column is widened by 0.5 each side; the last bin is
-    closed). Empty bins are listed with count 0. Columns: ``[group,] bin,
-    bin_lo, bin_hi, count``."""
+    closed). Empty bins are listed with count 0, also of a column without
+    values. Columns: ``[group,] bin, bin_lo, bin_hi, count``. One pass over
+    the data after the range."""
     bins = max(int(bins or DEFAULT_BINS), 1)
-    x = clean_numeric(df, column)
     grouped = bool(group_by and group_by in df.columns)
-    base = df.select(x.alias("x"), _group_label(df, group_by).alias("group")).where(F.col("x").isNotNull())
+    base = df.select(clean_numeric(df, column).alias("_x"), _group_label(df, group_by).alias("_g")).where(F.col("_x").isNotNull())
     # fit: the edges are one row of two numbers, used as literals afterwards
-    r = base.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if r["lo"] is None:
-        lo, hi = 0.0, 1.0                      # no values: every bin empty
-    elif r["lo"] == r["hi"]:
-        lo, hi = r["lo"] - 0.5, r["hi"] + 0.5
-    else:
-        lo, hi = float(r["lo"]), float(r["hi"])
-    lo, hi = F.lit(lo), F.lit(hi)
-    idx = F.least(F.greatest(F.floor((F.col("x") - lo) * (F.lit(float(bins)) / (hi - lo))),
-                             F.lit(0)), F.lit(bins - 1)).cast("int")
-    counts = base.groupBy("group", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    groups = counts.select("group").distinct()
-    grid = groups.select("group", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = null_safe_join(grid, counts, ["group", "bin"], how="left")
-    width = (hi - lo) / F.lit(float(bins))
-    out = out.select("group", "bin", zero_sign(lo + F.col("bin") * width).alias("bin_lo"),
-                     zero_sign(lo + (F.col("bin") + 1) * width).alias("bin_hi"),
-                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
-    if grouped:
-        return out.withColumnRenamed("group", group_by).orderBy(_q(group_by), "bin")
-    return out.drop("group").orderBy("bin")
+    r = base.agg(F.min("_x"), F.max("_x")).first()
+    ends = _edges(r[0], r[1])
+    counted = base.groupBy("_g", _bin_of(F.col("_x"), ends, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    out = _all_bins(counted, ["_g"] if grouped else [], ends, bins)
+    return _named(out, group_by, True) if grouped else out.orderBy("bin")
+
+
+def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """The histograms of several number columns: ``variable, bin, bin_lo,
+    bin_hi, count``. One job finds all ranges, one pass counts all bins."""
+    cells = {c: clean_numeric(df, c) for c in columns}
+    r = df.agg(*[f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(cells.values()) for f in (F.min, F.max)]).first()
+    ends = {c: _edges(r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(columns)}
+    places = F.array(*[F.struct(F.lit(c).alias("variable"), _bin_of(x, ends[c], bins).alias("bin")) for c, x in cells.items()])
+    counted = df.select(F.inline(places)).groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
+    parts = [_all_bins(counted.where(F.col("variable") == c), [], ends[c], bins).select(F.lit(c).alias("variable"), "*") for c in columns]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def log2_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -83,6 +114,10 @@ def log2_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return histogram(logged, f"{column}_log2", bins)
 
 
+#: A Gaussian further from its centre than this many bandwidths is exactly 0 in doubles.
+KERNEL_REACH = 38.7
+
+
 def density(df: DataFrame, column: str, group_by: str | None = None, bw_adjust: float = 1.0,
             gridsize: int = 200, cut: float = 3.0,
             collapse: bool | None = None) -> DataFrame:
@@ -95,51 +130,63 @@ def density(df: DataFrame, column: str, group_by: str | None = None, bw_adjust:
     half the rows, from the same pass as the bandwidths) equal values are first
     collapsed to (value, weight), so each distinct value adds its kernel once;
     for near-unique columns that collapse would shuffle the whole column for
-    nothing, so each row adds its kernel directly in the map stage. Kernel
-    terms are summed per (group, point) with map-side partial sums, so only
+    nothing, so each row adds its kernel directly in the map stage. A value
+    adds only to the grid points where its kernel is not 0 in doubles; terms
+    are summed per (group, point) with map-side partial sums, so only
     ``groups x gridsize`` partials are shuffled. ``collapse`` forces either
     path (``None``: choose by the estimate).
     Columns: ``[group,] point, x, density``.
     """
     adjust = max(float(bw_adjust or 1.0), 0.1)
-    x = clean_numeric(df, column)
     grouped = bool(group_by and group_by in df.columns)
-    base = df.select(x.alias("x"), _group_label(df, group_by).alias("group")).where(F.col("x").isNotNull())
-    stats = (base.groupBy("group")
-             .agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                  F.min("x").alias("mn"), F.max("x").alias("mx"),
-                  F.approx_count_distinct("x").alias("ndv"))
-             .where((F.col("n") >= 2) & (F.col("sd") > 0)))
-    bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
-    stats = stats.select("group", "n", "ndv", bw.alias("bw"),
-                         (F.col("mn") - F.lit(cut) * bw).alias("glo"),
-                         (F.col("mx") + F.lit(cut) * bw).alias("ghi"))
-    # one job computes the per-group table, keeps it, and measures it
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-    facts = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"),
-                      F.sum("ndv").alias("ndv")).first()
-    stats_b = F.broadcast(stats) if facts["groups"] <= BROADCAST_ROWS else stats
+    base = df.select(clean_numeric(df, column).alias("_x"), _group_label(df, group_by).alias("_g")).where(F.col("_x").isNotNull())
+    stats = (base.groupBy("_g")
+             .agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
+                  F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
+                  F.approx_count_distinct("_x").alias("_ndv"))
+             .where((F.col("_n") >= 2) & (F.col("_sd") > 0)))
+    bw = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
+    stats = stats.select("_g", "_n", "_ndv", bw.alias("_bw"),
+                         (F.col("_mn") - F.lit(cut) * bw).alias("_lo"),
+                         (F.col("_mx") + F.lit(cut) * bw).alias("_hi"))
+    stats, groups = kept_rows(stats)
     if collapse is None:
-        collapse = bool(facts["groups"]) and facts["ndv"] * 2 <= facts["rows"]
+        facts = stats.agg(F.sum("_n").alias("rows"), F.sum("_ndv").alias("ndv")).first()
+        collapse = bool(groups) and facts["ndv"] * 2 <= facts["rows"]
     if collapse:
-        weights = base.groupBy("group", "x").agg(F.count(F.lit(1)).alias("w"))
+        weights = base.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w"))
     else:
-        weights = base.select("group", "x", F.lit(1).cast("long").alias("w"))
-    j = null_safe_join(weights, stats_b.drop("ndv"), ["group"])
-    step = (F.col("ghi") - F.col("glo")) / F.lit(float(gridsize - 1))
-    pts = j.select("group", "x", "w", "n", "bw", "glo", "ghi",
-                   F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
-    gx = F.col("glo") + F.col("point") * step
-    z = (gx - F.col("x")) / F.col("bw")
-    kern = F.col("w") * F.exp(F.lit(-0.5) * z * z)
-    sums = pts.groupBy("group", "point").agg(
-        F.sum(kern).alias("s"), F.first("n").alias("n"), F.first("bw").alias("bw"),
-        F.first("glo").alias("glo"), F.first("ghi").alias("ghi"))
-    norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
-    out = sums.select("group", "point", zero_sign(gx).alias("x"), (F.col("s") / norm).alias("density"))
-    if grouped:
-        return out.withColumnRenamed("group", group_by).orderBy(_q(group_by), "point")
-    return out.drop("group").orderBy("point")
+        weights = base.select("_g", "_x", F.lit(1).cast("long").alias("_w"))
+    small = F.broadcast(stats) if groups <= BROADCAST_ROWS else stats
+    j = null_safe_join(weights, small.drop("_ndv"), ["_g"])
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(gridsize - 1))
+    reach = F.lit(KERNEL_REACH) * F.col("_bw")
+    first = F.greatest(F.ceil((F.col("_x") - reach - F.col("_lo")) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("_x") + reach - F.col("_lo")) / step), F.lit(gridsize - 1)).cast("int")
+    pts = j.select("_g", "_x", "_w", "_bw", "_lo", step.alias("_step"), F.explode(F.sequence(first, last)).alias("point"))
+    z = (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_x")) / F.col("_bw")
+    sums = pts.groupBy("_g", "point").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    grid = small.select("_g", "_n", "_bw", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    out = null_safe_join(grid, sums, ["_g", "point"], how="left")
+    norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
+    out = out.select("_g", "point", zero_sign(F.col("_lo") + F.col("point") * step).alias("x"),
+                     (F.coalesce("_s", F.lit(0.0)) / norm).alias("density"))
+    return _named(out, group_by, True) if grouped else out.drop("_g").orderBy("point")
+
+
+def _box_fences(base: DataFrame, whis: float) -> DataFrame:
+    """Quartiles and fences of each group, sent to all tasks when they are few."""
+    qs = exact_quantiles(base, ["_g"], "_y", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    fences = qs.select("_g", "q1", "median", "q3", (F.col("q1") - F.lit(whis) * iqr).alias("_lo"),
+                       (F.col("q3") + F.lit(whis) * iqr).alias("_hi"))
+    fences, groups = kept_rows(fences)
+    return F.broadcast(fences) if groups <= BROADCAST_ROWS else fences
+
+
+def _box_rows(df: DataFrame, y: str, x: str | None, whis: float) -> DataFrame:
+    base = df.select(_group_label(df, x).alias("_g"), clean_numeric(df, y).alias("_y")).where(F.col("_y").isNotNull())
+    return null_safe_join(base, _box_fences(base, whis), ["_g"])
 
 
 def box_stats(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) -> DataFrame:
@@ -147,42 +194,30 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) ->
     Q3, whiskers (furthest data within ``whis`` IQR of the box) and the number
     of outliers. Quantiles are exact; whiskers come from one aggregate over
     the data joined with the per-category fences."""
-    yv = clean_numeric(df, y)
     grouped = bool(x and x in df.columns)
-    base = df.select(_group_label(df, x).alias("group"), yv.alias("y")).where(F.col("y").isNotNull())
-    qs = exact_quantiles(base, ["group"], "y", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    iqr = F.col("q3") - F.col("q1")
-    fences = qs.select("group", "q1", "median", "q3",
-                       (F.col("q1") - F.lit(whis) * iqr).alias("flo"),
-                       (F.col("q3") + F.lit(whis) * iqr).alias("fhi"))
-    j = null_safe_join(base, _checked_broadcast(fences), ["group"])
-    inside = (F.col("y") >= F.col("flo")) & (F.col("y") <= F.col("fhi"))
-    agg = j.groupBy("group").agg(
+    rows = _box_rows(df, y, x, whis)
+    inside = (F.col("_y") >= F.col("_lo")) & (F.col("_y") <= F.col("_hi"))
+    agg = rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
-        F.first("q3").alias("q3"), F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
+        F.first("q3").alias("q3"), F.min(F.when(inside, F.col("_y"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_y"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    out = agg.select("group", "n", *[zero_sign(F.col(c)).alias(c) for c in
-                                      ("q1", "median", "q3", "whisker_low", "whisker_high")],
+    out = agg.select("_g", "n", *[zero_sign(F.col(c)).alias(c) for c in
+                                  ("q1", "median", "q3", "whisker_low", "whisker_high")],
                      "n_outliers")
-    if grouped:
-        return out.withColumnRenamed("group", x).orderBy(_q(x))
-    return out.drop("group")
+    return _named(out, x, grouped)
+
+
+def _points(rows: DataFrame, y: str, x: str | None, grouped: bool) -> DataFrame:
+    if not grouped:
+        return rows.select(F.col("_y").alias(y))
+    return rows.select(F.col("_g").alias(x if x.lower() != y.lower() else f"{x}_group"), F.col("_y").alias(y))
 
 
 def box_outliers(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) -> DataFrame:
     """The points drawn beyond the whiskers: ``[x,] y`` for every outlier."""
-    yv = clean_numeric(df, y)
-    grouped = bool(x and x in df.columns)
-    base = df.select(_group_label(df, x).alias("group"), yv.alias("y")).where(F.col("y").isNotNull())
-    qs = exact_quantiles(base, ["group"], "y", [0.25, 0.75], ["q1", "q3"])
-    iqr = F.col("q3") - F.col("q1")
-    fences = qs.select("group", (F.col("q1") - F.lit(whis) * iqr).alias("flo"),
-                       (F.col("q3") + F.lit(whis) * iqr).alias("fhi"))
-    j = null_safe_join(base, _checked_broadcast(fences), ["group"])
-    out = j.where((F.col("y") < F.col("flo")) | (F.col("y") > F.col("fhi"))).select("group", "y")
-    out = out.withColumnRenamed("y", y)
-    return out.withColumnRenamed("group", x) if grouped else out.drop("group")
+    rows = _box_rows(df, y, x, whis)
+    return _points(rows.where((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi"))), y, x, bool(x and x in df.columns))
 
 
 def bar_counts(df: DataFrame, x: str) -> DataFrame:
@@ -250,10 +285,8 @@ def line_x_choices(df: DataFrame) -> list[str]:
 def box_points(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     """The raw points drawn over a box plot: ``[x,] y`` of every non-missing y
     (missing categories labelled). All rows: nothing is sampled."""
-    grouped = bool(x and x in df.columns)
-    out = df.select(_group_label(df, x).alias("group"), clean_numeric(df, y).alias(y)) \
-        .where(F.col(f"`{y}`").isNotNull())
-    return out.withColumnRenamed("group", x) if grouped else out.drop("group")
+    rows = df.select(_group_label(df, x).alias("_g"), clean_numeric(df, y).alias("_y")).where(F.col("_y").isNotNull())
+    return _points(rows, y, x, bool(x and x in df.columns))
 
 
 def coerce_datetime(df: DataFrame, column: str) -> Column:
@@ -268,15 +301,21 @@ def coerce_datetime(df: DataFrame, column: str) -> Column:
 
 def line_series(df: DataFrame, x: str, y: str, group_by: str | None = None) -> DataFrame:
     """Mean of ``y`` per ``x`` (and group): the points a line plot joins.
-    ``x`` must be numeric or date/time-like; rows missing x or y are dropped."""
-    if not (roles.is_numeric(df, x) or is_datetime_like(df, x)):
+    ``x`` must be numeric or date/time-like (decided once); rows missing x or
+    y are dropped."""
+    if roles.is_numeric(df, x):
+        xv = clean_numeric(df, x)
+    elif is_datetime_like(df, x):
+        xv = parse_datetime(_q(x)) if isinstance(df.schema[x].dataType, T.StringType) else _q(x)
+    else:
         raise ValueError(f"{x!r} is neither numeric nor date/time")
-    xv = clean_numeric(df, x) if roles.is_numeric(df, x) else coerce_datetime(df, x)
     grouped = bool(group_by and group_by in df.columns)
-    base = df.select(_group_label(df, group_by).alias("group"), xv.alias("x"),
-                     clean_numeric(df, y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    out = base.groupBy("group", "x").agg(F.avg("y").alias("y_mean"), F.count(F.lit(1)).alias("n"))
-    out = out.withColumnRenamed("x", x)
-    if grouped:
-        return out.withColumnRenamed("group", group_by).orderBy(_q(group_by), _q(x))
-    return out.drop("group").orderBy(_q(x))
+    base = df.select(_group_label(df, group_by).alias("_g"), xv.alias("_x"),
+                     clean_numeric(df, y).alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    out = base.groupBy("_g", "_x").agg(F.avg("_y").alias("y_mean"), F.count(F.lit(1)).alias("n"))
+    name = x if x not in ("y_mean", "n") else f"{x}_x"
+    out = out.withColumnRenamed("_x", name)
+    if not grouped:
+        return out.drop("_g").orderBy(_q(name))
+    label = group_by if group_by not in out.columns else f"{group_by}_group"
+    return out.withColumnRenamed("_g", label).orderBy(_q(label), _q(name))

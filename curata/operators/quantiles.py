@@ -18,10 +18,11 @@ table would not fit. Here each quantile is found by rank instead:
 4. once an interval holds at most ``exact_limit`` rows its distinct values are
    counted and ranked with a window whose partition is that interval only.
 
-Every pass over the data is a join with a small interval table (broadcast when
-its row count is under a checked bound) followed by a partial aggregate, so no
-task ever sees more than ``exact_limit`` rows of one group and hot groups are
-split across all map tasks. The result is exact; for doubles a handful of
+Every pass over the data filters by the intervals (literals of the plan where
+they are few, else a join with the interval table, broadcast under a checked
+bound) and is followed by a partial aggregate, so no task ever sees more than
+``exact_limit`` distinct values of one group and hot groups are split across
+all map tasks. The result is exact; for doubles a handful of
 passes suffice (each pass narrows an interval by ``buckets`` times).
 """
 
@@ -31,10 +32,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pyspark import StorageLevel
-
-from ..session import materialize
+from ..session import LITERAL_ROWS, materialize
 
 DEFAULT_EXACT_LIMIT = 50_000
 DEFAULT_BUCKETS = 4096
@@ -76,39 +76,39 @@ def _rank_exprs(probs: Sequence[float]) -> Column:
     return F.array_distinct(F.array(*ranks))
 
 
-def _exact_pass(data: DataFrame, tg: DataFrame, kn: list[str], n_tg: int) -> DataFrame:
+def _in_intervals(data: DataFrame, tg: DataFrame, kn: list[str], n_tg: int) -> DataFrame:
+    """Values inside the intervals (_a, _b) of their group."""
     iv = broadcast_if_small(tg.select(*kn, "_a", "_b").distinct(), n_tg)
-    j = null_safe_join(data, iv, kn,
-                       extra=lambda l, r: (l("_v") >= r("_a")) & (l("_v") <= r("_b")))
-    vc = j.groupBy(*kn, "_a", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*kn, "_a", "_b").orderBy("_v")
+    return null_safe_join(data, iv, kn,
+                          extra=lambda l, r: (l("_v") >= r("_a")) & (l("_v") <= r("_b")))
+
+
+def _hits(counted: DataFrame, tg: DataFrame, kn: list[str], n_tg: int, order: str) -> DataFrame:
+    """Of rows counted (_c) in order within an interval, those that hold a
+    wanted rank, with the number of rows before them (_lo)."""
+    w = (Window.partitionBy(*kn, "_a", "_b").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    vc = vc.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    counted = counted.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     want = broadcast_if_small(tg.select(*kn, "_a", "_b", "_r", "_rel"), n_tg)
-    hit = null_safe_join(vc, want, kn + ["_a", "_b"],
-                         extra=lambda l, r: (r("_rel") >= l("_lo")) & (r("_rel") < l("_hi")))
-    return hit.select(*kn, "_r", F.col("_v").alias("_val"))
+    return null_safe_join(counted, want, kn + ["_a", "_b"],
+                          extra=lambda l, r: (r("_rel") >= l("_lo")) & (r("_rel") < l("_hi")))
+
 
+def _exact_pass(inside: DataFrame, tg: DataFrame, kn: list[str], n_tg: int) -> DataFrame:
+    counted = inside.groupBy(*kn, "_a", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return _hits(counted, tg, kn, n_tg, "_v").select(*kn, "_r", F.col("_v").alias("_val"))
 
-def _split_pass(data: DataFrame, tg: DataFrame, kn: list[str], n_tg: int,
+
+def _split_pass(inside: DataFrame, tg: DataFrame, kn: list[str], n_tg: int,
                 buckets: int) -> DataFrame:
-    iv = broadcast_if_small(tg.select(*kn, "_a", "_b").distinct(), n_tg)
-    j = null_safe_join(data, iv, kn,
-                       extra=lambda l, r: (l("_v") >= r("_a")) & (l("_v") <= r("_b")))
     # halves keep the width finite for values near the double range limits;
     # every step is monotone, so bucket order is value order
     half = F.lit(0.5)
     pos = (F.col("_v") * half - F.col("_a") * half) / (F.col("_b") * half - F.col("_a") * half)
     bucket = F.least(F.floor(pos * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
-    bt = (j.groupBy(*kn, "_a", "_b", bucket.alias("_bk"))
-          .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
-               F.max("_v").alias("_bmax")))
-    w = (Window.partitionBy(*kn, "_a", "_b").orderBy("_bk")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bt = bt.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    want = broadcast_if_small(tg.select(*kn, "_a", "_b", "_r", "_rel"), n_tg)
-    hit = null_safe_join(bt, want, kn + ["_a", "_b"],
-                         extra=lambda l, r: (r("_rel") >= l("_lo")) & (r("_rel") < l("_hi")))
+    counted = (inside.groupBy(*kn, "_a", "_b", bucket.alias("_bk"))
+               .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
+    hit = _hits(counted, tg, kn, n_tg, "_bk")
     return hit.select(*kn, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
                       (F.col("_rel") - F.col("_lo")).alias("_rel"),
                       F.col("_c").alias("_cnt"))
@@ -166,44 +166,130 @@ def octave_histogram(projected: DataFrame, kn: list[str], moments: bool) -> Data
     return with_octave_bucket(projected).groupBy(*kn, "_bk").agg(*aggs)
 
 
-def moments_from_histogram(hist: DataFrame, kn: list[str]) -> DataFrame:
+def moments_from_histogram(hist: DataFrame, kn: list[str], extra: Sequence[Column] = ()) -> DataFrame:
     """count, min, max, mean and sample sd per group, merged from the bucket
-    table with the parallel-variance rule (stable, no sum of squares)."""
+    table with the parallel-variance rule (stable, no sum of squares); ``extra``
+    aggregates ride along."""
     g = Window.partitionBy(*kn)
-    n = F.sum("_c").over(g)
-    mean = F.try_divide(F.sum("_s").over(g), n)
-    with_mean = hist.select(*kn, "_c", "_bmin", "_bmax", "_s", "_vp", n.alias("_n"),
-                            mean.alias("_mean"))
+    mean = F.try_divide(F.sum("_s").over(g), F.sum("_c").over(g))
+    with_mean = hist.withColumn("_mean", mean)
     dev = F.try_divide(F.col("_s"), F.col("_c")) - F.col("_mean")
     m2 = F.when(F.col("_c") > 0, F.col("_vp") * F.col("_c") + F.col("_c") * dev * dev)
     agg = with_mean.groupBy(*kn).agg(
         F.sum("_c").alias("count"), F.min("_bmin").alias("min"), F.max("_bmax").alias("max"),
-        F.first("_mean", ignorenulls=True).alias("mean"), F.sum(m2).alias("_m2"))
+        F.first("_mean", ignorenulls=True).alias("mean"), F.sum(m2).alias("_m2"), *extra)
     sd = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("_m2"), F.col("count") - 1)))
-    return agg.select(*kn, "count", "min", "max", "mean", sd.alias("sd"))
+    kept = [c for c in agg.columns if c not in (*kn, "count", "min", "max", "mean", "_m2")]
+    return agg.select(*kn, "count", "min", "max", "mean", sd.alias("sd"), *kept)
 
 
-def _locate(hist: DataFrame, kn: list[str], probs: Sequence[float]) -> DataFrame:
-    """Wanted ranks of every group, each moved into the octave bucket that
-    holds it, from the (small) bucket table alone: running and total counts
-    come from windows over one group's buckets."""
+def _with_ranks(hist: DataFrame, kn: list[str], probs: Sequence[float]) -> DataFrame:
+    """The bucket table with, for each bucket, the wanted ranks that it holds
+    (``_want``: structs _r, _a, _b, _rel, _cnt), from windows over one group's
+    buckets alone."""
     g = Window.partitionBy(*kn)
-    w = g.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (hist.where(F.col("_c") > 0)
-         .select(*kn, "_bk", "_c", "_bmin", "_bmax",
-                 F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(g).alias("_n")))
-    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))
-    hit = (h.select("*", F.explode(_rank_exprs(probs)).alias("_r"))
-           .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))))
-    return hit.select(*kn, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
-                      (F.col("_r") - F.col("_lo")).alias("_rel"), F.col("_c").alias("_cnt"))
+    w = g.orderBy(F.col("_bk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.select("*", F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(g).alias("_n"))
+    lo = F.col("_hi") - F.col("_c")
+    held = F.filter(_rank_exprs(probs), lambda r: (r >= lo) & (r < F.col("_hi")))
+    want = F.transform(held, lambda r: F.struct(
+        r.alias("_r"), F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"), (r - lo).alias("_rel"), F.col("_c").alias("_cnt")))
+    return h.withColumn("_want", want)
+
+
+def _intervals_as_literals(data: DataFrame, kn: list[str], intervals: list[tuple]) -> DataFrame:
+    """Values inside few intervals (keys, a, b): the limits are literals, so
+    only candidate rows leave the scan's stage."""
+    kinds = {f.name: f.dataType for f in data.schema.fields}
+    place = F
+    for i, (*keys, a, b) in enumerate(intervals):
+        hit = (F.col("_v") >= F.lit(a)) & (F.col("_v") <= F.lit(b))
+        for k, v in zip(kn, keys):
+            hit = hit & F.col(k).eqNullSafe(F.lit(v).cast(kinds[k]))
+        place = place.when(hit, F.lit(i))
+    limits = F.array(*[F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for *_, a, b in intervals])
+    found = data.withColumn("_i", place).where(F.col("_i").isNotNull())
+    return found.select(*kn, "_v", F.get(limits, F.col("_i")).alias("_ab")).select(*kn, "_v", "_ab._a", "_ab._b")
+
+
+def _find_ranks(data: DataFrame, kn: list[str], wanted: list[dict], exact_limit: int, buckets: int,
+                literal_intervals: int) -> dict[tuple, dict[int, float]]:
+    """The value at each wanted rank of each group, by driver-held intervals."""
+    spark = data.sparkSession
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields if f.name in kn)
+    schema = ", ".join(x for x in (kinds, "_r long, _a double, _b double, _rel long, _cnt long") if x)
+    found: dict[tuple, dict[int, float]] = {}
+
+    def key(row) -> tuple:
+        return tuple(row[k] for k in kn)
+
+    for _ in range(MAX_ROUNDS):
+        open_ = []
+        for t in wanted:
+            if t["_a"] == t["_b"]:
+                found.setdefault(key(t), {})[t["_r"]] = t["_a"]
+            else:
+                open_.append(t)
+        if not open_:
+            return found
+        wanted = []
+        for part, one_pass in (([t for t in open_ if t["_cnt"] <= exact_limit], _exact_pass),
+                               ([t for t in open_ if t["_cnt"] > exact_limit], _split_pass)):
+            if not part:
+                continue
+            intervals = list(dict.fromkeys((*key(t), t["_a"], t["_b"]) for t in part))
+            tg = spark.createDataFrame([tuple(t[c] for c in (*kn, "_r", "_a", "_b", "_rel", "_cnt")) for t in part], schema)
+            if len(intervals) <= literal_intervals:
+                inside = _intervals_as_literals(data, kn, intervals)
+            else:
+                inside = _in_intervals(data, tg, kn, len(part))
+            if one_pass is _exact_pass:
+                for r in _exact_pass(inside, tg, kn, len(part)).collect():
+                    found.setdefault(key(r), {})[r["_r"]] = r["_val"]
+            else:
+                wanted += [r.asDict() for r in _split_pass(inside, tg, kn, len(part), buckets).collect()]
+    raise RuntimeError("exact_quantiles did not converge")
+
+
+def _find_ranks_of_many(data: DataFrame, active: DataFrame, kn: list[str], exact_limit: int, buckets: int) -> DataFrame:
+    """The same for more groups than the driver should hold: every round's
+    intervals are a written table. Returns keys, _r, _val."""
+    found: DataFrame | None = None
+    for _ in range(MAX_ROUNDS):
+        active = materialize(active, cut_lineage=True)
+        same = F.col("_a") == F.col("_b")
+        c = active.agg(F.count(F.lit(1)), F.count_if(~same & (F.col("_cnt") <= exact_limit)),
+                       F.count_if(~same & (F.col("_cnt") > exact_limit))).first()
+        hits = active.where(same).select(*kn, "_r", F.col("_a").alias("_val"))
+        if c[1]:
+            small = active.where(~same & (F.col("_cnt") <= exact_limit))
+            hits = hits.unionByName(_exact_pass(_in_intervals(data, small, kn, c[1]), small, kn, c[1]))
+        found = hits if found is None else found.unionByName(hits)
+        if not c[2]:
+            return found
+        big = active.where(~same & (F.col("_cnt") > exact_limit))
+        active = _split_pass(_in_intervals(data, big, kn, c[2]), big, kn, c[2], buckets)
+    raise RuntimeError("exact_quantiles did not converge")
+
+
+def _quantile_columns(probs: Sequence[float], names: Sequence[str], n: Column) -> list[Column]:
+    """Linear interpolation between the closest ranks, values in the map _m."""
+    out = []
+    for p, name in zip(probs, names):
+        h = (n - 1) * F.lit(float(p))
+        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        vlo, vhi = F.try_element_at(F.col("_m"), lo), F.try_element_at(F.col("_m"), hi)
+        out.append(F.when(n > 0, vlo + (vhi - vlo) * (h - lo)).alias(name))
+    return out
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                     probs: Sequence[float], names: Sequence[str] | None = None,
                     moments: bool = False,
                     exact_limit: int = DEFAULT_EXACT_LIMIT,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS,
+                    driver_groups: int = LITERAL_ROWS,
+                    literal_intervals: int = 48) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` (linear interpolation between
     closest ranks, as numpy/pandas/DuckDB ``quantile_cont``).
 
@@ -211,6 +297,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     Returns ``keys`` plus one double column per probability (named ``names``
     or ``q0, q1, ...``); with ``moments`` also ``count, min, max, mean, sd``
     (sample sd) from the same first pass.
+
+    One job makes the bucket table and returns, for up to ``driver_groups``
+    groups, their moments and the intervals of their wanted ranks; one more
+    finds the values (few intervals are literals of its plan). The result of
+    few groups is a small local table and nothing stays cached. More groups
+    take the same steps on written tables.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
@@ -220,59 +312,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     projected = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, kn)],
                           F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
     data = projected.where(F.col("_v").isNotNull())
-
-    # persisted lazily: the first action below fills it, later uses read it
-    hist = octave_histogram(projected, kn, moments).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = _with_ranks(octave_histogram(projected, kn, moments), kn, probs)
+    want = F.flatten(F.collect_list("_want")).alias("_want")
     if moments:
-        base = moments_from_histogram(hist, kn)
-    else:
-        base = hist.groupBy(*kn).agg(F.sum("_c").alias("_n"))
-    active = _locate(hist, kn, probs)
-
-    found: list[DataFrame] = []
-    n_tg = None
-    for rnd in range(MAX_ROUNDS):
-        active = active.persist(StorageLevel.MEMORY_AND_DISK)
-        if rnd > 0 and rnd % 4 == 0:
-            active = materialize(active, cut_lineage=True)
-        c = active.agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("_a") == F.col("_b")).alias("const"),
-            F.count_if((F.col("_a") != F.col("_b")) & (F.col("_cnt") <= exact_limit)).alias("small"),
-            F.count_if((F.col("_a") != F.col("_b")) & (F.col("_cnt") > exact_limit)).alias("big"),
-        ).first()
-        if n_tg is None:
-            n_tg = c["total"]                  # wanted ranks over all groups
-        if c["const"]:
-            found.append(active.where(F.col("_a") == F.col("_b"))
-                         .select(*kn, "_r", F.col("_a").alias("_val")))
-        if c["small"]:
-            small = active.where((F.col("_a") != F.col("_b")) & (F.col("_cnt") <= exact_limit))
-            found.append(_exact_pass(data, small, kn, c["small"]))
-        if not c["big"]:
-            break
-        big = active.where((F.col("_a") != F.col("_b")) & (F.col("_cnt") > exact_limit))
-        active = _split_pass(data, big, kn, c["big"], buckets)
+        base = moments_from_histogram(ranked, kn, [want])
+        stats, n = ["count", "min", "max", "mean", "sd"], F.col("count")
     else:
-        raise RuntimeError("exact_quantiles did not converge")
-
-    if found:
-        allv = found[0]
-        for f in found[1:]:
-            allv = allv.unionByName(f)
-        ranked = allv.groupBy(*kn).agg(
-            F.map_from_entries(F.collect_list(F.struct("_r", "_val"))).alias("_m"))
-        out = null_safe_join(base, broadcast_if_small(ranked, n_tg), kn, how="left")
+        base = ranked.groupBy(*kn).agg(F.sum("_c").alias("_n"), want)
+        stats, n = ["_n"], F.col("_n")
+    rows = base.limit(driver_groups + 1).collect()
+    if len(rows) <= driver_groups:
+        wanted = [{**{k: r[k] for k in kn}, **t.asDict()} for r in rows for t in r["_want"]]
+        values = _find_ranks(data, kn, wanted, exact_limit, buckets, literal_intervals)
+        local = [(*(r[c] for c in (*kn, *stats)), values.get(tuple(r[k] for k in kn), {})) for r in rows]
+        schema = T.StructType([base.schema[c] for c in (*kn, *stats)]).add("_m", T.MapType(T.LongType(), T.DoubleType()))
+        out = df.sparkSession.createDataFrame(local, schema)
     else:
-        out = base.withColumn("_m", F.lit(None).cast("map<bigint,double>"))
-    n = F.col("count") if moments else F.col("_n")
-    qcols = []
-    for p, name in zip(probs, names):
-        h = (n - 1) * F.lit(float(p))
-        lo = F.floor(h).cast("long")
-        hi = F.ceil(h).cast("long")
-        vlo = F.try_element_at(F.col("_m"), lo)
-        vhi = F.try_element_at(F.col("_m"), hi)
-        qcols.append(F.when(n > 0, vlo + (vhi - vlo) * (h - lo)).alias(name))
-    extra = [F.col(c) for c in ("count", "min", "max", "mean", "sd")] if moments else []
-    return out.select(*[F.col(n_).alias(k) for k, n_ in zip(keys, kn)], *extra, *qcols)
+        base = materialize(base, cut_lineage=True)
+        active = base.select(*kn, F.inline("_want"))
+        found = _find_ranks_of_many(data, active, kn, exact_limit, buckets)
+        per_group = found.groupBy(*kn).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_val"))).alias("_m"))
+        out = null_safe_join(base.drop("_want"), per_group, kn, how="left")
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, kn)], *[c for c in stats if c != "_n"],
+                      *_quantile_columns(probs, names, n))

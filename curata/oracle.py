@@ -61,8 +61,10 @@ FROM {source} GROUP BY 2 ORDER BY count DESC, category{lim}"""
 
 def hist_sql(source: str, col: str, bins: int, group: str | None = None,
              with_prefix: str = "") -> str:
-    """Equal-width histogram with empty bins; edges shared by all groups."""
-    gsel = f"COALESCE(CAST({qi(group)} AS VARCHAR), '(Missing)')" if group else "NULL"
+    """Equal-width histogram with empty bins; edges shared by all groups. A
+    value is in the bin whose edges hold it: each bin is closed at its lower
+    edge, the last one at both."""
+    gsel = f"COALESCE(CAST({qi(group)} AS VARCHAR), '(Missing)')" if group else "'all'"
     gout = f"grid.g AS {qi(group)}, " if group else ""
     gorder = f"{qi(group)}, " if group else ""
     body = f"""base AS (SELECT CAST({qi(col)} AS DOUBLE) AS x, {gsel} AS g FROM {source}
@@ -70,15 +72,14 @@ def hist_sql(source: str, col: str, bins: int, group: str | None = None,
 rng0 AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM base),
 rng AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo,
                CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM rng0),
-binned AS (SELECT g, CAST(LEAST(GREATEST(FLOOR((x - lo) * ({float(bins)} / (hi - lo))), 0), {bins - 1}) AS INTEGER) AS bin
-           FROM base, rng),
-counts AS (SELECT g, bin, COUNT(*) AS cnt FROM binned GROUP BY g, bin),
-grid AS (SELECT DISTINCT g, CAST(b.range AS INTEGER) AS bin FROM base, range({bins}) b)
-SELECT {gout}grid.bin AS bin,
-  {r('lo + grid.bin * ((hi - lo) / ' + str(float(bins)) + ')', 6)} AS bin_lo,
-  {r('lo + (grid.bin + 1) * ((hi - lo) / ' + str(float(bins)) + ')', 6)} AS bin_hi,
-  COALESCE(counts.cnt, 0) AS count
-FROM grid CROSS JOIN rng LEFT JOIN counts ON grid.g IS NOT DISTINCT FROM counts.g AND grid.bin = counts.bin
+edges AS (SELECT CAST(b.range AS INTEGER) AS bin, b.range * ((hi - lo) / {bins}) + lo AS e_lo,
+                 CASE WHEN b.range = {bins - 1} THEN hi ELSE (b.range + 1) * ((hi - lo) / {bins}) + lo END AS e_hi
+          FROM rng, range({bins}) b),
+counts AS (SELECT g, bin, SUM(k) AS cnt FROM (SELECT g, x, COUNT(*) AS k FROM base GROUP BY g, x) v
+           JOIN edges ON x >= e_lo AND (x < e_hi OR bin = {bins - 1}) GROUP BY g, bin),
+grid AS (SELECT DISTINCT g, bin, e_lo, e_hi FROM base, edges)
+SELECT {gout}grid.bin AS bin, {r('e_lo', 6)} AS bin_lo, {r('e_hi', 6)} AS bin_hi, CAST(COALESCE(counts.cnt, 0) AS BIGINT) AS count
+FROM grid LEFT JOIN counts ON grid.g = counts.g AND grid.bin = counts.bin
 ORDER BY {gorder}bin"""
     return f"WITH {with_prefix + ',' if with_prefix else ''} {body}"
 
@@ -270,6 +271,52 @@ SELECT levels.qty_bin, 'l_extendedprice' AS variable, COALESCE(s.count, 0) AS co
 FROM levels LEFT JOIN s ON levels.qty_bin IS NOT DISTINCT FROM s.qty_bin"""
 
 
+def _engineered_sql() -> str:
+    """Summary of the prepared orders; every level of the binned column is
+    listed with the other keys that occur."""
+    s = num_summary_sql("feats", ["total_price_", "price_log2", "sparse"], ["price_bin", "price_flag"], _orders_prepared())
+    head, body = s.rsplit("SELECT price_bin" if "SELECT price_bin" in s else 'SELECT "price_bin"', 1)
+    return head.rstrip() + f""",
+summed AS (SELECT "price_bin"{body}),
+levels AS (SELECT CAST(mn AS VARCHAR) || '-100000.0' AS price_bin FROM st UNION ALL SELECT '100000.0-200000.0'
+           UNION ALL SELECT '200000.0-300000.0' UNION ALL SELECT '300000.0-' || CAST(mx AS VARCHAR) FROM st),
+keys AS (SELECT price_bin, price_flag, variable FROM summed UNION
+         SELECT levels.price_bin, o.price_flag, o.variable FROM levels, (SELECT DISTINCT price_flag, variable FROM summed) o)
+SELECT keys.*, COALESCE(s.count, 0) AS count, s.min, s."Q1", s.median, s.mean, s."Q3", s.max, s.sd
+FROM keys LEFT JOIN summed s ON keys.price_bin IS NOT DISTINCT FROM s.price_bin
+  AND keys.price_flag IS NOT DISTINCT FROM s.price_flag AND keys.variable = s.variable"""
+
+
+def _scatter_matrix_sql() -> str:
+    cols = LINE_NUMS[:3]
+    whole = f"(SELECT * FROM lineitem WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)}) AS li"
+    none = {"bin": "INTEGER", "bin_lo": "DOUBLE", "bin_hi": "DOUBLE", "count": "BIGINT", "slope": "DOUBLE", "intercept": "DOUBLE", "corr": "DOUBLE", "n": "BIGINT"}
+
+    def row(part: str, y: str, x: str, given: dict, tail: str) -> str:
+        cells = ", ".join(f"{given.get(k, f'CAST(NULL AS {t})')} AS {qi(k)}" for k, t in none.items())
+        return f"SELECT '{part}' AS part, {y} AS var_y, {x} AS var_x, {cells} FROM {tail}"
+
+    parts = [row("histogram", f"'{c}'", "CAST(NULL AS VARCHAR)", {k: qi(k) for k in ("bin", "bin_lo", "bin_hi", "count")}, f"({hist_sql(whole, c, 18)})") for c in cols]
+    for a, b in [(cols[i], cols[j]) for i in range(3) for j in range(i)]:
+        parts.append(row("regression", f"'{a}'", f"'{b}'", {"slope": r(f"regr_slope({a}, {b})", 6), "intercept": r(f"regr_intercept({a}, {b})", 6), "n": "COUNT(*)"}, whole))
+        parts.append(row("correlation", f"'{a}'", f"'{b}'", {"corr": r(f"covar_samp({a}, {b}) / NULLIF(stddev_samp({a}) * stddev_samp({b}), 0)", 9), "n": "COUNT(*)"}, whole))
+    return " UNION ALL ".join(parts)
+
+
+def _step_log_sql() -> str:
+    cells = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in ("order_key", "status", "total_price_", "priority", "sparse", "code_text", "bad_code"))
+    return f"""WITH {DIRTY},
+named AS ({_trim_names_select()}),
+dd AS (SELECT DISTINCT * FROM named),
+full_ AS (SELECT * FROM dd WHERE ({cells}) / 7.0 <= 0.2),
+q AS (SELECT quantile_cont(total_price_, 0.25) AS q1, quantile_cont(total_price_, 0.75) AS q3 FROM full_),
+inside AS (SELECT full_.* FROM full_, q WHERE total_price_ BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+n AS (SELECT (SELECT COUNT(*) FROM named) AS a, (SELECT COUNT(*) FROM dd) AS b, (SELECT COUNT(*) FROM full_) AS c,
+             (SELECT COUNT(*) FROM inside) AS d, (SELECT COUNT(*) FROM inside WHERE status <> 'P' OR status IS NULL) AS e)
+SELECT 'dedup' AS step, a - b AS rows_removed FROM n UNION ALL SELECT 'missing', b - c FROM n
+UNION ALL SELECT 'outliers', c - d FROM n UNION ALL SELECT 'drop_values', d - e FROM n"""
+
+
 SQL: dict[str, str] = {
     "num_summary": num_summary_sql("lineitem", LINE_NUMS, []),
     "num_summary_grouped": num_summary_sql("lineitem", LINE_NUMS, ["l_returnflag", "l_linestatus"]),
@@ -338,7 +385,9 @@ WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'P'
   AND o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) AND o_totalprice <> 5.0""",
     "csv_roundtrip": f"""WITH {DIRTY}
 SELECT "Order Key", "Status", "Total-Price ($)", "Priority", "Sparse",
-  CAST("Code Text" AS BIGINT) AS "Code Text", "Bad Code" FROM dirty""",
+  CAST("Code Text" AS BIGINT) AS "Code Text", "Bad Code",
+  CASE "Order Key" % 4 WHEN 0 THEN 'say "hi", no. ' || "Order Key" WHEN 1 THEN 'two' || chr(10) || 'lines ' || "Order Key"
+       WHEN 2 THEN '"quoted"' ELSE 'a,b' END AS "Note" FROM dirty""",
     "map_mean": """SELECT o_orderkey, o_totalprice,
   CASE WHEN o_totalprice > (SELECT AVG(o_totalprice) FROM orders) THEN 'high' END AS price_band FROM orders""",
     "map_median": """SELECT o_orderkey, o_totalprice,
@@ -405,7 +454,52 @@ SELECT 'cleaned', COUNT(*), CAST(3 AS BIGINT),
     "source_top_n": cat_summary_sql("documents", "source", 5),
     "conversation_roles": cat_summary_sql("conversations", "role"),
     "label_summary": num_summary_sql("labels", ["quality", "toxic"], []),
-    "clean_engineer_summary": num_summary_sql("feats", ["total_price_", "price_log2", "sparse"],
-                                              ["price_bin", "price_flag"], _orders_prepared()),
+    "num_summary_missing_level": f"""WITH e AS (SELECT CASE WHEN o_totalprice < 300000 THEN
+    CASE WHEN o_totalprice <= 100000 THEN 1 WHEN o_totalprice <= 200000 THEN 2 ELSE 3 END END AS b, o_totalprice AS v FROM orders,
+    (SELECT MAX(o_totalprice) AS mx FROM orders WHERE o_totalprice < 300000))
+SELECT 'o_totalprice' AS variable, COUNT(v) AS count, {r('MIN(v)', 3)} AS min, {r('quantile_cont(v, 0.25)', 3)} AS "Q1", {r('quantile_cont(v, 0.5)', 3)} AS median,
+  {r('AVG(v)', 3)} AS mean, {r('quantile_cont(v, 0.75)', 3)} AS "Q3", {r('MAX(v)', 3)} AS max, {r('stddev_samp(v)', 3)} AS sd FROM e GROUP BY b""",
+    "stat_select": f"""SELECT l_returnflag, variable, count, "Q1", max FROM ({num_summary_sql("lineitem", LINE_NUMS, ["l_returnflag"])})""",
+    "cat_stat_select": f"""SELECT variable, category, percentage FROM ({cat_summary_sql("dirty", "Priority", None, DIRTY)})""",
+    "distinct_missing": f"""WITH {DIRTY}
+SELECT 'Priority' AS "column", COUNT(DISTINCT "Priority") AS n_distinct, COUNT(DISTINCT "Priority") + CAST(bool_or("Priority" IS NULL) AS BIGINT) AS n_with_missing FROM dirty
+UNION ALL SELECT 'Status', COUNT(DISTINCT "Status"), COUNT(DISTINCT "Status") + CAST(bool_or("Status" IS NULL) AS BIGINT) FROM dirty""",
+    "preview": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
+    "json_roundtrip": """SELECT 'lines' AS layout, c_custkey AS key, c_name AS name FROM customer
+UNION ALL SELECT 'array', CAST(n_nationkey AS BIGINT), n_name FROM nation""",
+    "load_dispatch": """SELECT suffix, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation, (VALUES ('.csv'), ('.JSON'), ('.parquet')) s(suffix)""",
+    "normalize_types": """SELECT vec_id, '[' || CAST(trunc(embedding[1]) AS INTEGER) || ',' || CAST(trunc(embedding[2]) AS INTEGER) || ']' AS head, '2024-02-29' AS day,
+  CASE WHEN vec_id % 3 <> 0 THEN vec_id / 2.0 END::DOUBLE AS half, label > 2 AS flag FROM embeddings""",
+    "write_summary_csv": num_summary_sql("events", ["value"], ["event_type"]),
+    "unique_names": """SELECT p_partkey AS key, p_size AS a_b, p_name AS a_b_3, p_brand AS a_b_2, p_type AS _ FROM part""",
+    "cast_category": cat_summary_sql("part", "p_size"),
+    "cast_int_nan": """SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS BIGINT) END AS size,
+  CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS price FROM part""",
+    "drop_values_int": "SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (10, 12)",
+    "impute_mode_tie": """SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 2 WHEN 2 THEN
+  (SELECT CASE WHEN SUM((p_partkey % 4 = 1)::INT) >= SUM((p_partkey % 4 = 0)::INT) THEN 2 ELSE 10 END FROM part WHERE p_partkey <= 2000)
+  ELSE p_partkey + 100 END AS INTEGER) AS size FROM part WHERE p_partkey <= 2000""",
+    "ln_bool": f"""SELECT p_partkey, CASE WHEN (SELECT bool_and(p_size > 0) FROM part) THEN 0.0 END::DOUBLE AS positive, {r('ln(p_retailprice)', 9)} AS p_retailprice FROM part""",
+    "onehot_keep_double": """SELECT n_nationkey, n_regionkey = 1 AS level_is_0_0005, n_regionkey = 3 AS level_is_3_0, n_regionkey = 4 AS level_is_4_0,
+  n_regionkey = 0 AS level_is_20000000_0 FROM nation""",
+    "step_log": _step_log_sql(),
+    "rule_toggle": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority <> '2-HIGH'",
+    "prepare_file": f"""WITH {DIRTY},
+named AS (SELECT order_key, status, total_price_, priority, CAST(code_text AS BIGINT) AS code_text, bad_code, sparse FROM ({_trim_names_select()})),
+dd AS (SELECT DISTINCT * FROM named),
+m AS (SELECT AVG(total_price_) AS price, (SELECT priority FROM dd WHERE priority IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS mode FROM dd),
+filled AS (SELECT order_key, status, COALESCE(total_price_, m.price) AS p, COALESCE(priority, m.mode) AS priority, code_text, bad_code FROM dd, m)
+SELECT order_key, status, {r('p', 6)} AS total_price_, priority, code_text, bad_code, {r('log2(p)', 9)} AS price_log2 FROM filled WHERE p BETWEEN 100000 AND 300000""",
+    "map_sequence": """SELECT p_partkey, CAST(s AS BIGINT) AS p_size, CASE WHEN s < 10 THEN 'low' END AS flag
+FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 5 ELSE p_size END AS s FROM part)""",
+    "hist_discount": hist_sql("lineitem", "l_discount", 30),
+    "line_text_day": f"""SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, {r('AVG(o_totalprice)', 6)} AS y_mean, COUNT(*) AS n FROM orders
+WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1""",
+    "line_choices": """SELECT place::INTEGER AS place, "column" FROM (VALUES (1, 'day'), (2, 'o_orderkey'), (3, 'o_totalprice')) t(place, "column")
+WHERE (SELECT COUNT(*) FROM orders WHERE o_orderdate IS NOT NULL) > 0""",
+    "box_points": f"""WITH {DIRTY}
+SELECT COALESCE("Priority", '(Missing)') AS "Priority", "Total-Price ($)" FROM dirty WHERE "Total-Price ($)" IS NOT NULL""",
+    "scatter_matrix": _scatter_matrix_sql(),
+    "clean_engineer_summary": _engineered_sql(),
     "clean_engineer_categories": cat_summary_sql("feats", "price_bin", None, _orders_prepared()),
 }

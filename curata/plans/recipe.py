@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roles
-from ..functions.exprs import text_to_double, text_to_long
-from ..functions.names import map_selected_columns
+from ..functions.names import ColumnTrail
 from ..operators import clean, fit
 from ..operators.filters import DropRule, drop_values
 from ..session import materialize
@@ -33,47 +32,70 @@ KEEP_MODES = ("none", "persist", "write")
 
 @dataclass
 class StepRecord:
+    """What one step did. ``action`` says what became of the table: ``changed``,
+    ``kept`` (nothing to do, or switched off) or ``refused`` (columns that the
+    step could not take). ``rows_before`` / ``rows_after`` are observations of
+    a step that may remove rows."""
     step: str
-    applied: bool
-    detail: str
-    before: DataFrame | None = None     # row counts are taken lazily from these
-    after: DataFrame | None = None
+    action: str
+    columns: tuple = ()
+    setting: str = ""
+    rows_before: Observation | None = None
+    rows_after: Observation | None = None
+
+    @property
+    def applied(self) -> bool:
+        return self.action == "changed"
+
+    def text(self, removed: int | None) -> str:
+        parts = [f"{self.step}: {self.action}"]
+        if self.setting:
+            parts.append(f"({self.setting})")
+        if self.columns:
+            parts.append("- " + ", ".join(self.columns))
+        if removed is not None:
+            parts.append(f"- {removed} row(s) fewer")
+        return " ".join(parts)
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 @dataclass
 class StepLog:
-    """One record per step; counts of removed rows are computed only when the
-    log is rendered (one count per row-changing step), never while cleaning."""
+    """One record per step. Rows are counted by observations inside the plan,
+    in the first full action that runs it (a fit, a write, a count). Only when
+    none has run does :meth:`lines` run one action itself."""
     records: list[StepRecord] = field(default_factory=list)
     result: DataFrame | None = None
+    rows: Observation | None = None
+
+    def add(self, step: str, action: str, columns=(), setting: str = "", before=None, after=None) -> None:
+        self.records.append(StepRecord(step, action, tuple(columns), setting, before, after))
+
+    def _count(self, seen: Observation) -> int:
+        if not seen._jo.future().isCompleted():
+            self.result.write.format("noop").mode("overwrite").save()
+        return int(seen.get["rows"])
 
-    def add(self, step: str, applied: bool, detail: str, before=None, after=None) -> None:
-        self.records.append(StepRecord(step, applied, detail, before, after))
+    def removed(self, r: StepRecord) -> int | None:
+        if r.rows_before is None or r.rows_after is None:
+            return None
+        return self._count(r.rows_before) - self._count(r.rows_after)
 
     def lines(self) -> list[str]:
-        counted: dict[int, int] = {}
-
-        def rows(df: DataFrame) -> int:
-            if id(df) not in counted:
-                counted[id(df)] = df.count()
-            return counted[id(df)]
-
-        out = []
-        for r in self.records:
-            text = r.detail
-            if r.before is not None and r.after is not None:
-                text = text.format(removed=rows(r.before) - rows(r.after))
-            out.append(text)
-        if self.result is not None:
-            out.append(f"Final shape: {rows(self.result):,} row(s) x {len(self.result.columns):,} column(s).")
+        out = [r.text(self.removed(r)) for r in self.records]
+        if self.rows is not None:
+            out.append(f"result: {self._count(self.rows)} row(s), {len(self.result.columns)} column(s)")
         return out
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
-        lines = self.lines()
-        steps = [r.step for r in self.records] + (["final"] if self.result is not None else [])
-        applied = [r.applied for r in self.records] + ([True] if self.result is not None else [])
-        return spark.createDataFrame(list(zip(range(1, len(lines) + 1), steps, applied, lines)),
-                                     "step_no int, step string, applied boolean, message string")
+        """step_no, step, action, columns, setting, rows_removed (NULL where a
+        step removes none by nature)."""
+        rows = [(i, r.step, r.action, ", ".join(r.columns), r.setting, self.removed(r)) for i, r in enumerate(self.records, 1)]
+        return spark.createDataFrame(rows, "step_no int, step string, action string, columns string, setting string, rows_removed long")
 
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -143,199 +165,168 @@ class CleaningRecipe:
         rules[index] = replace(rules[index], enabled=enabled)
         return replace(self, drop_rules=tuple(rules))
 
-    def apply(self, df: DataFrame) -> tuple[DataFrame, StepLog]:
-        fitted, out, log = self._fit(df)
+    def apply(self, df: DataFrame, count_steps: bool = True) -> tuple[DataFrame, StepLog]:
+        """The cleaned table and its log. ``count_steps=False`` leaves the
+        observations out, and with them the log's row counts."""
+        _, out, log = self._fit(df, count_steps)
         return out, log
 
     def fit(self, df: DataFrame) -> FittedCleaning:
-        return self._fit(df)[0]
-
-    def _fit(self, df: DataFrame) -> tuple[FittedCleaning, DataFrame, StepLog]:
-        log = StepLog()
-        stages: list[tuple[str, Stage]] = []
-        cur = df
-
-        def run(name: str, stage: Stage) -> DataFrame:
-            stages.append((name, stage))
-            return stage(cur)
-
-        original = list(df.columns)
-        rename = {c: c for c in original}
-
-        # 1. names
-        if self.standardize_names:
-            _, rename = clean.clean_names(cur)
-            new_names = [rename[c] for c in original]
-            cur = run("names", lambda d, n=new_names: d.toDF(*n))
-            changed = sum(o != n for o, n in zip(original, new_names))
-            log.add("names", True, f"Standardised column names ({changed} renamed)."
-                    if changed else "Column names were already clean.")
-        else:
-            log.add("names", False, "Column names left as they are.")
-
-        # 2. white space
-        if self.trim_strings:
-            cur = run("trim", clean.trim_strings)
-            log.add("trim", True, "Trimmed white space around text values.")
-        else:
-            log.add("trim", False, "White space left as it is.")
-
-        # 3. duplicates
-        if self.remove_duplicates:
-            before = cur
-            cur = run("dedup", clean.drop_duplicates)
-            if self.keep_after_dedup != "none":
-                # every later fit reads this table: keep it instead of
-                # re-running the shuffle per fit. "persist" caches it (lost
-                # blocks are recomputed from lineage); "write" writes it as
-                # parquet to the shared folder and restarts the plan there
-                cur = materialize(cur, cut_lineage=self.keep_after_dedup == "write")
-            log.add("dedup", True, "Removed {removed} duplicate row(s).", before, cur)
-        else:
-            log.add("dedup", False, "Duplicates kept.")
-
-        # 4. missing values
-        s, t = self.missing_strategy, self.missing_threshold
-        if s == "drop_rows":
-            before = cur
-            cur = run("drop_rows", lambda d, t=t: clean.drop_rows_missing(d, t))
-            log.add("missing", True, f"Dropped {{removed}} row(s) with more than {t}% missing.",
-                    before, cur)
-        elif s == "drop_cols":
-            _, dropped = clean.drop_cols_missing(cur, t)
-            keep = [c for c in cur.columns if c not in dropped]
-            cur = run("drop_cols", lambda d, k=keep: d.select(*[F.col(f"`{c}`") for c in k]))
-            rename = {o: n for o, n in rename.items() if n in keep}
-            log.add("missing", True, f"Dropped {len(dropped)} column(s) with more than {t}% missing.")
-        elif s in ("mean_mode", "median_mode"):
-            model = fit.fit_impute(cur, "mean" if s == "mean_mode" else "median")
-            cur = run("impute", model.transform)
-            log.add("missing", True, f"Imputed {model.n_numeric} numeric column(s) with the "
-                    f"{model.method} and {model.n_categorical} text column(s) with the mode.")
-        else:
-            log.add("missing", False, "Missing values left as they are.")
-
-        # 5. type casts
-        if self.convert_dtype:
-            chosen = map_selected_columns(self.dtype_cols, rename, cur.columns)
-            _, done, skipped = clean.cast_columns(cur, chosen, self.dtype_target)
-            if done:
-                cur = run("cast", lambda d, c=tuple(done), t=self.dtype_target:
-                          clean.cast_columns(d, c, t)[0] if t in ("category", "string")
-                          else _cast_frozen(d, c, t))
-                log.add("cast", True, f"Converted {len(done)} column(s) to {self.dtype_target}: "
-                        f"{', '.join(done)}.")
-            elif self.dtype_cols:
-                log.add("cast", False, "No chosen column could be converted.")
-            else:
-                log.add("cast", False, "Type conversion chosen but no column given.")
-            if skipped:
-                log.add("cast", False, f"Not converted: {', '.join(skipped)}.")
-        else:
-            log.add("cast", False, "Types left as they are.")
-
-        # 6. scaling
-        chosen = map_selected_columns(self.scale_cols, rename, cur.columns)
-        if self.scaling_method != "none" and chosen:
-            model = fit.fit_scale(cur, chosen, self.scaling_method)
-            if model.params:
-                cur = run("scale", model.transform)
-                log.add("scale", True, f"Applied {self.scaling_method} scaling to: "
-                        f"{', '.join(model.params)}.")
-            else:
-                log.add("scale", False, "Scaling skipped: no valid numeric column chosen.")
-        elif self.scaling_method == "none":
-            log.add("scale", False, "No scaling.")
-        else:
-            log.add("scale", False, "Scaling chosen but no column given.")
-
-        # 7. one-hot (source replaced)
-        if self.encode_categorical:
-            chosen = map_selected_columns(self.encode_cols, rename, cur.columns)
-            model = fit.fit_one_hot(cur, chosen or None, keep_source=False)
-            if model.levels:
-                cur = run("one_hot", model.transform)
-                log.add("one_hot", True, f"One-hot encoded {len(model.levels)} column(s): "
-                        f"{', '.join(model.levels)}.")
-            else:
-                log.add("one_hot", False, "Encoding skipped: no text column to encode.")
-        else:
-            log.add("one_hot", False, "No encoding.")
-
-        # 8. natural log
-        if self.apply_log:
-            chosen = map_selected_columns(self.log_cols, rename, cur.columns)
-            chosen = [c for c in chosen if roles.is_numeric_field(cur.schema[c], True)]
-            _, done, skipped = fit.ln_transform(cur, chosen)
-            if done:
-                cur = run("ln", lambda d, c=tuple(done): d.select(*[
-                    (F.ln(F.col(f"`{x}`")).alias(x) if x in c else F.col(f"`{x}`")) for x in d.columns]))
-                log.add("ln", True, f"Natural log applied to: {', '.join(done)}.")
-            elif self.log_cols:
-                log.add("ln", False, "Log skipped: chosen columns are not strictly positive and complete.")
-            else:
-                log.add("ln", False, "Log chosen but no column given.")
-            if skipped:
-                log.add("ln", False, f"Log not applied (values <= 0 or missing): {', '.join(skipped)}.")
-        else:
-            log.add("ln", False, "No log transform.")
-
-        # 9. outliers
-        if self.handle_outliers:
-            chosen = map_selected_columns(self.outlier_cols, rename, cur.columns)
-            numeric = roles.numeric_columns(cur)
-            targets = [c for c in (chosen or numeric) if c in numeric]
-            if not targets:
-                log.add("outliers", False, "Outliers skipped: no numeric column.")
-            else:
-                fences = fit.fit_fences(cur, targets, self.iqr_multiplier)
-                if self.outlier_action == "remove":
-                    before = cur
-                    cur = run("outliers", fences.remove)
-                    log.add("outliers", True, "Removed {removed} row(s) outside the IQR fences of: "
-                            f"{', '.join(targets)}.", before, cur)
-                else:
-                    cur = run("outliers", fences.cap)
-                    log.add("outliers", True, f"Capped {len(fences.bounds)} column(s) at the IQR "
-                            f"fences: {', '.join(targets)}.")
-        else:
-            log.add("outliers", False, "Outliers left as they are.")
-
-        # 10. value filters
-        any_rule = False
-        for rule in self.drop_rules:
-            if not rule.enabled:
-                continue
-            hit = map_selected_columns([rule.column], rename, cur.columns)
-            if not hit:
-                continue
-            any_rule = True
-            before = cur
-            cur = run("drop_values", lambda d, c=hit[0], v=rule.values: drop_values(d, c, v))
-            log.add("drop_values", True, f"Dropped {{removed}} row(s) where '{hit[0]}' was in: "
-                    f"{', '.join(sorted(rule.values))}.", before, cur)
-        if not self.drop_rules:
-            log.add("drop_values", False, "No value filter.")
-        elif not any_rule:
-            log.add("drop_values", False, "No value filter applied.")
-
-        log.result = cur
-        return FittedCleaning(stages, rename), cur, log
-
-
-def _cast_frozen(df: DataFrame, cols, target: str) -> DataFrame:
-    """Replay of an integer/float cast decided at fit time (no new check)."""
-    out = []
-    for c in df.columns:
-        if c not in cols:
-            out.append(F.col(f"`{c}`"))
-            continue
-        dt = df.schema[c].dataType.simpleString()
-        if dt == "string":
-            d = text_to_double(F.col(f"`{c}`"))
-            e = F.coalesce(text_to_long(F.col(f"`{c}`")), d.cast("long")) \
-                if target == "integer" else d
-        else:
-            e = F.col(f"`{c}`").cast("long" if target == "integer" else "double")
-        out.append(e.alias(c))
-    return df.select(*out)
+        return self._fit(df, False)[0]
+
+    def _fit(self, df: DataFrame, count_steps: bool) -> tuple[FittedCleaning, DataFrame, StepLog]:
+        return _Walk(self, df, count_steps).run()
+
+
+class _Walk:
+    """One walk over the steps: the table so far, the frozen stages, the log."""
+
+    def __init__(self, recipe: CleaningRecipe, df: DataFrame, count_steps: bool):
+        self.recipe, self.table, self.count_steps = recipe, df, count_steps
+        self.trail = ColumnTrail(df.columns)
+        self.stages: list[tuple[str, Stage]] = []
+        self.log = StepLog()
+
+    def run(self) -> tuple[FittedCleaning, DataFrame, StepLog]:
+        for step in (self.names, self.trim, self.duplicates, self.missing, self.casts, self.scaling,
+                     self.encoding, self.logarithm, self.outliers, self.value_filters):
+            step()
+        if self.count_steps:
+            self.table, self.log.rows = _observed(self.table)
+        self.log.result = self.table
+        return FittedCleaning(self.stages, dict(self.trail.now)), self.table, self.log
+
+    def _do(self, step: str, stage: Stage) -> None:
+        self.stages.append((step, stage))
+        self.table = stage(self.table)
+
+    def _drop_rows(self, step: str, stage: Stage, columns=(), setting: str = "", then: Stage | None = None) -> None:
+        """A step that may remove rows, counted on both sides."""
+        before = after = None
+        if self.count_steps:
+            self.table, before = _observed(self.table)
+        self._do(step, stage)
+        if self.count_steps:
+            self.table, after = _observed(self.table)
+        if then:
+            self.table = then(self.table)
+        self.log.add(step, "changed", columns, setting, before, after)
+
+    def _chosen(self, wanted) -> list[str]:
+        return self.trail.find(wanted, self.table.columns)
+
+    def names(self) -> None:
+        if not self.recipe.standardize_names:
+            return self.log.add("names", "kept", setting="off")
+        old = self.table.columns
+        new = list(clean.clean_names(self.table)[0].columns)
+        self._do("names", lambda d, n=new: d.toDF(*n))
+        self.trail.rename(new)
+        moved = [n for o, n in zip(old, new) if o != n]
+        self.log.add("names", "changed" if moved else "kept", moved)
+
+    def trim(self) -> None:
+        if not self.recipe.trim_strings:
+            return self.log.add("trim", "kept", setting="off")
+        self._do("trim", clean.trim_strings)
+        self.log.add("trim", "changed")
+
+    def duplicates(self) -> None:
+        keep = self.recipe.keep_after_dedup
+        if not self.recipe.remove_duplicates:
+            return self.log.add("dedup", "kept", setting="off")
+        # every later fit reads this table: it can be kept instead of running
+        # the shuffle again per fit, cached ("persist": lost blocks are made
+        # again from lineage) or as parquet in the shared folder ("write")
+        then = (lambda d: materialize(d, cut_lineage=keep == "write")) if keep != "none" else None
+        self._drop_rows("dedup", clean.drop_duplicates, then=then)
+
+    def missing(self) -> None:
+        how, share = self.recipe.missing_strategy, self.recipe.missing_threshold
+        if how == "none":
+            return self.log.add("missing", "kept", setting="off")
+        if how == "drop_rows":
+            return self._drop_rows("missing", lambda d, t=share: clean.drop_rows_missing(d, t), setting=f"rows over {share:g} % missing")
+        if how == "drop_cols":
+            _, dropped = clean.drop_cols_missing(self.table, share)
+            left = [c for c in self.table.columns if c not in dropped]
+            self._do("missing", lambda d, k=left: d.select(*[F.col(f"`{c}`") for c in k]))
+            self.trail.keep(left)
+            return self.log.add("missing", "changed" if dropped else "kept", dropped, f"columns over {share:g} % missing")
+        model = fit.fit_impute(self.table, "mean" if how == "mean_mode" else "median")
+        self._do("missing", model.transform)
+        filled = [*model.numeric_fill, *model.categorical_fill]
+        self.log.add("missing", "changed" if filled else "kept", filled, f"{model.method} or mode")
+
+    def _on_columns(self, step: str, on: bool, wanted, ready, stage, setting: str = "") -> None:
+        """A step on chosen columns: ``ready`` picks those it can take, ``stage``
+        makes the stage for them."""
+        if not on:
+            return self.log.add(step, "kept", setting="off")
+        chosen = self._chosen(wanted)
+        done = ready(chosen) if chosen else []
+        if done:
+            self._do(step, stage(done))
+            self.log.add(step, "changed", done, setting)
+        left = [c for c in chosen if c not in done]
+        if left:
+            self.log.add(step, "refused", left, setting)
+        elif not done:
+            self.log.add(step, "kept", setting="no column given")
+
+    def casts(self) -> None:
+        target = self.recipe.dtype_target
+        self._on_columns("cast", self.recipe.convert_dtype, self.recipe.dtype_cols,
+                         lambda cols: clean.castable(self.table, cols, target),
+                         lambda done: lambda d, c=tuple(done): clean.apply_casts(d, c, target), f"to {target}")
+
+    def scaling(self) -> None:
+        method = self.recipe.scaling_method
+        models = []
+
+        def ready(cols):
+            models.append(fit.fit_scale(self.table, cols, method))
+            return list(models[0].params)
+
+        self._on_columns("scale", method != "none", self.recipe.scale_cols, ready, lambda done: models[0].transform, method)
+
+    def encoding(self) -> None:
+        if not self.recipe.encode_categorical:
+            return self.log.add("one_hot", "kept", setting="off")
+        model = fit.fit_one_hot(self.table, self._chosen(self.recipe.encode_cols) or None, keep_source=False)
+        if model.levels:
+            self._do("one_hot", model.transform)
+        self.log.add("one_hot", "changed" if model.levels else "kept", model.levels)
+
+    def logarithm(self) -> None:
+        def number(cols):
+            return [c for c in cols if roles.is_numeric_field(self.table.schema[c], True)]
+
+        self._on_columns("ln", self.recipe.apply_log, self.recipe.log_cols,
+                         lambda cols: fit.ln_ready(self.table, number(cols)),
+                         lambda done: lambda d, c=tuple(done): fit.apply_ln(d, c))
+
+    def outliers(self) -> None:
+        if not self.recipe.handle_outliers:
+            return self.log.add("outliers", "kept", setting="off")
+        numeric = roles.numeric_columns(self.table)
+        targets = [c for c in (self._chosen(self.recipe.outlier_cols) or numeric) if c in numeric]
+        if not targets:
+            return self.log.add("outliers", "kept", setting="no number column")
+        fences = fit.fit_fences(self.table, targets, self.recipe.iqr_multiplier)
+        setting = f"{self.recipe.outlier_action} beyond {self.recipe.iqr_multiplier:g} IQR"
+        if self.recipe.outlier_action == "remove":
+            return self._drop_rows("outliers", fences.remove, targets, setting)
+        self._do("outliers", fences.cap)
+        self.log.add("outliers", "changed" if fences.bounds else "kept", list(fences.bounds), setting)
+
+    def value_filters(self) -> None:
+        used = False
+        for rule in self.recipe.drop_rules:
+            column = self._chosen([rule.column]) if rule.enabled else []
+            if column:
+                used = True
+                self._drop_rows("drop_values", lambda d, c=column[0], v=rule.values: drop_values(d, c, v),
+                                column, "values " + ", ".join(sorted(rule.values)))
+        if not used:
+            self.log.add("drop_values", "kept", setting="no rule" if not self.recipe.drop_rules else "no rule in use")

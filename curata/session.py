@@ -104,7 +104,16 @@ def materialize(df: DataFrame, cut_lineage: bool = False) -> DataFrame:
     return df
 
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``materialize`` that also returns the row count (one job for both)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, df.count()
+#: Rows that may be kept as literals of a plan.
+LITERAL_ROWS = 20_000
+
+
+def kept_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """A per-group table computed once, and its row count, without a cached
+    entry left behind: up to ``LITERAL_ROWS`` rows become literals of the
+    plan, more are written to the shared folder."""
+    rows = df.limit(LITERAL_ROWS + 1).collect()
+    if len(rows) <= LITERAL_ROWS:
+        return df.sparkSession.createDataFrame(rows, df.schema), len(rows)
+    kept = materialize(df, cut_lineage=True)
+    return kept, kept.count()

@@ -26,3 +26,8 @@ def numbers(spark):
             ("b", -3, -7.25), ("b", 0, 0.0), ("b", 10, 1e9), (None, 5, 3.0),
             ("c", 7, 42.0)]
     return spark.createDataFrame(rows, "g string, i int, x double")
+
+
+def formatted_plan(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)

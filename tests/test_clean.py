@@ -1,3 +1,4 @@
+from conftest import formatted_plan
 from pyspark.sql import functions as F
 
 from curata.operators import clean
@@ -62,3 +63,34 @@ def test_drop_values_text_forms(spark, numbers):
     assert drop_values(numbers, "i", ["-3", "0"]).count() == 7
     b = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
     assert drop_values(b, "b", ["True"]).count() == 2
+
+
+def test_casts_take_nan_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, "1.5"), (nan, "nan"), (None, None)], "x double, t string")
+    out, done, skipped = clean.cast_columns(df, ["x"], "integer")
+    assert done == ["x"] and [r["x"] for r in out.collect()] == [1, None, None]
+    out, done, _ = clean.cast_columns(df, ["t"], "float")
+    assert done == ["t"] and [r["t"] for r in out.collect()] == [1.5, None, None]
+    from curata.plans.recipe import CleaningRecipe
+    frozen = CleaningRecipe(convert_dtype=True, dtype_cols=("x",), dtype_target="integer").fit(df).transform(df)
+    assert [r["x"] for r in frozen.collect()] == [1, None, None]
+
+
+def test_drop_values_compares_text(spark):
+    from curata.operators.filters import drop_values
+    df = spark.createDataFrame([(5,), (-3,), (None,)], "k int")
+    assert [r["k"] for r in drop_values(df, "k", ["05", "--5", "5.0", "99999999999999999999"]).collect()] == [5, -3, None]
+    assert [r["k"] for r in drop_values(df, "k", ["5", "-3"]).collect()] == [None]
+    assert [r["k"] for r in drop_values(df, "k", ["nan"]).collect()] == [5, -3]
+    x = spark.createDataFrame([(5.0,), (float("nan"),), (None,)], "x double")
+    assert x.count() - drop_values(x, "x", ["nan"]).count() == 2 and drop_values(x, "x", ["5.0"]).count() == 2
+
+
+def test_filters_reach_the_scan(spark):
+    from curata.operators.filters import RangeFilter, ValueFilter, drop_values, filter_all
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = formatted_plan(filter_all(df, [RangeFilter("o_totalprice", 1.0, 2.0), ValueFilter("o_orderstatus", ("F",), True)]))
+    assert "GreaterThanOrEqual(o_totalprice,1.0)" in plan and "IsNull(o_orderstatus)" in plan
+    plan = formatted_plan(drop_values(df, "o_orderstatus", ["F", "O"]))
+    assert "PushedFilters: [Or(IsNull(o_orderstatus),Not(In(o_orderstatus, [" in plan

@@ -56,3 +56,16 @@ def test_log2_and_rules(spark):
     assert len(errors) == 1 and "gone" in errors[0]
     with pytest.raises(ValueError):
         make_one_hot_rule(df, "s", existing=rules.one_hots)
+
+
+def test_map_rules_see_earlier_targets(spark):
+    df = spark.createDataFrame([(50.0,), (200.0,), (5.0,)], "p double")
+    out = apply_map_rules(df, [MapRule("p", ">", 100.0, "p", 5), MapRule("p", "<", 10.0, "flag", "low")])
+    assert [tuple(r) for r in out.collect()] == [(50.0, None), (5.0, "low"), (5.0, "low")]
+    assert "curata_role" not in out.schema["p"].metadata and out.schema["flag"].metadata["curata_role"] == "categorical"
+
+
+def test_bad_map_rule_is_told(spark):
+    df = spark.createDataFrame([(1.0,)], "x double")
+    out, errors = FeatureRules(maps=[MapRule("x", ">", 0.0, "a", "y"), MapRule("gone", ">", 0.0, "b", "y")]).apply(df)
+    assert out.columns == ["x", "a"] and len(errors) == 1 and "gone" in errors[0]

@@ -1,3 +1,4 @@
+from conftest import formatted_plan
 import numpy as np
 import pytest
 
@@ -74,5 +75,27 @@ def test_impute_mode_of_categorical_integer(spark):
     cat, _, _ = cast_columns(df, ["k"], "category")
     m = fit.fit_impute(cat, "mean")
     out = m.transform(cat)
-    assert m.categorical_fill == {"k": "2"} and dict(out.dtypes)["k"] == "int"
+    assert m.categorical_fill == {"k": 2} and dict(out.dtypes)["k"] == "int"
     assert sorted(r["k"] for r in out.collect()) == [1, 2, 2, 2]
+
+
+def test_mode_tie_of_numbers(spark):
+    from curata.operators.clean import cast_columns
+    df = spark.createDataFrame([(10,), (2,), (None,)], "k int")
+    m = fit.fit_impute(cast_columns(df, ["k"], "category")[0], "mean")
+    assert m.categorical_fill == {"k": 2}
+
+
+def test_one_hot_keep_of_doubles(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(10000000.0,), (0.0001,), (nan,), (None,), (-0.0,), (0.0,)], "a double")
+    out = fit.fit_one_hot(df, ["a"], keep_source=True).transform(df)
+    assert out.columns == ["a", "a_is_0_0", "a_is_0_0001", "a_is_10000000_0"]
+    assert [tuple(r)[1:] for r in out.collect()] == [(False, False, True), (False, True, False), (False, False, False),
+                                                     (False, False, False), (True, False, False), (True, False, False)]
+
+
+def test_fences_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = formatted_plan(fit.Fences({"value": (1.0, 50.0)}).remove(df))
+    assert "GreaterThanOrEqual(value,1.0)" in plan and "LessThanOrEqual(value,50.0)" in plan

@@ -104,3 +104,53 @@ def test_datetime_columns_and_points(spark):
     assert plotdata.line_x_choices(df) == ["d", "y"]
     pts = plotdata.box_points(df, "y", "c").collect()
     assert [(r["c"], r["y"]) for r in pts] == [("a", 1.0)]
+
+
+@pytest.mark.parametrize("values, bins", [([i / 100 for i in range(11)], 30), ([i / 100 for i in range(101)], 100), ([0.1 * i for i in range(50)], 7)])
+def test_histogram_of_values_on_edges(spark, values, bins):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    counts, edges = np.histogram(values, bins=bins)
+    got = plotdata.histogram(df, "x", bins).collect()
+    assert [r["count"] for r in got] == list(counts)
+    many = corr.scatter_matrix_data(df.withColumn("y", df["x"] * 2), ["x", "y"])["histograms"].where("variable = 'x'")
+    assert [r["count"] for r in many.orderBy("bin").collect()] == list(np.histogram(values, bins=18)[0])
+
+
+def test_histogram_of_discount_is_numpys(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = [r["count"] for r in plotdata.histogram(df, "l_discount", 30).collect()]
+    assert got == list(np.histogram(df.select("l_discount").toPandas()["l_discount"], bins=30)[0])
+
+
+def test_histogram_without_values(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    assert [r["count"] for r in plotdata.histogram(df, "x", 3).collect()] == [0, 0, 0]
+
+
+def test_group_columns_named_like_results(spark):
+    df = spark.createDataFrame([("a", "u", 1.0, 2.0), ("b", "u", 2.0, 3.0), ("b", "v", 4.0, 5.0), ("b", "v", 4.5, 1.0)], "bin string, x string, group double, y double")
+    h = plotdata.histogram(df, "y", 2, group_by="bin")
+    assert h.columns == ["bin_group", "bin", "bin_lo", "bin_hi", "count"] and h.count() == 4
+    assert plotdata.line_series(df, "group", "y").columns == ["group", "y_mean", "n"]
+    d = plotdata.density(df, "y", group_by="x")
+    assert d.columns == ["x_group", "point", "x", "density"]
+
+
+def test_density_window_adds_what_all_points_would(spark):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(0, 0.01, 300), [1000.0, -1000.0]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = plotdata.density(df, "x", bw_adjust=0.1).orderBy("point").toPandas()
+    n, bw = len(vals), vals.std(ddof=1) * len(vals) ** -0.2 * 0.1
+    want = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - vals) / bw) ** 2).sum(1) / (n * bw * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and (got.density == 0).any()
+    np.testing.assert_allclose(got.density, want, rtol=1e-9, atol=1e-300)
+
+
+def test_no_cached_entries_are_left(spark):
+    df = spark.createDataFrame([("k", float(v)) for v in range(50)], "g string, y double")
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for out in (plotdata.box_stats(df, "y", "g"), plotdata.density(df, "y", "g"), corr.scatter_matrix_table(df, ["y"])):
+        out.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

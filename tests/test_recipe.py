@@ -25,11 +25,45 @@ def test_recipe_order_and_log(spark, raw):
     # dedup -> 6 rows; median of 10, 1000, 12, 11, 9 = 11 fills key 2; mode of tag = x;
     # fences from 9, 10, 11, 11, 12, 1000 drop 1000; rule drops group C
     assert rows == [(1, "A", 10.0, "x"), (2, "B", 11.0, "x"), (4, "B", 12.0, "x"), (5, "A", 11.0, "y")]
-    lines = log.lines()
-    assert "Removed 1 duplicate row(s)." in lines
-    assert any("1 row(s) outside the IQR fences" in x for x in lines)
-    assert lines[-1].startswith("Final shape: 4 row(s) x 4 column(s)")
-    assert log.to_dataframe(spark).count() == len(lines)
+    removed = {r["step"]: r["rows_removed"] for r in log.to_dataframe(spark).collect()}
+    assert removed["dedup"] == 1 and removed["outliers"] == 1 and removed["drop_values"] == 1 and removed["trim"] is None
+    assert log.lines()[-1] == "result: 4 row(s), 4 column(s)"
+
+
+def test_log_counts_come_from_the_action(spark, raw):
+    """Rendering starts no job once the result has been computed; before, one."""
+    recipe = CleaningRecipe(remove_duplicates=True, drop_rules=(DropRule("Group Name", ("C",)),))
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(group, act):
+        sc.setJobGroup(group, group)
+        act()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    out, log = recipe.apply(raw)
+    out.write.format("noop").mode("overwrite").save()
+    assert jobs("after", log.lines) == 0
+    assert [r.text(log.removed(r)) for r in log.records if r.rows_after is not None] == [
+        "dedup: changed - 1 row(s) fewer", "drop_values: changed (values C) - group_name - 2 row(s) fewer"]
+    _, unused = recipe.apply(raw)
+    assert jobs("before", unused.lines) > 0 and unused.lines() == log.lines()
+
+
+def test_ln_of_a_boolean_column(spark):
+    df = spark.createDataFrame([(True, 1.0), (True, 2.0)], "flag boolean, x double")
+    out, log = CleaningRecipe(apply_log=True, log_cols=("flag", "x")).apply(df)
+    assert sorted(r["flag"] for r in out.collect()) == [0.0, 0.0]
+
+
+def test_one_hot_of_many_levels(spark):
+    from curata.operators import fit
+    from curata.operators.features import make_one_hot_rule
+    df = spark.range(1200).selectExpr("cast(id as string) as s")
+    assert len(fit.fit_one_hot(df).levels["s"]) == 1200
+    assert len(make_one_hot_rule(df, "s").levels) == 1200
+    out, _ = CleaningRecipe(encode_categorical=True).apply(df)
+    assert len(out.columns) == 1200
 
 
 def test_rule_toggles(spark, raw):
