@@ -58,6 +58,10 @@ def found(df):
     return {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in df.collect()}
 
 
+def rounded(matches):
+    return {k: (round(s, 12), at) for k, (s, at) in matches.items()}
+
+
 def tables(spark, cases):
     docs, items = cases
     docs = clashing(spark.createDataFrame(docs, "doc_id long, text string"), "item_id", "uid", "t", "g", "shingles", "size", "similarity", "start")
@@ -65,13 +69,13 @@ def tables(spark, cases):
 
 
 def test_same_as_brute_force(spark, cases):
-    assert found(D.matches(*tables(spark, cases))) == pytest.approx(brute_force(*cases))
+    assert rounded(found(D.matches(*tables(spark, cases)))) == rounded(brute_force(*cases))
 
 
 def test_joined_anchors_give_the_same(spark, cases, monkeypatch):
     monkeypatch.setattr(D, "MAX_LITERALS", 0)
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    assert found(D.matches(*tables(spark, cases))) == pytest.approx(brute_force(*cases))
+    assert rounded(found(D.matches(*tables(spark, cases)))) == rounded(brute_force(*cases))
 
 
 def test_decontaminated_keeps_clean_documents(spark, cases):
