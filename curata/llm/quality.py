@@ -140,14 +140,15 @@ def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits(model, x) / model.temperature, -40, 40)))
 
 
-def train_network(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> tuple[list[np.ndarray], float]:
-    """Two layers by Adam, and the temperature from rows left out."""
+def train_network(x: np.ndarray, y: np.ndarray, steps: int = 6000, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> tuple[list[np.ndarray], float]:
+    """Two layers by about ``steps`` steps of Adam, and the temperature from
+    rows left out."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     held, used = order[:len(x) // 5], order[len(x) // 5:]
-    layers = [rng.standard_normal((x.shape[1], HIDDEN)) / np.sqrt(x.shape[1]), np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
+    layers: list[np.ndarray] = [rng.standard_normal((x.shape[1], HIDDEN)) / np.sqrt(x.shape[1]), np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
     m, v, step = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, -(-len(used) // 128)))):
         shuffled = rng.permutation(used)
         for batch in (shuffled[i:i + 128] for i in range(0, len(shuffled), 128)):
             a, t = x[batch], y[batch]
