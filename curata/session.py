@@ -72,14 +72,25 @@ def shared_root(spark: SparkSession) -> str | None:
     return None
 
 
+_FOLDERS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under :func:`shared_root`. Never a
-    machine-local temporary folder."""
+    machine-local temporary folder. All tables of an application share a
+    folder that goes when the application ends."""
     root = shared_root(spark)
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
                            "(HDFS, S3, ABFS) to write intermediate tables")
-    return f"{root.rstrip('/')}/curata-{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/curata-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, cut_lineage: bool = False) -> DataFrame:

@@ -32,7 +32,6 @@ WAREHOUSE = {"spark.sql.warehouse.dir": "file:/work/spark-warehouse"}
 def test_checkpoint_dir_wins_everywhere():
     s = _Session("yarn", {**WAREHOUSE, "spark.checkpoint.dir": "s3a://bucket/ckpt"})
     assert shared_root(s) == "s3a://bucket/ckpt"
-    assert scratch_path(s, "t").startswith("s3a://bucket/ckpt/curata-t-")
 
 
 def test_warehouse_only_on_local_master():
@@ -45,6 +44,15 @@ def test_cluster_without_shared_folder_refuses_to_write():
         scratch_path(_Session("spark://host:7077", WAREHOUSE), "t")
 
 
+def test_scratch_tables_share_a_folder_of_the_application(spark):
+    from curata.session import shared_root
+    a, b = scratch_path(spark, "t"), scratch_path(spark, "t")
+    folder = f"{shared_root(spark).rstrip('/')}/curata-{spark.sparkContext.applicationId}"
+    assert a != b and a.startswith(f"{folder}/t-") and b.startswith(f"{folder}/t-")
+    spark.range(3).write.parquet(a)
+    assert spark.read.parquet(a).count() == 3
+
+
 def test_programmatic_checkpoint_dir_counts():
     s = _Session("k8s://api", WAREHOUSE, ckpt="hdfs:///ckpt/app")
     assert shared_root(s) == "hdfs:///ckpt/app"
