@@ -4,6 +4,7 @@ Python object per word."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 from pathlib import Path
 
@@ -101,6 +102,15 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def give_back() -> None:
+    """At the end of a task: free memory goes back to the system, since a
+    worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids as int64 (0 for null) and which of them are there."""
     there = np.asarray(pc.is_valid(column))

@@ -16,15 +16,15 @@ size and the smallest id that links lead to.
    many of them is done.
 3. *Groups.* Nodes with equal size and equal prefix are one group and send
    each prefix shingle once.
-4. *Pairs.* First each group meets, per prefix shingle, only the group with
-   the smallest id (and each node its own group's first): linear in the sizes
-   of the buckets. The pairs are expanded to members and verified on their
-   whole sets, and links make components. Then, exactly, whatever pair of
-   groups that share a prefix shingle is not yet in one component, pass the
-   size and position filters, is expanded to members and verified. In a bucket
-   only members outside its largest component meet the others, so a large
-   group of near copies makes no square of pairs, and no link between
-   components is lost.
+4. *Pairs.* First each group meets, per prefix shingle, only a hub, the group
+   with the fewest shingles of its own (and each node its own group's first):
+   linear in the sizes of the buckets. The pairs are verified on their whole
+   sets, and links tell which nodes are together. Then, exactly, whatever
+   members of groups share a prefix shingle and are not known to be together,
+   and can link by size, by position and by the parity of their hashes (an
+   upper bound of the intersection), are verified. In a bucket only members
+   outside its largest part meet the others, so a large group of near copies
+   makes no square of pairs, and no link between components is lost.
 
 Shingles, and sets as nodes, are told apart by 64-bit hashes.
 
@@ -45,12 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm import packed as P
-from curata.llm.common import chunks, id_list, text_bytes, texts_of, written
+from curata.llm.common import chunks, give_back, id_list, text_bytes, texts_of, written
 from curata.llm.components import components
 
 WIDTH = 5
 #: Links need 7 * intersection >= 3 * (sum of sizes), which is a Jaccard similarity of 0.75.
 SUM_SHARE, INTER_SHARE = 3, 7
+#: Longs of the parity bits that bound an intersection from above.
+LANES = 16
 #: Bits of the Bloom filters (sent to every task).
 BLOOM_BITS = 1 << 26
 _OUT = pa.schema([("place", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -135,18 +137,19 @@ class _Packer:
             yield self.rows()
 
     def rows(self) -> pa.RecordBatch:
-        ids, hashes = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, P.U))
-        self.held, self.size = [], 0
-        rows = self.tell(ids, hashes)
-        return _rows(rows)
+        held, self.held, self.size = self.held, [], 0
+        ids = np.concatenate([i for i, _ in held]) if held else np.zeros(0, np.int64)
+        hashes = np.concatenate([h for _, h in held]) if held else np.zeros(0, P.U)
+        del held
+        return _rows(self.tell(ids, hashes))
 
 
-def _shared_counts(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash, and for each entry in it the number of entries with its
     hash and whether it is the first of them."""
     order = np.argsort(hashes, kind="stable")
     head, length = P.runs_of(hashes[order])
-    first = np.zeros(len(ids), bool)
+    first = np.zeros(len(hashes), bool)
     first[head] = True
     return order, np.repeat(length, length), first
 
@@ -157,14 +160,15 @@ def frequent_documents(docs: DataFrame, segments: int, buckets: int) -> DataFram
 
     def scan(batches):
         def tell(ids, hashes):
-            order, count, first = _shared_counts(ids, hashes)
+            order, count, first = _shared_counts(hashes)
             known = np.zeros(len(ids), np.uint32)
             known[order[count > 1]] = 1
-            sent = order[first]
-            # an entry that others here share is sent once, as id -1: its owners count it already
-            owner = np.where(count[first] > 1, -1, ids[sent])
-            rows = [(k, 0, P.pack(owner[i], hashes[sent[i]])) for k, i in P.dealt(_segment(hashes[sent], segments), segments)]
-            return rows + counted(ids[known > 0], 1)
+            rows = counted(ids[known > 0], 1)
+            # a hash that several rows here hold is sent once, without an id: they count it already
+            for kind, sent in ((0, order[first & (count == 1)]), (3, order[first & (count > 1)])):
+                owner = ids[sent] if kind == 0 else np.zeros(len(sent), np.int64)
+                rows += [(k, kind, P.pack(owner[i], hashes[sent[i]])) for k, i in P.dealt(_segment(hashes[sent], segments), segments)]
+            return rows
 
         def counted(ids, kind):
             """Ids and their counts, by bucket of ids (sent through any segment)."""
@@ -186,6 +190,7 @@ def frequent_documents(docs: DataFrame, segments: int, buckets: int) -> DataFram
                     sizes, held = [], 0
         yield packer.rows()
         yield _rows(size_rows(sizes))
+        give_back()
 
     def size_rows(sizes):
         if not sizes:
@@ -196,13 +201,16 @@ def frequent_documents(docs: DataFrame, segments: int, buckets: int) -> DataFram
     def settle(segment: pa.Table) -> pa.Table:
         kinds, blobs = np.asarray(segment.column("kind")), segment.column("blob").to_pylist()
         ids, hashes = P.unpack_all([b for b, k in zip(blobs, kinds, strict=True) if k == 0], np.uint64)
-        order, count, _ = _shared_counts(ids, hashes)
-        shared = ids[order[count > 1]]
-        u, n = np.unique(shared[shared != -1], return_counts=True)
+        settled = P.unpack_all([b for b, k in zip(blobs, kinds, strict=True) if k == 3], np.uint64)[1]
+        order, count, _ = _shared_counts(np.concatenate([hashes, settled]))
+        shared = order[count > 1]
+        u, n = np.unique(ids[shared[shared < len(ids)]], return_counts=True)
         rows = [(k, 1, P.pack(u[i], n[i].astype(np.uint32))) for k, i in P.dealt(P.xxhash64(u) % buckets, buckets)]
         for kind in (1, 2):  # on their way to the buckets
             ids, n = P.unpack_all([b for b, k in zip(blobs, kinds, strict=True) if k == kind], np.uint32)
             rows += [(k, kind, P.pack(ids[i], n[i])) for k, i in P.dealt(P.xxhash64(ids) % buckets, buckets)]
+        del blobs, ids, hashes, settled, order, count, shared
+        give_back()
         return pa.Table.from_batches([_rows(rows)])
 
     def judge(bucket: pa.Table) -> pa.Table:
@@ -246,6 +254,7 @@ def node_prefixes(docs: DataFrame, bloom: Bloom, segments: int, buckets: int) ->
                 own = np.repeat(new, n)
                 yield from packer.add(np.repeat(nodes, n)[own], hashes[own])
         yield packer.rows()
+        give_back()
 
     def settle(segment: pa.Table) -> pa.Table:
         kinds, blobs = np.asarray(segment.column("kind")), segment.column("blob").to_pylist()
@@ -294,8 +303,16 @@ def open_rows(batch: pa.RecordBatch, bloom: Bloom):
     yield from chunks(batch)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * LANES cells, whether an odd number of the hashes falls
+    into it, as LANES longs. Where two sets' cells differ, at least as many
+    elements are in one of them only."""
+    odd = np.bincount((hashes >> P.U(40)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, bloom: Bloom) -> DataFrame:
-    """Rows (node, doc_id, hashes) of the documents that the filter lets pass."""
+    """Rows (node, doc_id, hashes, bits) of the documents that the filter lets pass."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def scan(batches):
@@ -303,9 +320,12 @@ def sets_of(docs: DataFrame, bloom: Bloom) -> DataFrame:
             for part in open_rows(batch, sent.value):
                 hashes, offsets = shingle_sets(texts_of(part))
                 own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in own], pa.int64()), part.column("doc_id"), pa.array([h.tobytes() for h in own], pa.binary())], ["node", "doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_id(h) for h in own], pa.int64()), part.column("doc_id"), pa.array([h.tobytes() for h in own], pa.binary()),
+                     pa.array([parity(h) for h in own], pa.list_(pa.int64()))], ["node", "doc_id", "hashes", "bits"])
+        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "node long, doc_id long, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "node long, doc_id long, hashes binary, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -324,6 +344,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(INTER_SHARE * inter >= SUM_SHARE * (len(x) + len(y)))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+        give_back()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
@@ -332,48 +353,48 @@ def _sizes_allow(n: Column, m: Column) -> Column:
     return (4 * n >= 3 * m) & (4 * m >= 3 * n)
 
 
-def links(nodes: DataFrame, sets_for) -> tuple[DataFrame, DataFrame]:
+def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Component of each node that links: node, component. ``nodes`` has node,
-    n, u, prefix, and is a written table; ``sets_for`` gives the sets of nodes."""
+    n, u, prefix and ``sets`` their node, hashes and bits; both are written
+    tables."""
     prefix = F.when(F.col("u") == 0, F.xxhash64("prefix")).otherwise(F.col("node"))
     grouped = nodes.select("node", "n", "u", "prefix", prefix.alias("same"))
     # equal size and prefix: one group, named by its smallest node
-    names = grouped.groupBy("n", "same").agg(F.min("node").alias("gid"))
-    members = written(grouped.join(names, ["n", "same"]).select("node", "gid", "n", "u", "prefix"), "members")
-    tokens = members.where("node = gid").select("gid", "n", "u", F.posexplode("prefix").alias("pos", "h"))
-    tokens = tokens.select("h", "gid", "n", (F.col("pos") + F.col("u")).alias("pos"))
-    hubs = tokens.groupBy("h").agg(F.min(F.struct("gid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    tokens = written(tokens.join(hubs, "h"), "tokens")
+    names = grouped.groupBy("n", "same").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
+    members = written(grouped.join(names, ["n", "same"]).drop("same"), "members")
+    tokens = members.where("node = gid").select("gid", "n", "u", "members", F.posexplode("prefix").alias("pos", "h"))
+    tokens = tokens.select("h", "gid", "n", "u", "members", (F.col("pos") + F.col("u")).alias("pos"))
+    # The hub of a shingle is the group with the fewest shingles of its own,
+    # the likeliest to be what the others were copied from.
+    hubs = tokens.groupBy("h").agg(F.min(F.struct("u", "gid", "n")).alias("hub"), F.sum("members").alias("k")).where("k > 1")
+    tokens = written(tokens.join(hubs.select("h", "hub"), "h"), "tokens")
     star = tokens.where((F.col("gid") != F.col("hub.gid")) & _sizes_allow(F.col("n"), F.col("hub.n"))).select(F.col("gid").alias("a"), F.col("hub.gid").alias("b"))
     inside = members.where("node <> gid").select(F.col("node").alias("a"), F.col("gid").alias("b"))
-    star = written(star.unionByName(inside).distinct(), "star")
-    mates = members.select("node", "gid").join(tokens.select("gid").distinct(), "gid", "left_semi").select("node")
-    sets = written(sets_for(mates.unionByName(inside.select(F.col("a").alias("node"))).unionByName(inside.select(F.col("b").alias("node"))).distinct()), "sets")
-    found = written(verified(star, sets), "links")
-    part = written(components(found), "components")
-    # what is left: pairs of groups that share a prefix shingle and are not in one component
-    placed = members.select("node", "gid").join(part, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
-    by_group = placed.groupBy("gid").agg(F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed"))
-    held = tokens.select("h", "gid", "n", "pos").join(by_group, "gid")
-    held = written(held, "held")
-    counts = held.groupBy("h", "component").agg(F.count("*").alias("k"), F.max(F.col("mixed").cast("int")).alias("mixed"))
-    main = counts.groupBy("h").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.max("mixed").alias("mixed"))
-    main = main.where("parts > 1 or mixed = 1").select("h", F.col("main.component").alias("main"))
-    rest = written(held.join(main, "h"), "rest")
-    left = rest.where("component <> main or mixed").select("h", *(F.col(c).alias(f"l_{c}") for c in ("gid", "n", "pos", "component", "mixed")))
-    right = rest.select("h", *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "pos", "component", "mixed")))
+    found = written(verified(star.unionByName(inside).distinct(), sets), "links")
+    # Nodes known to be together by two steps along their links.
+    up = found.groupBy("a").agg(F.min("b").alias("b"))
+    two = up.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("component"))
+    placed = members.select("node", "gid").join(two, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component"))
+    # What is left: nodes that share a prefix shingle and are not known to be together.
+    held = written(tokens.select("h", "gid", "n", "pos").join(placed, "gid"), "held")
+    parts = held.groupBy("h", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("h").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = held.join(main.select("h", F.col("main.component").alias("main")), "h")
+    rest = rest.join(sets.select("node", *(F.get("bits", i).alias(f"bits{i}") for i in range(LANES))), "node")
+    own = ["node", "n", "pos", "component", *(f"bits{i}" for i in range(LANES))]
+    rest = written(rest.select("h", "main", *own), "rest")
+    left = rest.where("component <> main").select("h", *(F.col(c).alias(f"l_{c}") for c in own))
+    right = rest.select("h", *(F.col(c).alias(f"r_{c}") for c in own))
     n, m, i, j = (F.col(c) for c in ("l_n", "r_n", "l_pos", "r_pos"))
-    overlap = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)  # at most, given where they meet
-    apart = (F.col("l_component") != F.col("r_component")) | F.col("l_mixed") | F.col("r_mixed")
-    near = left.join(right, "h").where((F.col("l_gid") != F.col("r_gid")) & apart & _sizes_allow(n, m) & (INTER_SHARE * overlap >= SUM_SHARE * (n + m)))
-    groups = near.select(F.least("l_gid", "r_gid").alias("g"), F.greatest("l_gid", "r_gid").alias("h"))
-    groups = groups.unionByName(by_group.where("mixed").select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct()
-    one = placed.select(F.col("gid").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca"))
-    other = placed.select(F.col("gid").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = groups.join(one, "g").join(other, "h").where("ca <> cb and (g <> h or a < b)").select("a", "b")
-    more = written(verified(pairs.distinct(), sets), "links")
-    return members, components(found.unionByName(more))
+    by_place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)  # at most so many in common, given where they meet
+    apart = sum((F.bit_count(F.col(f"l_bits{k}").bitwiseXOR(F.col(f"r_bits{k}"))) for k in range(1, LANES)),
+                F.bit_count(F.col("l_bits0").bitwiseXOR(F.col("r_bits0"))))
+    by_bits = n + m - apart  # twice that, given the bits that differ
+    enough = (INTER_SHARE * by_place >= SUM_SHARE * (n + m)) & (INTER_SHARE * by_bits >= 2 * SUM_SHARE * (n + m))
+    near = left.join(right, "h").where((F.col("l_component") != F.col("r_component")) & _sizes_allow(n, m) & enough)
+    near = near.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+    more = written(verified(near, sets), "links")
+    return components(found.unionByName(more))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -387,12 +408,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rows = found.where("kind = 0").select("doc_id", "n", "node")
     firsts = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
-    def sets_for(nodes: DataFrame) -> DataFrame:
-        wanted = firsts.join(nodes, "node")
-        sets = sets_of(own, Bloom.of(wanted, "doc_id"))
-        return sets.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "hashes")
-
-    _, part = links(found.where("kind = 1").select("node", "n", "u", "prefix"), sets_for)
+    nodes = found.where("kind = 1").select("node", "n", "u", "prefix")
+    wanted = firsts.join(nodes.select("node"), "node")
+    sets = sets_of(own, Bloom.of(wanted, "doc_id")).join(wanted, ["node", "doc_id"]).select("node", "hashes", "bits")
+    part = links(nodes, written(sets, "sets"))
     placed = written(firsts.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = placed.join(least, "component").select("node", "component_id")

@@ -22,7 +22,7 @@ SEGMENT_WINDOWS = 1 << 20
 #: Bytes of text of a bucket of documents.
 BUCKET_BYTES = 4 << 20
 #: Hashes that a map task holds before it packs them.
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 #: Bytes hashed at once.
 SPAN = 1 << 20
 #: Bytes of a word and the blank after it, for the number of segments.

@@ -49,7 +49,8 @@ def test_same_as_all_pairs(spark, docs, corpus):
 def test_null_ids_repeats_and_clashing_columns(spark):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(5, base), (5, base), (3, base + " more"), (None, base), (None, None), (9, None), (9, "quite another text of some words"),
-            (8, "quite another text of some words"), (2, None), (9, base.replace("w0", "v0"))]
+            (8, "quite another text of some words"), (2, None), (9, base.replace("w0", "v0")),
+            (-1, " ".join(f"z{i}" for i in range(30))), (0, " ".join(f"z{i}" for i in range(30))), (-2**63, "lone words of the smallest id there is")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"), "component_id", "n_shingles", "node", "place", "a")
     assert found(join_documents(df)) == brute_force(rows)
 
