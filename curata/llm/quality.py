@@ -11,7 +11,7 @@ the training rows that the network has not seen calibrates its probabilities.
 
 Training takes a bounded sample of the labelled rows: about ``max_rows``,
 chosen by a hash of the id, and at most ``vocabulary`` words (the most
-frequent, ties by the word); rarer words share ``UNSEEN`` vectors by hash. The
+frequent, ties by the word, none that occurs once); rarer words share ``UNSEEN`` vectors by hash. The
 fitted model is therefore of bounded size and is sent to every task. All
 documents are scored on their whole texts.
 
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import chunks, split_words, texts_of, written
+from curata.llm.common import chunks, give_back, split_words, texts_of, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MAX_ROWS = 20_000
@@ -46,7 +46,7 @@ WINDOW = 2
 HIDDEN = 32
 SAMPLE_TASKS = 16
 CHUNK = 1 << 20
-MEMO = 300_000
+MEMO = 150_000
 
 
 class Tokens:
@@ -129,9 +129,14 @@ def pooled(texts: pa.Array, tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features around 0; far values are held at 10 standard deviations."""
+    return np.clip((x - mean) / scale, -10, 10)
+
+
 def logits(model: Model, x: np.ndarray) -> np.ndarray:
     w1, b1, w2, b2 = model.layers
-    return np.tanh((x - model.mean) / model.scale @ w1 + b1) @ w2 + b2
+    return np.tanh(standard(x, model.mean, model.scale) @ w1 + b1) @ w2 + b2
 
 
 def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
 
     counted = sample.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    words = [r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(vocabulary).collect()]
+    words = [r["token"] for r in counted.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).collect()]
     size = len(words) + UNSEEN
     sent = spark.sparkContext.broadcast(words)
 
@@ -219,8 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     if not len(y) or y.min() == y.max():
         return Model(words, vectors, np.zeros(1), np.ones(1), [], 1.0, float(y.mean()) if len(y) else 0.5)
     x = np.array([r["x"] for r in rows])
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    layers, temperature = train_network((x - mean) / scale, y)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale < 1e-6, 1.0, scale)
+    layers, temperature = train_network(standard(x, mean, scale), y)
     return Model(words, vectors, mean, scale, layers, temperature)
 
 
@@ -236,5 +242,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in chunks(batch, most=CHUNK):
                 x = pooled(texts_of(part), tokens, model.vectors)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(probabilities(model, x))], ["doc_id", "score"])
+        del tokens
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
