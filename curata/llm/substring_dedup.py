@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm import packed as P
-from curata.llm.common import chunks, id_list, text_bytes, texts_of, written
+from curata.llm.common import chunks, give_back, id_list, text_bytes, texts_of
 
 WIDTH = 13
 #: Counters in each row of a segment's sketch.
@@ -155,6 +155,8 @@ def covered_windows(docs: DataFrame, width: int, segments: int, buckets: int, sk
                     held, size = [], 0
         if size:
             yield packed_rows()
+        held.clear()
+        give_back()
 
     def settle(segment: pa.Table) -> pa.Table:
         kinds, blobs = np.asarray(segment.column("kind")), segment.column("blob").to_pylist()
@@ -162,7 +164,10 @@ def covered_windows(docs: DataFrame, width: int, segments: int, buckets: int, sk
         known = P.unpack_all([b for b, k in zip(blobs, kinds, strict=True) if k == 1], np.uint64)
         ids, hashes = np.concatenate([ids, known[0]]), np.concatenate([hashes, known[1]])
         place = P.xxhash64(ids) % buckets
-        return pa.Table.from_batches([_rows([(k, 0, P.pack(ids[i], hashes[i])) for k, i in P.dealt(place, buckets)])])
+        rows = [(k, 0, P.pack(ids[i], hashes[i])) for k, i in P.dealt(place, buckets)]
+        del ids, hashes, known, place, blobs
+        give_back()
+        return pa.Table.from_batches([_rows(rows)])
 
     schema = "place int, kind byte, blob binary"
     found = docs.select("doc_id", "text").mapInArrow(scan, schema).groupBy("place").applyInArrow(settle, schema)
