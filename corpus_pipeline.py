@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm.common import remainder, table, written
+from curata.llm.common import remainder, small_batches, table, written
 
 #: A document whose best language scores less is rejected.
 LEAST_SCORE = 0.5
@@ -41,6 +41,7 @@ def _vocabulary() -> str:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from curata.llm.language_id import UNKNOWN, fit, predict
 
+    small_batches(spark)
     model = fit(docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2)))
     judged = predict(docs, model, docs.columns)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
@@ -49,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from curata.llm.ngram_join import join_documents
 
+    small_batches(spark)
     judged = written(join_documents(docs), "judged")
     copies = judged.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
@@ -62,6 +64,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from curata.llm.substring_dedup import remove_repeats
 
+    small_batches(spark)
     cut = remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -78,6 +81,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from curata.llm.complement_packing import pack_documents
 
+    small_batches(spark)
     return pack_documents(docs, _vocabulary())
 
 

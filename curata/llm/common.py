@@ -38,7 +38,16 @@ _reach_workers()
 CHUNK_BYTES = 2 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts make large Arrow batches: fewer rows in one, unless the
+    session has been given a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import chunks, split_words, texts_of, written
+from curata.llm.common import chunks, give_back, split_words, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -73,28 +73,27 @@ class WordTokenizer:
         whole = Tokenizer.from_file(path)
         self.encode = lambda s: whole.encode(s, add_special_tokens=False).ids
         self.model, self.letters = whole.model, _byte_letters()
-        self.stop_ids = {s: self.encode(s) for s in self.STOPS}
+        self.stop_ids = {s: array("I", self.encode(s)).tobytes() for s in self.STOPS}
         self.clear()
 
     def clear(self) -> None:
-        self.cores: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
         self.place: dict[str, int] = {}
         self.flat, self.start = array("I"), array("q", [0])
 
-    def core(self, word: str) -> list[int]:
+    def core(self, word: str) -> bytes:
         ids = self.cores.get(word)
         if ids is None:
             mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.cores[word] = [t.id for t in self.model.tokenize(mapped)]
+            ids = self.cores[word] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         stop = self.stop_ids.get(word[-1:])
         body = word[:-1] if stop else word
         if body.isalpha() and max(body) < self.LATIN:
-            ids = self.core(body.lower())
-            return ids + stop if stop else ids
-        return self.encode(word)
+            return self.core(body.lower()) + (stop or b"")
+        return array("I", self.encode(word)).tobytes()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of the texts."""
@@ -105,7 +104,7 @@ class WordTokenizer:
         for w in words:
             if w not in place:
                 place[w] = len(starts) - 1
-                flat.extend(self.word(w))
+                flat.frombytes(self.word(w))
                 starts.append(len(flat))
         at = np.fromiter((place[w] for w in words), np.int64, len(words))[codes]
         bounds = np.array(starts, np.int64)
@@ -135,6 +134,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()),
                      *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import chunks, segment_sums, split_words, texts_of, written
+from curata.llm.common import chunks, give_back, segment_sums, split_words, texts_of, written
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,7 +37,7 @@ ROWS_PER_LANGUAGE = 1500
 MAX_WORDS = 120_000
 MAX_GRAMS = 60_000
 #: Words that a task remembers the score of.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -179,5 +179,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             for part in chunks(batch, text):
                 lang, score = predict_texts(texts_of(part, text), scorer)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     return rows.mapInArrow(run, schema)
