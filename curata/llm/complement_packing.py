@@ -42,7 +42,7 @@ from curata.llm.common import chunks, give_back, split_words, texts_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a task remembers the ids of.
-MEMO = 600_000
+MEMO = 900_000
 #: Pieces that are numbered in one bucket.
 BUCKET_ROWS = 10_000
 
