@@ -314,7 +314,7 @@ def q_impute_mode_tie(spark, sf):
     """Two sizes made equally frequent, as a number category: 2 before 10."""
     p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, 10).when(F.col("p_partkey") % 4 == 1, 2).when(
         F.col("p_partkey") % 4 == 2, F.lit(None)).otherwise(F.col("p_partkey") + 100).cast("int").alias("size"))
-    cat = clean.cast_columns(p.where("p_partkey <= 2000"), ["size"], "category")[0]
+    cat = clean.cast_columns(p, ["size"], "category")[0]
     return fit.fit_impute(cat, "mean").transform(cat)
 
 

@@ -4,6 +4,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
+SF_LARGE = "/root/testdata/sf0.1"
+
 FAST = ["num_summary_grouped", "cat_summary_missing", "missing_table", "impute_median",
         "outlier_cap", "bin_int", "hist_by", "box", "corr_matrix", "clean_engineer_summary"]
 
@@ -60,3 +62,9 @@ def test_no_single_partition_windows_or_cartesian(spark):
         plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Window \[[^\n]*\], \[\], ", plan), name
         assert "CartesianProduct" not in plan, name
+
+
+def test_mode_tie_is_imputed_in_the_whole_table(spark):
+    got = {r["p_partkey"]: r["size"] for r in E.queries()["impute_mode_tie"](spark, SF_LARGE).collect()}
+    keys = [r["p_partkey"] for r in spark.read.parquet(f"{SF_LARGE}/part.parquet").collect()]
+    assert len(keys) > 2000 and got == {k: (10, 2, 2, k + 100)[k % 4] for k in keys}
