@@ -26,6 +26,16 @@ def test_languages_held_out(labelled):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_every_row_of_the_sample_size_is_learned(spark):
+    """2,800 rows a language: a word of two rows counts twice, so it is known."""
+    def name(i):
+        return "".join(chr(97 + int(d)) for d in f"{i:04d}")
+
+    rows = [(2 * i + j, f"{lang} {lang}x{name(i % 1400)}", lang) for i in range(2800) for j, lang in enumerate(("de", "en"))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {f"{lang}x{name(i)}" for i in range(1400) for lang in ("de", "en")} <= set(model["words"])
+
+
 def test_unseen_words_fall_back(labelled):
     model = language_id.fit(labelled, max_words=5)
     out = language_id.predict(labelled, model, ["doc_id", "lang"]).collect()
