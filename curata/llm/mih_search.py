@@ -12,7 +12,9 @@ original vectors in double precision.
 
 The radius is set on the sample as the distance that holds ``recall`` of true
 neighbours there. On more rows the true neighbours lie nearer, so it errs to
-the safe side. Every row is indexed.
+the safe side. Queries that find too few within it, as those in a thin part of
+skewed vectors do, probe again with a larger radius, up to the whole code.
+Every row is indexed.
 
 Equal vectors are one entry of the index with the smallest ids that can
 appear in an answer (``k`` and the query's own), so copies of one vector cost
@@ -183,7 +185,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int | None = None, r
     near = np.concatenate(near) if near else np.zeros(0)
     # Few candidates: all of them are wanted, so the radius is the length of the code.
     radius = int(np.quantile(near, recall, method="higher")) if len(near) and n > 50 * k else bits
-    model = spark.sparkContext.broadcast((rotation, radius))  # dim x bits numbers
+    model = spark.sparkContext.broadcast(rotation)  # dim x bits numbers
+    wanted = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0])
+    merged, left_over = None, asked
+    while True:
+        found = written(probed(entries, n, left_over, n_asked, model, radius, k), "found")
+        full = found if radius >= bits else found.where(F.size("p") >= wanted)
+        merged = full if merged is None else merged.unionByName(full)
+        if radius >= bits:
+            break
+        left_over = written(left_over.join(full, "code", "left_anti"), "queries")
+        n_asked = left_over.count()
+        if not n_asked:
+            break
+        radius = min(bits, max(2 * radius, radius + SUBSTRING_BITS))
+    # Queries with equal vectors share the answer, each without itself.
+    kept = queries.join(merged, "code").select("query_id", F.expr(f"slice(filter(p, x -> x.vec_id <> query_id), 1, {k})").alias("p"))
+    return kept.select("query_id", F.posexplode("p").alias("rank", "x")).select(
+        "query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+
+
+def probed(entries: DataFrame, n: int, asked: DataFrame, n_asked: int, model, radius: int, k: int) -> DataFrame:
+    """The k + 1 best rows within the radius of each asked vector: code, p
+    (far, vec_id). A vector without any is left out."""
     blocks, query_blocks = max(1, -(-n // BLOCK_ENTRIES)), max(1, -(-n_asked // BLOCK_QUERIES))
 
     def spread(df, own_block, own_n, other_block, other_n):
@@ -194,7 +218,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int | None = None, r
     right = spread(asked, "q", query_blocks, "b", blocks)
 
     def meet(e: pa.Table, q: pa.Table) -> pa.Table:
-        rotation, radius = model.value
+        rotation = model.value
         rows: list = [[], [], []]
         if e.num_rows and q.num_rows:
             x = np.array([np.frombuffer(v) for v in e.column("code").to_pylist()])
@@ -209,8 +233,4 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int | None = None, r
 
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(meet, "code binary, ids array<long>, scores array<double>")
     pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("far"), F.col("ids").alias("vec_id"))
-    merged = found.select("code", pairs.alias("p")).groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))
-    # Queries with equal vectors share the answer, each without itself.
-    kept = queries.join(merged, "code").select("query_id", F.expr(f"slice(filter(p, x -> x.vec_id <> query_id), 1, {k})").alias("p"))
-    return kept.select("query_id", F.posexplode("p").alias("rank", "x")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    return found.select("code", pairs.alias("p")).groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))

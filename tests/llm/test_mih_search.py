@@ -40,6 +40,16 @@ def test_recall_and_scores(spark):
     assert set(got) == set(want) and recall >= 0.9
 
 
+def test_outliers_of_tight_clusters_get_full_answers(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 32))
+    x = centres[rng.integers(0, 20, 3000)] + 0.001 * rng.standard_normal((3000, 32))
+    x[::100] = rng.standard_normal((30, 32))  # every fifth query
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = answers(search(df, F.col("vec_id") % 20 == 0, k=20))
+    assert set(got) == set(range(0, 3000, 20)) and {len(set(a) - {q}) for q, a in got.items()} == {20}
+
+
 def test_bad_vectors_ties_copies_and_clashing_columns(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.5, 0.5]), (5, [0.0, 0.0]), (6, None), (7, []),
