@@ -46,6 +46,17 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     assert got[6] == got[7] == "block" and got[2] == got[9] == "allow"
 
 
+def test_what_the_registered_threshold_blocks(spark):
+    """Who alone links to two blocked hosts is blocked; who links to one, or
+    shares its targets with others, is not (README, link graph)."""
+    bad = [page(i, f"http://bad{i}.net/es/1") for i in range(4)]
+    pages = [*bad, page(10, "http://both.org/1", bad[0][1], bad[1][1]), page(11, "http://one.org/1", bad[2][1]),
+             *(page(20 + i, f"http://farm{i}.org/1", bad[3][1]) for i in range(5))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(df, URL_RULES).collect()}
+    assert got[10] == "block" and got[11] == "allow" and {got[20 + i] for i in range(5)} == {"allow"}
+
+
 def test_edges(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     got = {(r["src"], r["dst"]): r["links"] for r in host_edges(df).collect()}
