@@ -92,6 +92,12 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -116,4 +123,5 @@ SQL: dict[str, str] = {
     "op2_url_filters": sql.url_filters(URL_RULES),
     "op4_substring_dedup": sql.substring_dedup(),
     "op6_chat_formatting": sql.chat_formatting(),
+    "op11_source_divergence": sql.source_divergence_audit(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curata.llm import url_graph
+from curata.llm import source_divergence, url_graph
 from curata.llm.chat_schema import Template
 
 
@@ -74,3 +74,31 @@ gone AS (SELECT DISTINCT k, i + j AS i FROM windows JOIN firsts USING (s), range
 kept AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
 SELECT doc_id, len(ws) AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (k)"""
+
+
+def source_divergence_audit() -> str:
+    d = source_divergence
+    p = "1 + ({scale}::HUGEINT * ({c} + 2)) // ({n} + 2::HUGEINT * {v})"
+    own = p.format(scale=d.SCALE, c="coalesce(c, 0)", n="n", v="v")
+    whole = p.format(scale=d.SCALE, c="c", n="n", v="v")
+    f = "((a.p - b.p) * (a.p - b.p) // (a.p + b.p))"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{d.UPPER}', '{d.LOWER}'), '{d.TERM}') AS terms FROM documents),
+tokens AS (SELECT k, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY 1, 2 HAVING count(DISTINCT k) >= {d.MIN_DF}),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+counts AS (SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+group_n AS (SELECT lang, source, coalesce(sum(c), 0) AS n, coalesce(any_value(v), 0) AS v
+    FROM groups LEFT JOIN counts USING (lang, source) LEFT JOIN sizes USING (lang) GROUP BY 1, 2),
+shares AS (SELECT lang, source, term, coalesce(c, 0) AS c, {own} AS p
+    FROM group_n JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+lang_counts AS (SELECT lang, term, sum(c) AS c FROM counts GROUP BY 1, 2),
+lang_shares AS (SELECT lang, term, {whole} AS p FROM lang_counts JOIN (SELECT lang, sum(c) AS n FROM lang_counts GROUP BY 1) USING (lang) JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum({f}) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT a.lang, a.source, 'term' AS part, a.term AS item, {f} AS value FROM shares a JOIN lang_shares b USING (lang, term) WHERE c > 0 AND a.p > b.p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {d.TOP_TERMS}"""
