@@ -85,8 +85,10 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return raw, start, end, np.searchsorted(start, off)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    table = _LOWER if lower else _TABLE
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each word; ``table`` may give another odd number for each byte."""
+    if table is None:
+        table = _LOWER if lower else _TABLE
     out = np.empty(len(start), U)
     i = 0
     while i < len(start):

@@ -98,6 +98,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_feistel_sharding": op10_feistel_sharding,
     "op11_source_divergence": op11_source_divergence,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "pipeline": pipeline,
 }
 
@@ -123,5 +130,6 @@ SQL: dict[str, str] = {
     "op2_url_filters": sql.url_filters(URL_RULES),
     "op4_substring_dedup": sql.substring_dedup(),
     "op6_chat_formatting": sql.chat_formatting(),
+    "op12_phrase_collocations": sql.phrase_collocations(),
     "op11_source_divergence": sql.source_divergence_audit(),
 }

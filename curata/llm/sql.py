@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curata.llm import source_divergence, url_graph
+from curata.llm import collocations, source_divergence, url_graph
 from curata.llm.chat_schema import Template
 
 
@@ -102,3 +102,26 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
 terms AS (SELECT a.lang, a.source, 'term' AS part, a.term AS item, {f} AS value FROM shares a JOIN lang_shares b USING (lang, term) WHERE c > 0 AND a.p > b.p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {d.TOP_TERMS}"""
+
+
+def phrase_collocations() -> str:
+    c = collocations
+    lower = f"translate(coalesce(text, ''), '{url_graph.UPPER}', '{url_graph.LOWER}')"
+    cut = "({scale}::HUGEINT * a * a // ({l}::HUGEINT * {r}))"
+    cuts2 = f"[{{'score': {cut.format(scale=c.SCALE, l='l1', r='r1')}, 'k': 1, 'l': l1, 'r': r1}}]"
+    cuts3 = f"[{{'score': {cut.format(scale=c.SCALE, l='l1', r='r1')}, 'k': 1, 'l': l1, 'r': r1}}, {{'score': {cut.format(scale=c.SCALE, l='l2', r='r2')}, 'k': 2, 'l': l2, 'r': r2}}]"
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ws AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+f1 AS (SELECT lang, w, count(*) AS a FROM (SELECT lang, unnest(w) AS w FROM ws) GROUP BY 1, 2),
+totals AS (SELECT lang, sum(a) AS n FROM f1 GROUP BY 1),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM ws) GROUP BY 1, 2, 3 HAVING count(*) >= {c.LEAST}),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM ws) GROUP BY 1, 2, 3, 4 HAVING count(*) >= {c.LEAST}),
+inside AS (SELECT lang, x, y, max(a) AS most FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) GROUP BY 1, 2, 3),
+c2 AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.a, u.a AS l1, v.a AS r1 FROM f2 JOIN f1 u ON u.lang = f2.lang AND u.w = f2.x JOIN f1 v ON v.lang = f2.lang AND v.w = f2.y
+    LEFT JOIN inside i ON i.lang = f2.lang AND i.x = f2.x AND i.y = f2.y WHERE i.most IS NULL OR 100 * i.most < {c.ABSORBED} * f2.a),
+c3 AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.a, u.a AS l1, yz.a AS r1, xy.a AS l2, v.a AS r2 FROM f3 JOIN f1 u ON u.lang = f3.lang AND u.w = f3.x JOIN f1 v ON v.lang = f3.lang AND v.w = f3.z
+    JOIN f2 xy ON xy.lang = f3.lang AND xy.x = f3.x AND xy.y = f3.y JOIN f2 yz ON yz.lang = f3.lang AND yz.x = f3.y AND yz.y = f3.z),
+cut AS (SELECT lang, phrase, a, list_sort({cuts2})[1] AS c FROM c2 UNION ALL SELECT lang, phrase, a, list_sort({cuts3})[1] AS c FROM c3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, phrase) AS rank FROM cut)
+SELECT lang, rank, phrase, a, c.l AS l, c.r AS r, n::BIGINT AS n, c.score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {c.TOP}"""
