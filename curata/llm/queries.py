@@ -104,6 +104,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curata.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_feistel_sharding": op10_feistel_sharding,
     "op11_source_divergence": op11_source_divergence,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": pipeline,
 }
 
