@@ -24,7 +24,7 @@ from .operators.filters import (DropRule, RangeFilter, ValueFilter, filter_all,
 from .plans.recipe import CleaningRecipe
 from .plans.workflow import prepare_file
 from .session import scratch_path
-from .sources import dirty_orders, load_table, normalize_types, preview, read_csv, read_json, table, write_csv
+from .sources import dirty_orders, load_table, normalize_types, preview, read_csv, read_json, table, write_csv, write_json_array
 
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -250,24 +250,21 @@ def q_csv_roundtrip(spark, sf):
 
 
 def q_json_roundtrip(spark, sf):
-    """Customers as JSON lines, nations as an array with a record a line (an
-    array is one document, read by one task: a layout for small tables)."""
+    """Customers as JSON lines, orders as arrays (one a file)."""
     lines, array = scratch_path(spark, "lines"), scratch_path(spark, "array")
     table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.json(lines)
-    text = table(spark, sf, "nation").select(F.struct("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("t")).alias("r"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), ",\n")
-    text.agg(F.concat(F.lit("[\n"), rows, F.lit("\n]")).alias("value")).write.text(array)
+    write_json_array(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("name")), array)
     return read_json(spark, lines).select(F.lit("lines").alias("layout"), "key", "name").unionByName(
         read_json(spark, array).select(F.lit("array").alias("layout"), "key", "name"))
 
 
 def q_load_dispatch(spark, sf):
     path = scratch_path(spark, "load")
-    rows = table(spark, sf, "nation")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
     write_csv(rows, path + ".csv")
     rows.write.json(path + ".JSON")
     rows.write.parquet(path + ".parquet")
-    parts = [load_table(spark, path + suffix).select(F.lit(suffix).alias("suffix"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    parts = [load_table(spark, path + suffix).select(F.lit(suffix).alias("suffix"), F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
              for suffix in (".csv", ".JSON", ".parquet")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -325,9 +322,10 @@ def q_ln_bool(spark, sf):
 
 
 def q_onehot_keep_double(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, F.lit(2e7)).when(F.col("n_regionkey") == 1, F.lit(0.0005)).when(
-        F.col("n_regionkey") == 2, F.lit(float("nan"))).otherwise(F.col("n_regionkey").cast("double")).alias("level"))
-    return make_one_hot_rule(n, "level").apply(n).drop("level")
+    kind = F.col("o_custkey") % 5
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(kind == 0, F.lit(2e7)).when(kind == 1, F.lit(0.0005)).when(
+        kind == 2, F.lit(float("nan"))).otherwise(kind.cast("double")).alias("level"))
+    return make_one_hot_rule(o, "level").apply(o).drop("level")
 
 
 def q_step_log(spark, sf):

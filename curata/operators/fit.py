@@ -257,22 +257,32 @@ def ln_transform(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list
 # ------------------------------------------------------------------ one-hot
 
 def distinct_values(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict[str, list]:
-    """Distinct non-missing values of each column, sorted in their own type;
-    one aggregate for all columns. Every value becomes a column of the result,
+    """Distinct non-missing values of each column, sorted in their own type,
+    by one distributed distinct over (column, value). Every value becomes a column of the result,
     so they fit a plan by nature; ``max_levels`` makes more of them an error."""
     if not columns:
         return {}
+    kinds = list(dict.fromkeys(df.schema[c].dataType.simpleString() for c in columns))
     cells = []
     for i, c in enumerate(columns):
+        dt = df.schema[c].dataType
         v = _q(c)
-        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            v = F.when(~F.isnan(v), v + F.lit(0.0).cast(df.schema[c].dataType))
-        cells.append(F.collect_set(v).alias(f"v{i}"))
-    r = df.agg(*cells).first()
-    found = {c: sorted(r[f"v{i}"]) for i, c in enumerate(columns)}
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            v = F.when(~F.isnan(v), v + F.lit(0.0).cast(dt))
+        # one value field for each type: only that of the column's own is filled
+        own = [(v if k == dt.simpleString() else F.lit(None).cast(k)).alias(f"v{j}") for j, k in enumerate(kinds)]
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("column"), *own)))
+    rows = df.select(F.explode(F.array(*cells)).alias("r")).where("r is not null").select("r.*").distinct()
+    if max_levels is not None:  # so many rows hold a column with too many
+        rows = rows.limit(len(columns) * max_levels + 1)
+    found: dict[str, list] = {c: [] for c in columns}
+    for r in rows.collect():
+        c = columns[r["column"]]
+        found[c].append(r[f"v{kinds.index(df.schema[c].dataType.simpleString())}"])
     for c, values in found.items():
         if max_levels is not None and len(values) > max_levels:
-            raise ValueError(f"column {c!r} has {len(values)} distinct values, more than {max_levels}")
+            raise ValueError(f"column {c!r} has more than {max_levels} distinct values")
+        values.sort()
     return found
 
 

@@ -98,13 +98,18 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     cells = {c: clean_numeric(df, c) for c in columns}
     r = df.agg(*[f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(cells.values()) for f in (F.min, F.max)]).first()
     ends = {c: _edges(r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(columns)}
-    places = F.array(*[F.struct(F.lit(c).alias("variable"), _bin_of(x, ends[c], bins).alias("bin")) for c, x in cells.items()])
-    counted = df.select(F.inline(places)).groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
-    parts = [_all_bins(counted.where(F.col("variable") == c), [], ends[c], bins).select(F.lit(c).alias("variable"), "*") for c in columns]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # a number for each bin of each column; all of them meet in one map of columns x bins entries
+    places = F.array(*[F.when(x.isNotNull(), _bin_of(x, ends[c], bins) + F.lit(i * bins)) for i, (c, x) in enumerate(cells.items())])
+    counted = df.select(F.explode(places).alias("place")).where(F.col("place").isNotNull()).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("_m"))
+
+    def bins_of(i: int, c: str):
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(
+            F.lit(c).alias("variable"), b.alias("bin"), zero_sign(_edge(b, ends[c], bins)).alias("bin_lo"), zero_sign(_edge(b + 1, ends[c], bins)).alias("bin_hi"),
+            F.coalesce(F.try_element_at("_m", b + F.lit(i * bins)), F.lit(0)).cast("long").alias("count")))
+
+    rows = [bins_of(i, c) for i, c in enumerate(columns)]
+    return counts.select(F.inline(F.flatten(F.array(*rows))))
 
 
 def log2_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -466,8 +466,8 @@ SELECT 'Priority' AS "column", COUNT(DISTINCT "Priority") AS n_distinct, COUNT(D
 UNION ALL SELECT 'Status', COUNT(DISTINCT "Status"), COUNT(DISTINCT "Status") + CAST(bool_or("Status" IS NULL) AS BIGINT) FROM dirty""",
     "preview": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
     "json_roundtrip": """SELECT 'lines' AS layout, c_custkey AS key, c_name AS name FROM customer
-UNION ALL SELECT 'array', CAST(n_nationkey AS BIGINT), n_name FROM nation""",
-    "load_dispatch": """SELECT suffix, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation, (VALUES ('.csv'), ('.JSON'), ('.parquet')) s(suffix)""",
+UNION ALL SELECT 'array', CAST(o_orderkey AS BIGINT), o_orderpriority FROM orders""",
+    "load_dispatch": """SELECT suffix, CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer, (VALUES ('.csv'), ('.JSON'), ('.parquet')) s(suffix)""",
     "normalize_types": """SELECT vec_id, '[' || CAST(trunc(embedding[1]) AS INTEGER) || ',' || CAST(trunc(embedding[2]) AS INTEGER) || ']' AS head, '2024-02-29' AS day,
   CASE WHEN vec_id % 3 <> 0 THEN vec_id / 2.0 END::DOUBLE AS half, label > 2 AS flag FROM embeddings""",
     "write_summary_csv": num_summary_sql("events", ["value"], ["event_type"]),
@@ -477,11 +477,11 @@ UNION ALL SELECT 'array', CAST(n_nationkey AS BIGINT), n_name FROM nation""",
   CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS price FROM part""",
     "drop_values_int": "SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (10, 12)",
     "impute_mode_tie": """SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 2 WHEN 2 THEN
-  (SELECT CASE WHEN SUM((p_partkey % 4 = 1)::INT) >= SUM((p_partkey % 4 = 0)::INT) THEN 2 ELSE 10 END FROM part WHERE p_partkey <= 2000)
-  ELSE p_partkey + 100 END AS INTEGER) AS size FROM part WHERE p_partkey <= 2000""",
+  (SELECT CASE WHEN SUM((p_partkey % 4 = 1)::INT) >= SUM((p_partkey % 4 = 0)::INT) THEN 2 ELSE 10 END FROM part)
+  ELSE p_partkey + 100 END AS INTEGER) AS size FROM part""",
     "ln_bool": f"""SELECT p_partkey, CASE WHEN (SELECT bool_and(p_size > 0) FROM part) THEN 0.0 END::DOUBLE AS positive, {r('ln(p_retailprice)', 9)} AS p_retailprice FROM part""",
-    "onehot_keep_double": """SELECT n_nationkey, n_regionkey = 1 AS level_is_0_0005, n_regionkey = 3 AS level_is_3_0, n_regionkey = 4 AS level_is_4_0,
-  n_regionkey = 0 AS level_is_20000000_0 FROM nation""",
+    "onehot_keep_double": """SELECT o_orderkey, o_custkey % 5 = 1 AS level_is_0_0005, o_custkey % 5 = 3 AS level_is_3_0, o_custkey % 5 = 4 AS level_is_4_0,
+  o_custkey % 5 = 0 AS level_is_20000000_0 FROM orders""",
     "step_log": _step_log_sql(),
     "rule_toggle": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority <> '2-HIGH'",
     "prepare_file": f"""WITH {DIRTY},

@@ -76,6 +76,9 @@ class StepLog:
         self.records.append(StepRecord(step, action, tuple(columns), setting, before, after))
 
     def _count(self, seen: Observation) -> int:
+        if not seen._jo.future().isCompleted():
+            # an action's observations arrive on the listener bus, behind its end
+            self.result.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
         if not seen._jo.future().isCompleted():
             self.result.write.format("noop").mode("overwrite").save()
         return int(seen.get["rows"])

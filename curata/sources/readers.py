@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null, text_to_double, text_to_long
+from ..session import materialize, scratch_path
+from .splits import csv_records, json_array_records, json_column_cells, with_columns
 
 # Cell texts pandas reads as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -56,25 +61,51 @@ def _csv(spark: SparkSession, schema: str | None = None, multi_line: bool = Fals
     return reader.schema(schema) if schema else reader
 
 
+def _text_schema(names: list[str]) -> str:
+    """All cells as text; the reserved column holds rows whose number of cells
+    is not the header's."""
+    return ", ".join([f"`{c.replace('`', '``')}` string" for c in names] + [f"{_CORRUPT} string"])
+
+
+def _csv_of_records(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Column names and cells of files whose cells hold line ends."""
+    records = materialize(csv_records(spark, path).where(F.trim("text") != ""), cut_lineage=True)
+    starts = records.groupBy("file").agg(F.min(F.struct("block", "seq")).alias("at"))
+    headers = records.join(starts, "file").where((F.col("block") == F.col("at.block")) & (F.col("seq") == F.col("at.seq"))).select("file", "block", "seq", "text")
+    first = headers.orderBy("file").select("text").first()
+    if first is None:
+        return [], records
+    header = spark.createDataFrame([(first["text"],)], "value string")
+    # the names as the CSV reader makes them
+    path = scratch_path(spark, "header")
+    header.coalesce(1).write.text(path)
+    names = _csv(spark, multi_line=True).csv(path).columns
+    rows = records.join(headers.select("file", "block", "seq"), ["file", "block", "seq"], "left_anti")
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return names, rows.select(F.from_csv("text", _text_schema(names), options).alias("r")).select("r.*")
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with a header. Cells are read as text, the pandas missing tokens
     become NULL, then each column takes the narrowest of bigint / double /
     boolean that every non-missing cell casts to (all-or-nothing), else stays
     text. Inference is one aggregate pass for all columns.
 
-    A line with an odd number of quotes means that a cell holds a line end;
-    only then is the file read with ``multiLine`` (one task a file). A row
-    with fewer cells than the header is filled with missing cells; one with
-    more raises ``ValueError``.
+    A line with an odd number of quotes means that a cell may hold a line end;
+    only then are the splits cut at the true ends of records first (see
+    ``splits``), still by many tasks. A row with fewer cells than the header is
+    filled with missing cells; one with more raises ``ValueError``.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     broken = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).first()[0]
-    names = _csv(spark, multi_line=bool(broken)).csv(path).columns
+    if broken:
+        names, raw = _csv_of_records(spark, path)
+    else:
+        names = _csv(spark).csv(path).columns
+        raw = _csv(spark, _text_schema(names)).csv(path) if names else None
     if not names:
         return spark.createDataFrame([], T.StructType())
-    # the reserved column holds rows whose number of cells is not the header's
-    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
-    raw = _csv(spark, f"{schema}, {_CORRUPT} string", bool(broken)).csv(path)
     tokens = list(NA_TOKENS)
     nulled = raw.select(*[
         F.when(_q(c).isin(tokens) | _q(c).isNull(), F.lit(None).cast("string"))
@@ -106,42 +137,56 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     return nulled.select(*out)
 
 
-def _by_columns(df: DataFrame) -> DataFrame | None:
-    """The table of a document ``{"column": {"row": value}}``, if it is one."""
-    kinds = [f.dataType for f in df.schema.fields]
-    if not kinds or not all(isinstance(k, T.StructType) for k in kinds):
+def _json_lines(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """JSON texts, one a row, written and read as lines."""
+    path = scratch_path(spark, "records")
+    rows.select("text").write.text(path)
+    return spark.read.option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+
+
+def _by_columns(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of a document ``{"column": {"row": value}}``, if it is one:
+    cells are read by many tasks and shuffled by the row's label."""
+    cells = json_column_cells(spark, path)
+    if cells is None:
+        return None
+    cells = materialize(cells, cut_lineage=True)
+    if not cells.where("odd").isEmpty():
         return None
-    labels = list(dict.fromkeys(n for k in kinds for n in k.names))
-    if len(df.take(2)) != 1:
+    cells = with_columns(cells)
+    names = [json.loads(r["column"]) for r in cells.select("column").distinct().collect()]
+    if not names:
         return None
-    if all(x.isdigit() for x in labels):
-        labels.sort(key=int)
-    cells = []
-    for label in labels:
-        row = []
-        for f in df.schema.fields:
-            there = label in f.dataType.names
-            kind = next(x.dataType for x in f.dataType.fields)
-            row.append((_q(f.name)[label] if there else F.lit(None).cast(kind)).alias(f.name))
-        cells.append(F.struct(*row))
-    return df.select(F.inline(F.array(*cells)))
+    entry = F.concat("column", F.lit(":"), "value")
+    rows = cells.where("label is not null").groupBy("label").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("text"))
+    df = _json_lines(spark, rows)
+    return df.select(*(_q(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in sorted(names)))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, an array of records (on one line or many), or a document by
-    columns, ``{"column": {"row": value}}``. Text that is none of these
+    columns, ``{"column": {"row": value}}``. All are read by many tasks; what
+    is none of these, but JSON, by one task a file. Text that is not JSON
     raises ``ValueError``."""
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
     options = {"columnNameOfCorruptRecord": _CORRUPT}
+    start = spark.read.text(path).where(F.trim("value") != "")
+    first = start.select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
     df = None
-    if first and first[0] != "[":
-        df = spark.read.options(**options).json(path)
+    if first and first["c"] == "[":
+        records = json_array_records(spark, path)
+        df = None if records is None else _json_lines(spark, records)
+    elif first:
+        # one line, or a first line that doesn't close: one document a file
+        ends = start.select(F.length(F.rtrim("value")).alias("n"), F.substring(F.rtrim("value"), -1, 1).alias("last")).limit(2).collect()
+        if len(ends) == 1 or ends[0]["last"] != "}" or ends[0]["n"] == 1:
+            df = _by_columns(spark, path)
+        if df is None:
+            df = spark.read.options(**options).json(path)
     if df is None or _CORRUPT in df.columns:
         df = spark.read.options(**options).option("multiLine", True).json(path)
     if _CORRUPT in df.columns:
         raise ValueError(f"{path} is not JSON")
-    turned = _by_columns(df)
-    return df if turned is None else turned
+    return df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -180,6 +225,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .csv(path))
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON with one array of records a file, a record a line."""
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def array(batches):
+        last = None
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                texts = ["["] * (last is None) + [f"{r}," for r in ([last] if last else []) + rows[:-1]]
+                last = rows[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[", "]"] if last is None else [last, "]"])], ["value"])
+
+    lines.mapInArrow(array, "value string").write.mode(mode).text(path)
+
+
 def preview(df: DataFrame, n: int = 5, key: str | None = None) -> DataFrame:
     """The first rows by ``key``; without one any n rows, for Spark keeps no order."""
     return df.orderBy(_q(key)).limit(n) if key else df.limit(n)

@@ -154,3 +154,14 @@ def test_no_cached_entries_are_left(spark):
     for out in (plotdata.box_stats(df, "y", "g"), plotdata.density(df, "y", "g"), corr.scatter_matrix_table(df, ["y"])):
         out.collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_histograms_of_many_columns_read_the_data_once_after_the_range(spark, tmp_path):
+    from conftest import formatted_plan
+    path = str(tmp_path / "t")
+    spark.range(50).selectExpr("id * 1.0 as a", "id * 2.0 as b", "cast(null as double) as c").write.parquet(path)
+    out = plotdata.histograms(spark.read.parquet(path), ["a", "b", "c"], 4)
+    assert formatted_plan(out).count("Scan parquet") <= 2  # the node and its details
+    rows = out.collect()
+    assert [r["count"] for r in rows if r["variable"] == "b"] == [13, 12, 12, 13]
+    assert [r["count"] for r in rows if r["variable"] == "c"] == [0, 0, 0, 0]
