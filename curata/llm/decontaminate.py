@@ -31,7 +31,8 @@ are joined with them.
 Edge cases: null texts and items have no words and match nothing; a document
 shorter than an item cannot match it; rows repeated in id and text are one
 document; items with equal texts are reported each; null ids are reported as
-they are; an empty benchmark matches nothing.
+they are, and a contaminated row without id is removed; of rows that share an
+id only those whose text matches are removed; an empty benchmark matches nothing.
 """
 
 from __future__ import annotations
@@ -151,16 +152,16 @@ def touched(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, start (word), words, similarity of the best window
-    (the first of equals) of each document and item that match."""
+def text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, t (hash of the text), item_id, start, words, similarity of the
+    best window of each distinct (id, text) and item that match."""
     spark = docs.sparkSession
     items = prepared_items(benchmark, threshold)
     anchors = written(items.select("g", F.explode("anchors").alias("h"), "size").distinct(), "anchors")
     kinds = anchors.select("g", "h").distinct()
     if items.isEmpty():
         doc, item = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
-        return spark.createDataFrame([], f"doc_id {doc}, item_id {item}, start int, words int, similarity double")
+        return spark.createDataFrame([], f"doc_id {doc}, t long, item_id {item}, start int, words int, similarity double")
     held = written(touched(docs, kinds).dropDuplicates(["doc_id", "t", "g"]).withColumn("uid", F.xxhash64("doc_id", "t", "g")), "touched")
     hits = held.select("uid", "g", F.size("shingles").alias("n"), F.posexplode("shingles").alias("p", "h"))
     hits = hits.join(anchors, ["g", "h"]).withColumn("m", F.col("size") - F.col("g") + 1).where("n >= m")
@@ -181,12 +182,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     pairs = pairs.join(windows.select("uid", "doc_id", "size", "start", "window"), ["uid", "size", "start"]).join(items.select("item_id", "size", "counts"), ["item_id", "size"])
     judged = pairs.select("uid", "doc_id", "item_id", "start", "size", similarity(F.col("window"), F.col("counts")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = judged.groupBy("uid", "doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "start", "size")).alias("b"))
-    each = best.select("doc_id", "item_id", "b.start", F.col("b.size").alias("words"), (-F.col("b.far")).alias("similarity"))
+    best = best.join(held.select("uid", "t"), "uid")
+    return best.select("doc_id", "t", "item_id", "b.start", F.col("b.size").alias("words"), (-F.col("b.far")).alias("similarity"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, start (word), words, similarity of the best window
+    (the first of equals) of each document and item that match."""
+    each = text_matches(docs, benchmark, threshold)
     return each.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "start", "words")).alias("b")).select(
         "doc_id", "item_id", "b.start", "b.words", (-F.col("b.far")).alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that match an item."""
-    found = matches(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """The documents without those that match an item, told apart by id and
+    text: a row without id goes if its text matches, and a clean row stays where
+    another text has its id."""
+    found = text_matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_curata_id"), F.col("t").alias("_curata_t")).distinct()
+    kept = docs.withColumn("_curata_hash", F.xxhash64("text"))
+    same = kept["doc_id"].eqNullSafe(found["_curata_id"]) & (kept["_curata_hash"] == found["_curata_t"])
+    return kept.join(found, same, "left_anti").select(docs.columns)

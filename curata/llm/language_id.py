@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from curata.llm.common import chunks, give_back, segment_sums, split_words, texts_of, written
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that \w takes but that are neither letters nor decimal digits (number signs).
+_SIGNS = "".join(c for c in map(chr, range(0x3200)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 GRAMS = (4, 3, 2, 1)
 ROWS_PER_LANGUAGE = 3000
 MAX_WORDS = 120_000
@@ -129,13 +131,19 @@ class Scorer:
             out[[i for i, _ in unseen]] = _posteriors(mean)
         return out
 
+    @staticmethod
+    def letters_of(word: str) -> list[str]:
+        """Runs of letters of a string; number signs beyond the basic planes
+        are few and tested apart."""
+        return [x for x in WORD.findall(word.lower()) if x.isascii() or any(map(str.isalpha, x))]
+
     def of(self, words: list[str]) -> np.ndarray:
         """For each string the summed log posteriors of its words, and their number."""
         if len(self.place) > MEMO:
             self.place, self.rows = {}, []
         place = self.place
         if new := [w for w in words if w not in place]:
-            letters = [WORD.findall(w.lower()) for w in new]
+            letters = [self.letters_of(w) for w in new]
             size = np.array([len(x) for x in letters])
             total = segment_sums(self.score([x for own in letters for x in own]), np.concatenate([[0], np.cumsum(size)]))
             self.place.update(zip(new, range(len(place), len(place) + len(new))))

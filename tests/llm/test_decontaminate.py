@@ -80,11 +80,19 @@ def test_joined_anchors_give_the_same(spark, cases, monkeypatch):
 
 def test_decontaminated_keeps_clean_documents(spark, cases):
     docs, items = tables(spark, cases)
-    hit = {d for d, _ in brute_force(*cases)}
+    clean = [(d, text) for d, text in cases[0] if not brute_force([(d, text)], cases[1])]
     out = D.decontaminated(docs, items)
     assert out.columns == docs.columns
-    # a null id equals none, so its row stays
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter(d for d, _ in cases[0] if d is None or d not in hit)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(clean)
+    assert (None, cases[1][2][1]) not in clean  # a contaminated row without id goes
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, cases):
+    item = cases[1][0][1]
+    docs = spark.createDataFrame([(1, item), (1, "clean text of the same id"), (None, item), (None, "clean text without an id"), (2, None), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    out = D.decontaminated(docs, items).collect()
+    assert Counter(map(tuple, out)) == Counter([(1, "clean text of the same id"), (None, "clean text without an id"), (2, None), (None, None)])
 
 
 def test_empty_tables(spark, cases):

@@ -128,3 +128,12 @@ def test_quality_edge_cases(spark, judged):
     assert {r["score"] for r in quality.score(odd, same).collect()} == {1.0}
     none = quality.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
+
+
+def test_number_signs_are_no_letters(spark, labelled):
+    model = language_id.fit(labelled)
+    rows = [(1, "\u00bd \u00b2"), (2, "m\u00b2 of the"), (3, "\u2460\u3289 12 \U0001f101"), (4, "\u2167"), (5, None), (6, "\u65e5\u672c")]
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    for i, text in rows:
+        letters = any(c.isalpha() for c in text or "")
+        assert (out[i][0] != "und") == letters, (i, out[i])
