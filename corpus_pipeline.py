@@ -5,7 +5,8 @@
    smallest id stays;
 3. substring dedup: words of windows that repeat from documents with smaller
    ids go; a document that loses all its words goes;
-4. benchmark decontamination: documents with a benchmark item go;
+4. benchmark decontamination: documents with a benchmark item go (also those
+   without an id; of rows that share an id only those whose text holds one);
 5. best-fit packing: the pieces of what is left, with their places.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before
