@@ -1,6 +1,7 @@
 """Source divergence audit: how far the word use of each source is from that
 of the other sources of its language, and by which terms.
 
+0. Texts are cut into terms once and written.
 1. ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize``
    turns each document into an exact sparse count vector. A term carries its
    language, so one fit gives every language its own vocabulary and counts
@@ -9,8 +10,8 @@ of the other sources of its language, and by which terms.
    (by HyperLogLog) the terms are dealt to blocks by their hash, and each block
    is fitted on its own share of the tokens. A row of ``min_df`` documents
    with an empty term keeps a fit from failing where nothing is frequent.
-2. Group sums: the vectors are written, their entries summed by (lang, source,
-   block, index) with partial sums in the map stage.
+2. Group sums: each task adds up the sparse vectors of its documents by group
+   and index, as a summarizer does, and Spark the sums of the tasks.
 3. Sparse pair evaluation: for sources s, t of a language the sum over all V
    kept terms is V f(p0_s, p0_t), where p0 is the value of a count of 0, plus
    for each source a correction by its distinct counts (their histogram
@@ -32,13 +33,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import give_back, partitions, written
-from curata.session import scratch_path
+from curata.llm.common import chunks, give_back, partitions, texts_of, written
 
+#: The pattern of a term, as SQL reads it.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DF = 10
@@ -47,68 +49,158 @@ TOP_TERMS = 10
 BLOCK_TERMS = 4_000_000
 #: Pairs of one source and another that a task evaluates at once.
 PAIRS = 1 << 20
+#: Entries of vectors that a task sums at once.
+ENTRIES = 1 << 21
 #: Ends the language in a tagged term; no term holds it.
 MARK = "\x01"
 SCALE = 1_000_000_000
 
+#: A byte as it stands in a term, or a blank.
+_TERM_BYTE = np.full(256, 32, np.uint8)
+_TERM_BYTE[97:123] = _TERM_BYTE[65:91] = range(97, 123)
+_TERM_BYTE[128:] = range(128, 256)
+
+
+def cut_terms(texts: pa.Array) -> pa.Array:
+    """Terms of each text (a large_string array from offset 0 without nulls)."""
+    raw = texts.buffers()[2]
+    if raw is None:
+        return pa.array([[]] * len(texts), pa.large_list(pa.large_string()))
+    blank = pa.py_buffer(_TERM_BYTE[np.frombuffer(raw, np.uint8)].tobytes())
+    texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], blank])
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    # a text without a term gives one empty string
+    offsets, flat = np.asarray(parts.offsets).astype(np.int64), parts.flatten()
+    there = np.asarray(pc.binary_length(flat)) > 0
+    kept = np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
+    return pa.LargeListArray.from_arrays(pa.array(kept), flat.filter(pa.array(there)))
+
+
+def group_id(lang: Column, source: Column, seed: int) -> Column:
+    return F.xxhash64(lang, source, F.lit(seed))
+
+
+def groups_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """lang, source and gid of each group, and the seed that gives no two
+    groups one gid."""
+    found = docs.select("lang", "source").distinct()
+    seed = 0
+    while True:
+        groups = written(found.withColumn("gid", group_id(F.col("lang"), F.col("source"), seed)), "groups")
+        if groups.groupBy("gid").count().where("count > 1").isEmpty():
+            return groups, seed
+        seed += 1
+
 
 def tagged_terms(docs: DataFrame) -> DataFrame:
-    """lang, source and the terms of each text, each behind its language."""
-    lang, text = F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))
-    terms = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return docs.select(lang.alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-                       F.transform(terms, lambda t: F.concat(lang, F.lit(MARK), t)).alias("terms"))
+    """gid and the terms of each text, each behind its language; the first row
+    of a chunk of texts has the distinct terms of the chunk as ``seen``."""
+
+    def cut(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                terms = cut_terms(texts_of(part))
+                offsets = np.asarray(terms.offsets)
+                langs = part.column("lang").cast(pa.large_string()).take(pa.array(np.repeat(np.arange(len(terms)), np.diff(offsets))))
+                tagged = pc.binary_join_element_wise(langs, terms.flatten(), pa.scalar(MARK, pa.large_string())).cast(pa.string())
+                terms = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tagged)
+                distinct = pc.unique(tagged)
+                seen = pa.ListArray.from_arrays(pa.array([0] + [len(distinct)] * len(terms), pa.int32()), distinct)
+                yield pa.RecordBatch.from_arrays([part.column("gid"), terms, seen], ["gid", "terms", "seen"])
+        give_back()
+
+    return docs.select("gid", "lang", "text").mapInArrow(cut, "gid long, terms array<string>, seen array<string>")
 
 
 def blocks_for(tokens: DataFrame, block_terms: int) -> int:
-    seen = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05).alias("n")).first()["n"]
+    seen = tokens.select(F.explode("seen").alias("t")).agg(F.approx_count_distinct("t", 0.05).alias("n")).first()["n"]
     return max(1, -(-int(seen * 1.1) // block_terms))
 
 
 def count_vectors(tokens: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, list[str]]:
-    """The rows with their sparse vectors as ``indices`` and ``values``, and
-    the vocabulary by index (the empty term included)."""
+    """gid and sparse vector of each row, and the vocabulary by index (the
+    empty term included)."""
     spark = tokens.sparkSession
     fill = spark.range(min_df).select(F.array(F.lit(MARK)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vec", minDF=float(min_df), vocabSize=2**31 - 1).fit(tokens.select("terms").unionByName(fill))
-    path = scratch_path(spark, "vectors")
-    model.transform(tokens).drop("terms").write.parquet(path)
-    # a sparse vector is stored as its indices and values
-    plain = "lang string, source string, vec struct<indices: array<int>, values: array<double>>"
-    return spark.read.schema(plain).parquet(path), model.vocabulary
+    return model.transform(tokens).select("gid", "vec"), model.vocabulary
+
+
+def _vector_sums(batches):
+    """Sums of the sparse vectors (gid, vec) of a task by group and index, in
+    runs of a bounded number of entries."""
+    held: list = []
+    size = 0
+
+    def rows():
+        gid, idx, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, code = np.unique(gid, return_inverse=True)
+        key = code.astype(np.int64) << 32 | idx
+        order = np.argsort(key)
+        head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        held[:] = [(names[key[order[head]] >> 32], idx[order[head]], np.add.reduceat(count[order], head))]
+        return len(head)
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["gid", "idx", "count"])
+
+    for batch in batches:
+        vec = batch.column("vec")
+        indices, values = vec.field("indices"), vec.field("values")
+        times = np.diff(np.asarray(indices.offsets))
+        if not times.sum():
+            continue
+        held.append((np.repeat(np.asarray(batch.column("gid")), times), np.asarray(indices.flatten()).astype(np.int64), np.asarray(values.flatten()).astype(np.int64)))
+        size += int(times.sum())
+        if size > ENTRIES:
+            size = rows()
+            if size > ENTRIES // 2:
+                yield sent()
+                held.clear()
+                size = 0
+    if held:
+        rows()
+        yield sent()
+    held.clear()
+    give_back()
 
 
 def group_sums(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
-    """Counts of kept terms by group (lang, source, block, idx, count), and the
+    """Counts of kept terms by group (gid, block, idx, count), and the
     vocabulary (lang, term, block, idx)."""
-    spark, tokens = docs.sparkSession, tagged_terms(docs)
+    spark, tokens = docs.sparkSession, written(tagged_terms(docs), "tokens")
     blocks = blocks_for(tokens, block_terms)
     if blocks > 1:
         own = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int").alias("block")
-        dealt = tokens.withColumn("row", F.monotonically_increasing_id()).select("lang", "source", "row", F.explode("terms").alias("t"))
-        dealt = written(dealt.groupBy("lang", "source", "row", own).agg(F.collect_list("t").alias("terms")).repartition(F.col("block"), F.col("row")), "tokens")
-        shares = [dealt.where(F.col("block") == b).select("lang", "source", "terms") for b in range(blocks)]
+        dealt = tokens.withColumn("row", F.monotonically_increasing_id()).select("gid", "row", F.explode("terms").alias("t"))
+        dealt = written(dealt.groupBy("gid", "row", own).agg(F.collect_list("t").alias("terms")).repartition(F.col("block"), F.col("row")), "tokens")
+        shares = [dealt.where(F.col("block") == b).select("gid", "terms") for b in range(blocks)]
     else:
-        shares = [tokens]
+        shares = [tokens.select("gid", "terms")]
     sums, words = None, None
     for b, share in enumerate(shares):
         vectors, vocabulary = count_vectors(share, min_df)
-        entries = vectors.select("lang", "source", F.explode(F.arrays_zip("vec.indices", "vec.values")).alias("e"))
-        own = entries.groupBy("lang", "source", F.lit(b).alias("block"), F.col("e.indices").alias("idx")).agg(F.sum("e.values").cast("long").alias("count"))
+        entries = vectors.mapInArrow(_vector_sums, "gid long, idx long, count long")
+        own = entries.groupBy("gid", F.col("idx").cast("int").alias("idx")).agg(F.sum("count").alias("count")).withColumn("block", F.lit(b))
         table = pa.table({"idx": pa.array(range(len(vocabulary)), pa.int32()), "tagged": pa.array(vocabulary, pa.string())})
         named = spark.createDataFrame(table).where(F.col("tagged") != MARK)
         end = F.length("tagged") - F.length(F.substring_index("tagged", MARK, -1))
-        named = named.select(F.expr("tagged").substr(F.lit(1), end - 1).alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"), F.lit(b).alias("block"), "idx")
+        named = named.select(F.col("tagged").substr(F.lit(1), end - 1).alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"), F.lit(b).alias("block"), "idx")
         own, named = written(own, "sums"), written(named, "vocabulary")
         sums, words = (own, named) if sums is None else (sums.unionByName(own), words.unionByName(named))
     return sums, words
 
 
+#: Below it, 10**9 (count + 2) is a 64-bit integer.
+SMALL_COUNT = 9_000_000_000
+
+
 def share(count: Column, total: Column, v: Column) -> Column:
     """1 + floor(10**9 (count + 2) / (total + 2 V)), without rounding."""
-    wide = "decimal(24,0)"
-    top = F.lit(SCALE).cast("decimal(10,0)") * (count.cast(wide) + F.lit(2).cast(wide))
-    return F.call_function("div", top, total.cast(wide) + F.lit(2).cast("decimal(2,0)") * v.cast("decimal(20,0)")) + F.lit(1)
+    all_of = total + 2 * v
+    wide = F.lit(SCALE).cast("decimal(10,0)") * (count.cast("decimal(24,0)") + F.lit(2).cast("decimal(2,0)"))
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (count + 2), all_of)
+    return F.when(count < SMALL_COUNT, small).otherwise(F.call_function("div", wide, all_of.cast("decimal(24,0)"))) + F.lit(1)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -139,9 +231,33 @@ def _histogram_rows(batches):
                                                   pa.array(np.concatenate([row["v"] * base + mend, mend]))], ["gid", "other", "value"])
 
 
+def _whole_terms(batches):
+    """idx, gid, p, p0 of the entries, sorted by block and term, in pieces that
+    hold all entries of each of their terms."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)).astype(np.int64) for k in ("block", "idx", "gid", "p", "p0")]
+        held = columns if not held else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        before = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+        if len(before):  # the last term may go on
+            yield _numbered([x[:before[-1] + 1] for x in held])
+            held = [x[before[-1] + 1:] for x in held]
+    if held:
+        yield _numbered(held)
+
+
+def _numbered(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The terms numbered in order instead of (block, idx)."""
+    block, idx, *rest = columns
+    new = np.concatenate([[False], (block[1:] != block[:-1]) | (idx[1:] != idx[:-1])])
+    return [np.cumsum(new), *rest]
+
+
 def _both_used(batches):
     """Corrections for the terms that two sources both use, summed over the
-    terms of a task: gid, other, value."""
+    terms of a task (its rows sorted by block and idx): gid, other, value."""
     held: list = []
 
     def merged(parts):
@@ -152,17 +268,27 @@ def _both_used(batches):
         head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(value) else np.zeros(0, np.int64)
         return key[:, head], np.add.reduceat(value, head) if len(head) else value
 
+    def summed(gid, left, right, value):
+        # entries of both sides; a run may begin or end within a term
+        at, end = (min(left.min(), right.min()), max(left.max(), right.max()) + 1) if len(left) else (0, 0)
+        names, code = np.unique(gid[at:end], return_inverse=True)
+        n = len(names)
+        if n * n > PAIRS:
+            return merged([(np.stack([gid[left], gid[right]]), value)])
+        # sums of integers below 2**53 are exact in doubles
+        key = code[left - at] * n + code[right - at]
+        total, used = np.bincount(key, value, n * n), np.bincount(key, minlength=n * n)
+        found = np.flatnonzero(used)
+        return np.stack([names[found // max(n, 1)], names[found % max(n, 1)]]), np.rint(total[found]).astype(np.int64)
+
     def rows():
         key, value = merged(held)
         return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(value)], ["gid", "other", "value"])
 
-    for batch in batches:
-        lists = batch.column("entries")
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        flat = lists.flatten()
-        gid, p, p0 = (np.asarray(flat.field(k)).astype(np.int64) for k in ("gid", "p", "p0"))
-        size = np.diff(offsets)
-        begin = offsets[:-1] - offsets[0]
+    for columns in _whole_terms(batches):
+        idx, gid, p, p0 = columns
+        begin = np.flatnonzero(np.concatenate([[True], idx[1:] != idx[:-1]]))
+        size = np.diff(np.append(begin, len(idx)))
         # each entry meets all entries of its term, in runs of entries of a bounded number of pairs
         first, many = np.repeat(begin, size), np.repeat(size, size)
         ends = np.cumsum(many)
@@ -175,7 +301,7 @@ def _both_used(batches):
             both = left != right
             left, right = left[both], right[both]
             value = _far(p[left], p[right]) - _far(p[left], p0[right]) - _far(p0[left], p[right]) + _far(p0[left], p0[right])
-            held.append(merged([(np.stack([gid[left], gid[right]]), value)]))
+            held.append(summed(gid, left, right, value))
             if sum(len(v) for _, v in held) > PAIRS:
                 held[:] = [merged(held)]
                 if len(held[0][1]) > PAIRS:
@@ -192,21 +318,20 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TOP_TERMS
     """lang, source, part, item, value, rank: each source against the other
     sources of its language (part ``pair``), and its terms that are more
     frequent than in the language (part ``term``)."""
-    docs = docs.select("text", "lang", "source")
-    sums, words = group_sums(docs, min_df, block_terms)
+    docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
+    found, seed = groups_of(docs)
+    sums, words = group_sums(docs.withColumn("gid", group_id(F.col("lang"), F.col("source"), seed)), min_df, block_terms)
     sizes = words.groupBy("lang").agg(F.count("*").alias("v"))
-    used = sums.join(words, ["lang", "block", "idx"])  # without the empty term
-    totals = used.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    found = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    groups = found.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n", "v"])
+    totals = sums.groupBy("gid").agg(F.sum("count").alias("n"))
+    groups = found.join(totals, "gid", "left").join(sizes, "lang", "left").fillna(0, ["n", "v"])
     p0 = F.when(F.col("v") > 0, share(F.lit(0), F.col("n"), F.col("v"))).otherwise(F.lit(1))
-    groups = written(groups.select("*", p0.alias("p0"), F.monotonically_increasing_id().alias("gid")), "groups")
+    groups = written(groups.select("*", p0.alias("p0")), "groups")
 
     of_lang = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"))
-    shares = used.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("n"), F.col("v")))
-    by_term = shares.groupBy("lang", "block", "idx", "term").agg(
-        F.collect_list(F.struct("gid", "p", "p0")).alias("entries"), F.sum("count").alias("lang_count"), F.first("v").alias("v"))
-    by_term = written(by_term.join(of_lang, "lang").withColumn("q", share(F.col("lang_count"), F.col("lang_n"), F.col("v"))), "terms")
+    shares = sums.join(groups.select("gid", "n", "v", "p0"), "gid").withColumn("p", share(F.col("count"), F.col("n"), F.col("v")))
+    shares = written(shares.select("gid", "block", "idx", "count", "p", "p0"), "shares")
+    whole = shares.groupBy("block", "idx").agg(F.sum("count").alias("lang_count")).join(words.hint("merge"), ["block", "idx"]).join(sizes, "lang").join(of_lang, "lang")
+    whole = whole.select("block", "idx", "term", share(F.col("lang_count"), F.col("lang_n"), F.col("v")).alias("q"))
 
     # pairs
     steps = shares.groupBy("gid", "p").agg(F.count("*").alias("n")).groupBy("gid").agg(F.collect_list(F.struct("p", "n")).alias("steps"))
@@ -214,13 +339,14 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TOP_TERMS
     no_steps = F.array().cast("array<struct<p: bigint, n: bigint>>")
     base = groups.join(steps, "gid", "left").join(others, "lang").select("gid", "p0", "v", F.coalesce("steps", no_steps).alias("steps"), "others")
     pairs = base.repartition(partitions(docs.sparkSession), "gid").mapInArrow(_histogram_rows, "gid long, other long, value long")
-    pairs = pairs.unionByName(by_term.select("entries").mapInArrow(_both_used, "gid long, other long, value long"))
+    entries = shares.select("block", "idx", "gid", "p", "p0").repartition("block", "idx").sortWithinPartitions("block", "idx")
+    pairs = pairs.unionByName(entries.mapInArrow(_both_used, "gid long, other long, value long"))
     pairs = pairs.groupBy("gid", "other").agg(F.sum("value").alias("value"))
     named = groups.select("gid", "lang", "source")
     pairs = pairs.join(named, "gid").join(groups.select(F.col("gid").alias("other"), F.col("source").alias("item")), "other")
 
     # terms
-    terms = by_term.select("term", "q", F.explode("entries").alias("e")).select("term", "q", "e.gid", "e.p").where("p > q")
+    terms = shares.join(whole.hint("merge"), ["block", "idx"]).where("p > q")
     terms = terms.select("gid", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value")).join(named, "gid")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
