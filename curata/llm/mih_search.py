@@ -7,8 +7,9 @@ substring has its own table from value to rows. Probing: codes within Hamming
 radius r agree with the query in at least one substring up to a radius that
 the pigeonhole principle gives (substring radii add up to r minus the number
 of substrings plus one), so probing every substring table to its radius
-retrieves every code within r. Those are reranked by the inner product of the
-original vectors in double precision.
+retrieves every code within r. Hamming distances are computed for what the
+tables return, and what lies within r is reranked by the inner product of the
+original vectors in double precision; no other row is touched.
 
 The radius is set on the sample as the distance that holds ``recall`` of true
 neighbours there. On more rows the true neighbours lie nearer, so it errs to
@@ -93,15 +94,19 @@ class Index:
         start = self.start[part]
         return np.concatenate([self.order[part][start[v]:start[v + 1]] for v in near])
 
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Queries x rows: every code within the radius, and no other."""
-        found = np.zeros((len(queries), len(self.code)), bool)
+    def retrieved(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that the substring tables return for a code, each once."""
+        met = np.zeros(len(self.code), bool)
         for part, own in enumerate(substring_radii(radius, self.code.shape[1])):
-            if own < 0:
-                continue
-            for value in np.unique(queries[:, part]):
-                found[np.ix_(queries[:, part] == value, self.probe(part, value, own))] = True
-        return found & (hamming(queries, self.code) <= radius)
+            if own >= 0:
+                met[self.probe(part, int(query[part]), own)] = True
+        return np.flatnonzero(met)
+
+    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose code lies within the radius: distances are computed only
+        for what the tables return, which misses none of them."""
+        rows = self.retrieved(query, radius)
+        return rows[hamming(query[None], self.code[rows])[0] <= radius]
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -109,21 +114,19 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     vectors get equal scores whatever stands beside them."""
     total = np.zeros(len(x))
     for i in range(x.shape[1]):
-        total += q[:, i] * x[:, i]
+        total += q[i] * x[:, i]
     return total
 
 
 def best(index: Index, x: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, radius: int, k: int):
     """For each query the rows and scores of its k best within the radius."""
-    for s in range(0, len(queries), 256):
-        q = queries[s:s + 256]
-        score = np.where(index.within(query_codes[s:s + 256], radius), q @ x.T, -np.inf)
-        # a few more than k, since the products of the matrix may round differently
-        top = min(k + 8, score.shape[1])
-        rows = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < score.shape[1] else np.tile(np.arange(top), (len(q), 1))
-        for i, own in enumerate(rows):
-            own = own[score[i, own] > -np.inf]
-            yield own, inner(np.broadcast_to(q[i], (len(own), q.shape[1])), x[own])
+    for q, code in zip(queries, query_codes, strict=True):
+        rows = index.within(code, radius)
+        score = x[rows] @ q
+        if len(rows) > k + 8:  # a few more than k, since this product may round differently
+            top = np.argpartition(-score, k + 7)[:k + 8]
+            rows = rows[top]
+        yield rows, inner(q, x[rows])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -183,8 +186,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int | None = None, r
         top = np.argsort(-s)[:min(k, len(x) - 1)]
         near.append(hamming(c[i:i + 1], c[top])[0])
     near = np.concatenate(near) if near else np.zeros(0)
-    # Few candidates: all of them are wanted, so the radius is the length of the code.
-    radius = int(np.quantile(near, recall, method="higher")) if len(near) and n > 50 * k else bits
+    radius = int(np.quantile(near, recall, method="higher")) if len(near) else bits
     model = spark.sparkContext.broadcast(rotation)  # dim x bits numbers
     wanted = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0])
     merged, left_over = None, asked

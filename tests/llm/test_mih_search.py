@@ -76,6 +76,32 @@ def test_probing_finds_every_code_within_the_radius():
     index = Index(c)
     for radius in (0, 3, 8, 13, 32):
         want = hamming(c[:40], c) <= radius
-        assert (index.within(c[:40], radius) == want).all()
+        for q, near in zip(c[:40], want, strict=True):
+            assert (index.within(q, radius) == np.flatnonzero(near)).all()
         radii = substring_radii(radius, 4)
         assert sum(r + 1 for r in radii) == radius + 1
+
+
+def test_distances_only_for_what_the_tables_return():
+    rng = np.random.default_rng(4)
+    c = rng.integers(0, 256, (4000, 8), np.uint8)
+    c[2000:] = c[:2000] ^ np.packbits(rng.random((2000, 64)) < 0.05, axis=1)
+    index = Index(c)
+    met = sum(len(index.retrieved(q, 8)) for q in c[:100])
+    near = sum(len(index.within(q, 8)) for q in c[:100])
+    # eight substrings of eight bits, one of them to radius 1: about 16 of 256 values meet
+    assert near >= 190 and met < 0.1 * 100 * len(c)
+
+
+def test_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r[0], np.array(r[1], float)) for r in df.select("vec_id", "embedding").collect() if r[1]]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = answers(search(df, F.col("vec_id") % 20 == 0))
+    found = []
+    for i, v in rows:
+        if i % 20 == 0:
+            s = x @ v
+            s[ids == i] = -np.inf
+            found.append(len(set(ids[np.argsort(-s)[:20]].tolist()) & set(got[i])) / 20)
+    assert len(found) == len(got) and np.mean(found) >= 0.9
