@@ -24,7 +24,7 @@ from .operators.filters import (DropRule, RangeFilter, ValueFilter, filter_all,
 from .plans.recipe import CleaningRecipe
 from .plans.workflow import prepare_file
 from .session import scratch_path
-from .sources import dirty_orders, load_table, normalize_types, preview, read_csv, read_json, table, write_csv, write_json_array
+from .sources import dirty_orders, load_table, normalize_types, number_rows, preview, read_csv, read_json, read_parquet, table, write_csv, write_csv_file, write_json_array
 
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -91,6 +91,37 @@ def q_preview(spark, sf):
     return preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")
 
 
+def q_preview_head(spark, sf):
+    """The first rows of the file, as they stand in it."""
+    o = read_parquet(spark, f"{sf}/orders.parquet", position="at")
+    return preview(o.select("o_orderkey", "o_totalprice", "at"), 5, "at")
+
+
+def q_row_numbers(spark, sf):
+    c = read_parquet(spark, f"{sf}/customer.parquet", position="at")
+    return number_rows(c.select("c_custkey", "at"), "at", "row_number")
+
+
+def q_onehot_first_seen(spark, sf):
+    """Columns in order of first appearance, with the rows that each marks."""
+    o = read_parquet(spark, f"{sf}/orders.parquet", position="at").select("o_orderkey", "o_orderpriority", "at")
+    out = make_one_hot_rule(o, "o_orderpriority", order_by="at").apply(o)
+    new = [c for c in out.columns if c not in o.columns]
+    one = out.agg(*[F.count_if(F.col(f"`{c}`")).alias(c) for c in new])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n"))
+                                         for i, c in enumerate(new)])))
+
+
+def q_datetime_first_cells(spark, sf):
+    """Whether text is time by its first 200 cells: in one column the first
+    rows are no times, in the other the first 300 are and all else is not."""
+    e = read_parquet(spark, f"{sf}/events.parquet", position="at").select("event_id", "at")
+    late = F.when(F.col("at.row") < 100, "none").otherwise("2024-05-06 07:08:09")
+    early = F.when(F.col("at.row") < 300, F.when(F.col("at.row") % 3 > 0, "2024-05-06")).otherwise("none")
+    rows = e.select("at", late.alias("late"), early.alias("early"))
+    return plotdata.datetime_report(rows, ["late", "early"], order_by="at")
+
+
 def q_filter_status(spark, sf):
     return filter_status(dirty_orders(spark, sf), summary_filters())
 
@@ -249,6 +280,16 @@ def q_csv_roundtrip(spark, sf):
     return read_csv(spark, path)
 
 
+def q_csv_file(spark, sf):
+    """Orders as one CSV file, last key first, read again with the row of each."""
+    path = scratch_path(spark, "one") + ".csv"
+    k = F.col("o_orderkey")
+    note = F.when(k % 2 == 0, F.concat(F.lit('say "hi",\n'), "o_orderstatus")).otherwise(F.lit("a,b"))
+    o = table(spark, sf, "orders").select((-k).alias("last first"), k.alias("key"), note.alias("note"))
+    write_csv_file(o, path, order_by="last first")
+    return number_rows(read_csv(spark, path, position="at"), "at", "row_number")
+
+
 def q_json_roundtrip(spark, sf):
     """Customers as JSON lines, orders as arrays (one a file)."""
     lines, array = scratch_path(spark, "lines"), scratch_path(spark, "array")
@@ -479,6 +520,19 @@ def q_corr_matrix(spark, sf):
     return _round_cols(c, {"corr": 9})
 
 
+def _wide(spark, sf):
+    """A column for each component of the embeddings."""
+    return table(spark, sf, "embeddings").select(*[F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(f"d{i}") for i in range(64)])
+
+
+def q_corr_wide(spark, sf):
+    return _round_cols(corr.correlation_matrix(_wide(spark, sf), [f"d{i}" for i in range(64)]), {"corr": 9})
+
+
+def q_regression_wide(spark, sf):
+    return _round_cols(corr.pair_regression(_wide(spark, sf), [f"d{i}" for i in range(64)]), {"slope": 9, "intercept": 9})
+
+
 def q_pair_regression(spark, sf):
     r = corr.pair_regression(table(spark, sf, "lineitem"), LINE_NUMS)
     return _round_cols(r, {"slope": 6, "intercept": 6})
@@ -581,6 +635,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_remove": q_outlier_remove,
     "drop_values": q_drop_values,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_file": q_csv_file,
     "map_mean": q_map_mean,
     "map_median": q_map_median,
     "map_chain": q_map_chain,
@@ -599,6 +654,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "datetime_detect": q_datetime_detect,
     "corr_matrix": q_corr_matrix,
     "pair_regression": q_pair_regression,
+    "corr_wide": q_corr_wide,
+    "regression_wide": q_regression_wide,
     "scatter_hist": q_scatter_hist,
     "doc_length_summary": q_doc_length_summary,
     "doc_overview": q_doc_overview,
@@ -610,6 +667,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cat_stat_select": q_cat_stat_select,
     "distinct_missing": q_distinct_missing,
     "preview": q_preview,
+    "preview_head": q_preview_head,
+    "row_numbers": q_row_numbers,
+    "onehot_first_seen": q_onehot_first_seen,
+    "datetime_first_cells": q_datetime_first_cells,
     "json_roundtrip": q_json_roundtrip,
     "load_dispatch": q_load_dispatch,
     "normalize_types": q_normalize_types,

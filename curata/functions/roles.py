@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 ROLE_KEY = "curata_role"
+POSITION = {ROLE_KEY: "position"}     # where a row stands in the files it was loaded from
 LEVELS_KEY = "curata_levels"
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,

@@ -245,11 +245,13 @@ class OneHotRule:
 
 
 def make_one_hot_rule(df: DataFrame, field: str, existing: Sequence[OneHotRule] = (),
-                      max_levels: int | None = None) -> OneHotRule:
-    """Boolean ``field_is_value`` columns, source kept; a field once only."""
+                      max_levels: int | None = None, order_by: str | None = None) -> OneHotRule:
+    """Boolean ``field_is_value`` columns, source kept; a field once only. They
+    are sorted by value, or by first appearance with ``order_by`` (a position
+    from a reader)."""
     if field in [r.field for r in existing]:
         raise ValueError(f"there is a one-hot rule for {field!r}")
-    return OneHotRule(field, tuple(distinct_values(df, [field], max_levels)[field]))
+    return OneHotRule(field, tuple(distinct_values(df, [field], max_levels, order_by)[field]))
 
 
 @dataclass(frozen=True)

@@ -256,8 +256,10 @@ def ln_transform(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list
 
 # ------------------------------------------------------------------ one-hot
 
-def distinct_values(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict[str, list]:
-    """Distinct non-missing values of each column, sorted in their own type,
+def distinct_values(df: DataFrame, columns: Sequence[str], max_levels: int | None = None,
+                    order_by: str | None = None) -> dict[str, list]:
+    """Distinct non-missing values of each column, sorted in their own type or,
+    with ``order_by`` (a position from a reader), by where each is met first,
     by one distributed distinct over (column, value). Every value becomes a column of the result,
     so they fit a plan by nature; ``max_levels`` makes more of them an error."""
     if not columns:
@@ -272,18 +274,21 @@ def distinct_values(df: DataFrame, columns: Sequence[str], max_levels: int | Non
         # one value field for each type: only that of the column's own is filled
         own = [(v if k == dt.simpleString() else F.lit(None).cast(k)).alias(f"v{j}") for j, k in enumerate(kinds)]
         cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("column"), *own)))
-    rows = df.select(F.explode(F.array(*cells)).alias("r")).where("r is not null").select("r.*").distinct()
+    at = [_q(order_by).alias("at")] if order_by else []
+    rows = df.select(F.explode(F.array(*cells)).alias("r"), *at).where("r is not null").select("r.*", *("at" for _ in at))
+    rows = rows.groupBy("column", *(f"v{j}" for j in range(len(kinds)))).agg(F.min("at").alias("at")) if at else rows.distinct()
     if max_levels is not None:  # so many rows hold a column with too many
         rows = rows.limit(len(columns) * max_levels + 1)
     found: dict[str, list] = {c: [] for c in columns}
     for r in rows.collect():
         c = columns[r["column"]]
-        found[c].append(r[f"v{kinds.index(df.schema[c].dataType.simpleString())}"])
+        v = r[f"v{kinds.index(df.schema[c].dataType.simpleString())}"]
+        found[c].append((r["at"], v) if at else v)
     for c, values in found.items():
         if max_levels is not None and len(values) > max_levels:
             raise ValueError(f"column {c!r} has more than {max_levels} distinct values")
         values.sort()
-    return found
+    return {c: [v for _, v in values] for c, values in found.items()} if at else found
 
 
 def _value_text(v) -> str:
@@ -294,7 +299,7 @@ def _value_text(v) -> str:
 
 @dataclass(frozen=True)
 class OneHotModel:
-    levels: dict                # column -> list of values (sorted)
+    levels: dict                # column -> list of values (sorted, or as first met)
     keep_source: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -321,13 +326,14 @@ class OneHotModel:
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str] | None = None, keep_source: bool = False,
-                max_levels: int | None = None) -> OneHotModel:
+                max_levels: int | None = None, order_by: str | None = None) -> OneHotModel:
     """Levels of each column. Replacing encoding (``keep_source=False``)
     without a list encodes every text/category column and ignores non-text
-    columns in a list; the keeping form takes any column."""
+    columns in a list; the keeping form takes any column. ``order_by`` (a
+    position from a reader) puts the new columns in order of first appearance."""
     if keep_source:
         cols = [c for c in (columns or []) if c in df.columns]
     else:
         cat = roles.categorical_columns(df, include_bool=False)
         cols = [c for c in columns if c in cat] if columns else cat
-    return OneHotModel(distinct_values(df, cols, max_levels), keep_source)
+    return OneHotModel(distinct_values(df, cols, max_levels, order_by), keep_source)

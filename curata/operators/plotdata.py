@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,29 +234,48 @@ def bar_counts(df: DataFrame, x: str) -> DataFrame:
             .orderBy(F.col("count").desc(), F.col("category")))
 
 
-def is_datetime_like(df: DataFrame, column: str, threshold: float = 0.8) -> bool:
+#: Cells that decide whether a text column holds times, where an order is given.
+FIRST_CELLS = 200
+
+
+def is_datetime_like(df: DataFrame, column: str, threshold: float = 0.8, order_by: str | None = None) -> bool:
     """Timestamp/date columns, or text columns whose non-missing values parse
-    as time at least ``threshold`` of the time (over all rows: there is no
-    row order to take a first-200 sample from)."""
+    as time at least ``threshold`` of the time: over all rows, or with
+    ``order_by`` (a position from a reader) over the first 200 non-missing."""
     f = df.schema[column]
     if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return True
     if not isinstance(f.dataType, T.StringType):
         return False
+    if order_by:
+        df = df.where(_q(column).isNotNull()).orderBy(_q(order_by)).select(_q(column)).limit(FIRST_CELLS)
     r = df.agg(F.count(_q(column)).alias("n"),
                F.count(parse_datetime(_q(column))).alias("ok")).first()
     return bool(r["n"]) and r["ok"] / r["n"] >= threshold
 
 
 def datetime_report(df: DataFrame, columns: Sequence[str] | None = None,
-                    threshold: float = 0.8) -> DataFrame:
+                    threshold: float = 0.8, order_by: str | None = None) -> DataFrame:
     """Per text or time column: non-missing cells, cells that parse as time,
-    their share, and whether the column counts as date/time. One aggregate."""
+    their share, and whether the column counts as date/time. One aggregate.
+    With ``order_by`` only the first 200 non-missing cells of each column count;
+    each task passes on 200 a column at most."""
     cols = [c for c in (columns or df.columns) if c in df.columns and isinstance(
         df.schema[c].dataType, (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType))]
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, non_missing bigint, parsed bigint, parsed_share double, is_datetime boolean")
+    if order_by:
+        cells = [F.struct(F.lit(i).alias("i"), _q(c).cast("string").alias("v"),
+                          F.lit(not isinstance(df.schema[c].dataType, T.StringType)).alias("timed")) for i, c in enumerate(cols)]
+        rows = df.select(_q(order_by).alias("at"), F.inline(F.array(*cells))).where("v is not null")
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("at"))).where(F.col("r") <= FIRST_CELLS)
+        # one row a column, kept apart from the cells
+        ok = F.when(F.col("timed"), True).otherwise(parse_datetime(F.col("v")).isNotNull())
+        seen = rows.groupBy("i").agg(F.count(F.lit(1)).alias("non_missing"), F.count_if(ok).alias("parsed"))
+        names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, column string")
+        rows = names.join(seen, "i", "left").select("column", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("non_missing", "parsed")))
+        return _report(rows, threshold)
     aggs = []
     for i, c in enumerate(cols):
         if isinstance(df.schema[c].dataType, T.StringType):
@@ -268,15 +287,19 @@ def datetime_report(df: DataFrame, columns: Sequence[str] | None = None,
     rows = one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("non_missing"),
                  F.col(f"p{i}").alias("parsed")) for i, c in enumerate(cols)])))
+    return _report(rows, threshold)
+
+
+def _report(rows: DataFrame, threshold: float) -> DataFrame:
     share = F.try_divide(F.col("parsed").cast("double"), F.col("non_missing"))
     return rows.select("column", "non_missing", "parsed", F.bround(share, 6).alias("parsed_share"),
                        F.coalesce(share >= F.lit(threshold), F.lit(False)).alias("is_datetime"))
 
 
-def datetime_columns(df: DataFrame, threshold: float = 0.8) -> list[str]:
+def datetime_columns(df: DataFrame, threshold: float = 0.8, order_by: str | None = None) -> list[str]:
     """Columns that are date/time typed or date/time-like text (one aggregate
     for all text columns)."""
-    rep = datetime_report(df, threshold=threshold).collect()        # one row per column
+    rep = datetime_report(df, threshold=threshold, order_by=order_by).collect()        # one row per column
     like = {r["column"] for r in rep if r["is_datetime"]}
     return [c for c in df.columns if c in like]
 

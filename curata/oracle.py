@@ -185,6 +185,13 @@ def _regr_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _wide_sql(values: str) -> str:
+    return f"""WITH e AS (SELECT row_number() OVER () AS id, embedding FROM embeddings WHERE len(embedding) >= 64 AND len(list_filter(embedding[1:64], x -> x IS NOT NULL AND NOT isnan(x))) = 64),
+v AS (SELECT id, unnest(range(64)) AS i, unnest(embedding[1:64])::DOUBLE AS x FROM e)
+SELECT 'd' || a.i AS var_y, 'd' || b.i AS var_x, {values}, COUNT(*) AS n
+FROM v a JOIN v b ON a.id = b.id AND b.i < a.i GROUP BY a.i, b.i"""
+
+
 def _scatter_hist_sql() -> str:
     cols = LINE_NUMS[:3]
     complete = f"(SELECT * FROM lineitem WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)}) AS li"
@@ -437,6 +444,10 @@ SELECT "column", non_missing, parsed, round_even(CAST(parsed AS DOUBLE) / NULLIF
   COALESCE(CAST(parsed AS DOUBLE) / NULLIF(non_missing, 0) >= 0.8, false) AS is_datetime FROM c""",
     "corr_matrix": _corr_sql(),
     "pair_regression": _regr_sql(),
+    "corr_wide": _wide_sql(r("covar_samp(a.x, b.x) / NULLIF(stddev_samp(a.x) * stddev_samp(b.x), 0)", 9) + " AS corr"),
+    "regression_wide": _wide_sql(r("regr_slope(a.x, b.x)", 9) + " AS slope, " + r("regr_intercept(a.x, b.x)", 9) + " AS intercept"),
+    "csv_file": """SELECT -o_orderkey AS "last first", o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'say "hi",' || chr(10) || o_orderstatus ELSE 'a,b' END AS note,
+  row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row_number FROM orders""",
     "scatter_hist": _scatter_hist_sql(),
     "doc_length_summary": num_summary_sql(
         "(SELECT lang, CAST(length(text) AS BIGINT) AS text_chars, n_chars FROM documents) AS d",
@@ -464,6 +475,18 @@ SELECT 'o_totalprice' AS variable, COUNT(v) AS count, {r('MIN(v)', 3)} AS min, {
     "distinct_missing": f"""WITH {DIRTY}
 SELECT 'Priority' AS "column", COUNT(DISTINCT "Priority") AS n_distinct, COUNT(DISTINCT "Priority") + CAST(bool_or("Priority" IS NULL) AS BIGINT) AS n_with_missing FROM dirty
 UNION ALL SELECT 'Status', COUNT(DISTINCT "Status"), COUNT(DISTINCT "Status") + CAST(bool_or("Status" IS NULL) AS BIGINT) FROM dirty""",
+    "preview_head": """SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER () AS rn FROM orders) t WHERE rn <= 5""",
+    "row_numbers": """SELECT c_custkey, row_number() OVER () - 1 AS row_number FROM customer""",
+    "onehot_first_seen": """WITH o AS (SELECT o_orderpriority AS v, row_number() OVER () AS rn FROM orders),
+l AS (SELECT v, MIN(rn) AS rn, COUNT(*) AS n FROM o WHERE v IS NOT NULL GROUP BY v)
+SELECT CAST(row_number() OVER (ORDER BY rn) - 1 AS INTEGER) AS place,
+  'o_orderpriority_is_' || lower(regexp_replace(replace(v, ' ', '_'), '[^A-Za-z0-9_]', '_', 'g')) AS column_name, n FROM l""",
+    "datetime_first_cells": """WITH e AS (SELECT row_number() OVER () - 1 AS rn FROM events),
+v AS (SELECT rn, 'late' AS c, CASE WHEN rn < 100 THEN 'none' ELSE '2024-05-06 07:08:09' END AS v FROM e
+UNION ALL SELECT rn, 'early', CASE WHEN rn >= 300 THEN 'none' WHEN rn % 3 > 0 THEN '2024-05-06' END FROM e),
+f AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY rn) AS place FROM v WHERE v IS NOT NULL),
+s AS (SELECT c, COUNT(*) AS n, COUNT(TRY_CAST(v AS TIMESTAMP)) AS ok FROM f WHERE place <= 200 GROUP BY c)
+SELECT c AS "column", n AS non_missing, ok AS parsed, round(ok / n::DOUBLE, 6) AS parsed_share, ok / n::DOUBLE >= 0.8 AS is_datetime FROM s""",
     "preview": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
     "json_roundtrip": """SELECT 'lines' AS layout, c_custkey AS key, c_name AS name FROM customer
 UNION ALL SELECT 'array', CAST(o_orderkey AS BIGINT), o_orderpriority FROM orders""",

@@ -277,4 +277,4 @@ def with_columns(cells: DataFrame) -> DataFrame:
     blocks = blocks.select("block", F.last("last", ignorenulls=True).over(before).alias("before"))
     own = F.last("column", ignorenulls=True).over(Window.partitionBy("block").orderBy("seq"))
     filled = cells.withColumn("column", own).join(blocks, "block")
-    return filled.select(F.coalesce("column", "before").alias("column"), "label", "value")
+    return filled.select(F.coalesce("column", "before").alias("column"), "label", "value", "block", "seq")

@@ -1,8 +1,9 @@
+import glob
 import json
 
 import pytest
 
-from curata.sources import load_table, normalize_types, read_csv, read_json, write_csv
+from curata.sources import load_table, normalize_types, read_csv, read_json, write_csv, write_csv_file
 from curata.sources.readers import preview, read_sample
 
 
@@ -91,3 +92,27 @@ def test_not_json(spark, tmp_path):
 
 def test_preview_by_key(spark):
     assert [r["id"] for r in preview(spark.range(50).repartition(4), 3, "id").collect()] == [0, 1, 2]
+
+
+def one_task(df, path):
+    """The bytes of the part that a single task writes."""
+    df.coalesce(1).sortWithinPartitions("id").write.option("escape", '"').option("header", True).csv(path)
+    (part,) = glob.glob(path + "/part-*")
+    with open(part, "rb") as f:
+        return f.read()
+
+
+def test_one_csv_file_equals_that_of_one_task(spark, tmp_path):
+    rows = [(10 * k + i, s, None if k % 5 else k / 3) for k in range(20) for i, s in ODD]
+    df = spark.createDataFrame(rows, 'id int, `a "name", of b` string, x double').repartition(6)
+    out = tmp_path / "t.csv"
+    out.write_text("what was there")
+    write_csv_file(df, str(out), order_by="id")
+    assert out.read_bytes() == one_task(df, str(tmp_path / "one"))
+    assert [p.name for p in tmp_path.iterdir() if "t.csv" in p.name and not p.name.endswith(".crc")] == ["t.csv"]
+    back = read_csv(spark, str(out), position="at")
+    assert [r["id"] for r in preview(back, 1000, "at").collect()] == [r[0] for r in rows]
+    write_csv_file(back.where("id < 50"), str(out), order_by="at")  # the position itself is not written
+    assert read_csv(spark, str(out)).columns == df.columns
+    write_csv_file(df.limit(0), str(out))
+    assert out.read_text() == 'id,"a ""name"", of b",x\n'
