@@ -186,8 +186,9 @@ def _regr_sql() -> str:
 
 
 def _wide_sql(values: str) -> str:
-    return f"""WITH e AS (SELECT row_number() OVER () AS id, embedding FROM embeddings WHERE len(embedding) >= 64 AND len(list_filter(embedding[1:64], x -> x IS NOT NULL AND NOT isnan(x))) = 64),
-v AS (SELECT id, unnest(range(64)) AS i, unnest(embedding[1:64])::DOUBLE AS x FROM e)
+    return f"""WITH e AS (SELECT row_number() OVER () AS id, embedding FROM embeddings),
+w AS (SELECT id, unnest(range(64)) AS i, unnest(embedding[1:64])::DOUBLE AS x FROM e),
+v AS (SELECT * FROM w WHERE id NOT IN (SELECT id FROM w WHERE x IS NULL OR isnan(x)))
 SELECT 'd' || a.i AS var_y, 'd' || b.i AS var_x, {values}, COUNT(*) AS n
 FROM v a JOIN v b ON a.id = b.id AND b.i < a.i GROUP BY a.i, b.i"""
 
