@@ -565,6 +565,16 @@ def q_source_top_n(spark, sf):
     return summary.categorical_summary(table(spark, sf, "documents"), "source", top_n=5)
 
 
+def q_top_urls(spark, sf):
+    """Most frequent urls, by sketch and hashes."""
+    return summary.categorical_summary(table(spark, sf, "pages"), "url", top_n=10, sketch=True)
+
+
+def q_top_texts(spark, sf):
+    """Most copied whole texts: only those that count are ever shuffled."""
+    return summary.categorical_summary(table(spark, sf, "documents"), "text", top_n=10, sketch=True)
+
+
 def q_conversation_roles(spark, sf):
     return summary.categorical_summary(table(spark, sf, "conversations"), "role")
 
@@ -660,6 +670,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_length_summary": q_doc_length_summary,
     "doc_overview": q_doc_overview,
     "source_top_n": q_source_top_n,
+    "top_urls": q_top_urls,
+    "top_texts": q_top_texts,
     "conversation_roles": q_conversation_roles,
     "label_summary": q_label_summary,
     "num_summary_missing_level": q_num_summary_missing_level,

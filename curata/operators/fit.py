@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import roles
 from ..functions.exprs import clean_numeric
 from ..functions.names import make_unique, spell
+from .heavy import top_values
 from .quantiles import exact_quantiles
 from .summary import unpivot_numeric
 
@@ -92,7 +93,7 @@ def fit_impute(df: DataFrame, method: str = "mean") -> ImputeModel:
         if method == "mean":
             aggs.append(F.avg(x).alias(f"v{i}"))
     for i, c in enumerate(cat):
-        aggs.append(F.count_if(_q(c).isNull()).alias(f"c{i}"))
+        aggs += [F.count_if(_q(c).isNull()).alias(f"c{i}"), F.approx_count_distinct(_q(c)).alias(f"d{i}")]
     r = df.agg(*aggs).first()
     num_missing = [c for i, c in enumerate(num) if r[f"n{i}"]]
     cat_missing = [c for i, c in enumerate(cat) if r[f"c{i}"]]
@@ -107,24 +108,38 @@ def fit_impute(df: DataFrame, method: str = "mean") -> ImputeModel:
             numeric_fill[c] = med.get(c, {}).get("median")
     categorical_fill = {}
     if cat_missing:
-        modes = column_modes(df, cat_missing)
+        modes = column_modes(df, cat_missing, {c: r[f"d{i}"] for i, c in enumerate(cat)})
         for c in cat_missing:
             if modes.get(c) is not None:
                 categorical_fill[c] = modes[c]
     return ImputeModel(numeric_fill, categorical_fill, method)
 
 
-def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+#: Columns with more distinct values than this (by HyperLogLog) are not counted
+#: value by value; the modes are the same either way.
+SKETCH_VALUES = 200_000
+
+
+def column_modes(df: DataFrame, columns: Sequence[str], distinct: dict[str, int] | None = None) -> dict[str, object]:
     """Most frequent non-missing value of each column, the smallest on ties.
 
     Columns of one type share a job: unpivot to (column, value), count per
     pair with a partial aggregate, then keep the min of (-count, value) per
     column, so no column's distinct values are ever held by one task, and ties
-    are ordered as their own type orders them."""
+    are ordered as their own type orders them. Columns of very many distinct
+    values go through :func:`heavy.top_values` instead of shuffling them all;
+    ``distinct`` gives estimates of their numbers if they are known."""
+    if not columns:
+        return {}
+    if distinct is None:
+        r = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+        distinct = {c: r[f"d{i}"] for i, c in enumerate(columns)}
+    many = [c for c in columns if distinct[c] > SKETCH_VALUES]
+    modes: dict[str, object] = {c: top[0][0] for c, top in top_values(df, {c: _q(c) for c in many}).items() if top}
     by_type: dict[str, list[str]] = {}
     for c in columns:
-        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    modes: dict[str, object] = {}
+        if c not in many:
+            by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     for same in by_type.values():
         long = df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), _q(c).alias("value"))

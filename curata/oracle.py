@@ -464,6 +464,8 @@ SELECT 'cleaned', COUNT(*), CAST(3 AS BIGINT),
   CAST(SUM(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT) + CAST(source IS NULL AS BIGINT)) AS BIGINT),
   CAST(0 AS BIGINT), (SELECT n FROM raw_rows) - COUNT(*) FROM dd""",
     "source_top_n": cat_summary_sql("documents", "source", 5),
+    "top_urls": cat_summary_sql("pages", "url", 10),
+    "top_texts": cat_summary_sql("documents", "text", 10),
     "conversation_roles": cat_summary_sql("conversations", "role"),
     "label_summary": num_summary_sql("labels", ["quality", "toxic"], []),
     "num_summary_missing_level": f"""WITH e AS (SELECT CASE WHEN o_totalprice < 300000 THEN
