@@ -468,6 +468,12 @@ def q_density(spark, sf):
     return _round_cols(d, {"x": 6, "density": 10})
 
 
+def q_density_series(spark, sf):
+    """A near-unique column by the Gauss transform: moments of cells meet the grid."""
+    d = plotdata.density(table(spark, sf, "events"), "value", group_by="event_type", series=True)
+    return _round_cols(d, {"x": 6, "density": 8})
+
+
 def q_box(spark, sf):
     b = plotdata.box_stats(table(spark, sf, "events"), "value", "event_type")
     return _round_cols(b, {c: 6 for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
@@ -656,6 +662,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_by": q_hist_by,
     "hist_log2": q_hist_log2,
     "density": q_density,
+    "density_series": q_density_series,
     "box": q_box,
     "box_outliers": q_box_outliers,
     "bar": q_bar,

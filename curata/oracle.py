@@ -132,16 +132,16 @@ feats AS (SELECT cl.*,
   FROM cl, st)"""
 
 
-def _density_sql() -> str:
-    return f"""WITH base AS (SELECT p_type AS g, p_retailprice AS x FROM part WHERE p_retailprice IS NOT NULL),
+def _density_sql(table: str = "part", group: str = "p_type", value: str = "p_retailprice", digits: int = 10) -> str:
+    return f"""WITH base AS (SELECT {group} AS g, {value} AS x FROM {table} WHERE {value} IS NOT NULL),
 st AS (SELECT g, COUNT(*) AS n, stddev_samp(x) * pow(CAST(COUNT(*) AS DOUBLE), -0.2) * 1.0 AS bw,
               MIN(x) AS mn, MAX(x) AS mx FROM base GROUP BY g HAVING COUNT(*) >= 2 AND stddev_samp(x) > 0),
 grid AS (SELECT g, n, bw, p.range AS point,
                 (mn - 3.0 * bw) + p.range * (((mx + 3.0 * bw) - (mn - 3.0 * bw)) / 199.0) AS gx
          FROM st, range(200) p),
 w AS (SELECT g, x, COUNT(*) AS w FROM base GROUP BY g, x)
-SELECT grid.g AS p_type, CAST(point AS INTEGER) AS point, {r('gx', 6)} AS x,
-  {r('SUM(w.w * exp(-0.5 * ((gx - w.x) / bw) * ((gx - w.x) / bw))) / (n * bw * sqrt(2 * pi()))', 10)} AS density
+SELECT grid.g AS {group}, CAST(point AS INTEGER) AS point, {r('gx', 6)} AS x,
+  {r('SUM(w.w * exp(-0.5 * ((gx - w.x) / bw) * ((gx - w.x) / bw))) / (n * bw * sqrt(2 * pi()))', digits)} AS density
 FROM grid JOIN w ON grid.g = w.g
 GROUP BY grid.g, point, gx, n, bw ORDER BY 1, 2"""
 
@@ -427,6 +427,7 @@ FROM customer""",
     "hist_log2": hist_sql("(SELECT CASE WHEN c_acctbal > 0 THEN log2(c_acctbal) END AS c_acctbal_log2 FROM customer) AS t",
                           "c_acctbal_log2", 20),
     "density": _density_sql(),
+    "density_series": _density_sql("events", "event_type", "value", 8),
     "box": _box_sql(False),
     "box_outliers": _box_sql(True),
     "bar": """SELECT COALESCE(event_type, '(Missing)') AS category, COUNT(*) AS count FROM events
