@@ -7,9 +7,10 @@ Counting. Map tasks count the hashed n-grams of one to three tokens of the
 training texts and send them, packed, to segments of the hash range. A segment
 adds them up and makes two things: the exact counts of its words, and one block
 of the Bloom filter. An n-gram with count c is entered once for each level
-1 .. 1 + floor(log2 c); n-grams of two and three tokens need a count of 2, so
-what occurs once in the corpus doesn't vouch for itself. A block has a fixed
-number of bits for each entry, so the filter grows with the corpus.
+1 .. 1 + floor(log2 c). n-grams of two and three tokens need a count of
+``least``: with 1 the model holds every n-gram, with 2 what occurs once in the
+corpus doesn't vouch for itself. A block has a fixed number of bits for each
+entry, so the filter grows with the corpus.
 
 Scoring. The filter is sent to the workers; levels are probed upwards until one
 is missing, which gives a quantised count (the middle of its power of 2, 0
@@ -55,7 +56,7 @@ HEAD = 1 << 18
 SHARD_BYTES = 64 << 20
 #: n-grams that a map task counts before it sends them.
 FLUSH = 1 << 21
-#: Least count of an n-gram of two or more tokens.
+#: Least count of an n-gram of two or more tokens, if none is given.
 LEAST = 2
 #: Levels: counts up to 2**48.
 LEVELS = 48
@@ -137,7 +138,7 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
 
 
-def counted_segments(docs: DataFrame, bits: int, bits_per_key: int = bloom.BITS_PER_KEY) -> DataFrame:
+def counted_segments(docs: DataFrame, bits: int, bits_per_key: int = bloom.BITS_PER_KEY, least: int = LEAST) -> DataFrame:
     """segment, words and counts (the exact counts of its words), bits and
     filter (its block). The rows are the training texts."""
 
@@ -181,7 +182,7 @@ def counted_segments(docs: DataFrame, bits: int, bits_per_key: int = bloom.BITS_
                 words, exact = keys, counts
                 keys = short_key(keys, bits)
             else:
-                keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+                keys, counts = keys[counts >= least], counts[counts >= least]
             level = level_of(counts)
             for j in range(1, int(level.max(initial=0)) + 1):
                 entries.append(_level_key(keys[level >= j], order, j))
@@ -258,14 +259,15 @@ def _shards(segments: DataFrame, bits: int, shard_bytes: int):
 
 
 def score_texts(docs: DataFrame, training: Column, head: int = HEAD, shard_bytes: int = SHARD_BYTES,
-                bits_per_key: int = bloom.BITS_PER_KEY) -> DataFrame:
+                bits_per_key: int = bloom.BITS_PER_KEY, least: int = LEAST) -> DataFrame:
     """doc_id, held_out (the opposite of ``training``), n_tokens, n_known,
-    train_tokens, base_score and score of each row."""
+    train_tokens, base_score and score of each row. n-grams of two and three
+    tokens that occur less than ``least`` times are left out of the model."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (~training).alias("held_out"))
     learned = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
     bits = max(3, (text_bytes(learned) // (P.WORD_BYTES * P.SEGMENT_WINDOWS)).bit_length())
-    segments = written(counted_segments(learned, bits, bits_per_key), "segments")
+    segments = written(counted_segments(learned, bits, bits_per_key, least), "segments")
 
     def unpacked(batches):
         for batch in batches:

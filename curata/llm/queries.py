@@ -107,7 +107,7 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curata.llm.lm_scoring import score_texts
 
-    return score_texts(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)))
+    return score_texts(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)), least=1)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def plain(rows):
+def plain(rows, least=2):
     """The definition with exact counts, one token at a time."""
     grams = Counter()
     for i, text in rows:
@@ -40,7 +40,7 @@ def plain(rows):
 
     def middle(g):
         c = grams.get(g, 0)
-        if len(g) > 1 and c < 2:
+        if len(g) > 1 and c < least:
             return 0.0
         return (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
 
@@ -82,6 +82,21 @@ def test_equals_the_definition(spark, rows, head, shard_bytes):
     same(L.score_texts(df, training(), head, shard_bytes, bits_per_key=400).collect(), plain(rows))
 
 
+def test_the_query_learns_ngrams_that_occur_once(spark, rows, tmp_path):
+    from curata.llm.queries import op13_lm_scoring
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    same(L.score_texts(df, training(), bits_per_key=400, least=1).collect(), plain(rows, 1))
+    spare = [i for i in range(30_000, 40_000)]
+    learned, out = next(i for i in spare if not held_out(i)), next(i for i in spare if held_out(i))
+    text = " ".join(f"once{i}" for i in range(40))
+    rows = rows + [(learned, text), (out, text)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in op13_lm_scoring(spark, str(tmp_path)).where(F.col("doc_id").isin(learned, out)).collect()}
+    want = {r[0]: r[6] for r in plain(rows, 1) if r[0] == out}
+    assert got[out] == got[learned] == pytest.approx(want[out], rel=0.02)
+
+
 def test_flushes_change_nothing(spark, rows, monkeypatch):
     monkeypatch.setattr(L, "FLUSH", 100)
     same(L.score_texts(spark.createDataFrame(rows, SCHEMA), training(), bits_per_key=400).collect(), plain(rows))
