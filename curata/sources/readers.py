@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import roles
 from ..functions.exprs import nan_to_null, text_to_double, text_to_long
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, shared_root
 from .splits import csv_records, json_array_records, json_column_cells, with_columns
 
 # Cell texts pandas reads as missing by default.
@@ -280,18 +280,22 @@ def write_csv_file(df: DataFrame, path: str, order_by: str | None = None) -> Non
     not written), are joined by the file system, and the file appears under its
     name when it is whole. A file there before is replaced.
 
-    HDFS joins parts by their blocks, without moving bytes. On a local master,
-    where driver and tasks share the disk, bytes are copied. Other file systems
-    cannot join files: that raises ``ValueError`` before anything is written;
-    ``write_csv`` gives a folder of parts there.
+    HDFS joins parts by their blocks, without moving bytes. On other file
+    systems the bytes are copied, 1 MB at a time, through the driver. On a
+    cluster a ``file:`` path must lie below ``spark.checkpoint.dir``, which the
+    driver shares with the tasks: another raises ``ValueError`` before anything
+    is written.
     """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop
     target = hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    local = files.getScheme() == "file"
-    if not (spark.sparkContext.master.startswith("local") if local else files.hasPathCapability(target, "fs.capability.paths.concat")):
-        raise ValueError(f"the file system of {path} cannot join files; write a folder of parts with write_csv")
+    if files.getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        root = shared_root(spark)
+        below = root and files.makeQualified(target).toString().startswith(hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop.fs.Path(root)).toString() + "/")
+        if not below:
+            raise ValueError(f"{path} is on a disk of one machine; write below spark.checkpoint.dir, or a folder of parts with write_csv")
+    joins = files.hasPathCapability(target, "fs.capability.paths.concat")
     if order_by:
         df = df.orderBy(_q(order_by))
     df = df.drop(*(f.name for f in df.schema.fields if roles.role_of(f) == "position"))
@@ -306,13 +310,13 @@ def write_csv_file(df: DataFrame, path: str, order_by: str | None = None) -> Non
         whole = hadoop.fs.Path(folder, "whole")
         out = files.create(whole, True)
         out.write(bytearray((",".join(map(_header_cell, flat.columns)) + "\n").encode()))
-        if local:
+        if not joins:
             for p in parts:
                 part = files.open(p)
                 hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
                 part.close()
         out.close()
-        if parts and not local:
+        if parts and joins:
             sources = spark.sparkContext._gateway.new_array(hadoop.fs.Path, len(parts))
             for i, p in enumerate(parts):
                 sources[i] = p

@@ -102,6 +102,20 @@ def one_task(df, path):
         return f.read()
 
 
+def test_one_csv_file_where_files_cannot_be_joined(spark, tmp_path, monkeypatch):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.onefile.link./in", f"file://{tmp_path}")
+    df = spark.createDataFrame([(i, f"say \"{i}\",\nthen") for i in range(50)], "id int, note string").repartition(4)
+    write_csv_file(df, "viewfs://onefile/in/t.csv", order_by="id")
+    assert (tmp_path / "t.csv").read_bytes() == one_task(df, str(tmp_path / "one"))
+    # a cluster whose shared folder is a mounted disk
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    monkeypatch.setattr("curata.session.checkpoint_root", lambda spark: f"file://{tmp_path}/shared")
+    write_csv_file(df, str(tmp_path / "shared" / "t.csv"), order_by="id")
+    assert (tmp_path / "shared" / "t.csv").read_bytes() == (tmp_path / "t.csv").read_bytes()
+    with pytest.raises(ValueError, match="disk of one machine"):
+        write_csv_file(df, str(tmp_path / "lost.csv"))
+
+
 def test_one_csv_file_equals_that_of_one_task(spark, tmp_path):
     rows = [(10 * k + i, s, None if k % 5 else k / 3) for k in range(20) for i, s in ODD]
     df = spark.createDataFrame(rows, 'id int, `a "name", of b` string, x double').repartition(6)
