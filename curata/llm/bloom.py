@@ -51,17 +51,19 @@ class Blocks:
 
     def has(self, keys: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Whether each key may have been inserted into its block."""
-        found = self.bits[block] > 0
-        left = np.flatnonzero(found)
+        found = np.zeros(len(keys), bool)
+        bits = self.bits[block]
+        left = np.flatnonzero(bits)
+        keys, bits, at = keys[left], bits[left], self.at[block[left]]
         step = _steps(keys)
         for i in range(PROBES):
             if not len(left):
                 break
-            b = block[left]
-            bit = _places(keys[left], self.bits[b], i, step[left]).astype(np.int64)
-            hit = (self.data[self.at[b] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            found[left[~hit]] = False
-            left = left[hit]
+            bit = _places(keys, bits, i, step).astype(np.int64)
+            hit = (self.data[at + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            if not hit.all():
+                left, keys, step, bits, at = left[hit], keys[hit], step[hit], bits[hit], at[hit]
+        found[left] = True
         return found
 
 

@@ -18,9 +18,9 @@ without a level). Each order is smoothed by the one below with a fixed weight:
 P(w | h) = (min(c(hw), c(h)) + W P(w | shorter h)) / (c(h) + W), down to
 (c(w) + 1) / (N + V + 1). Where the filter is larger than ``shard_bytes``, it is
 sent in shards of that size: each pass over the documents adds the levels that
-its shard knows, written to the shared folder, and the last pass scores. What
-is broadcast is bounded so at any size of the corpus, at the price of a pass a
-shard.
+its shard knows, written to the shared folder in place of those of the pass
+before, and the last pass scores. What is broadcast is bounded so at any size of
+the corpus, at the price of a pass a shard.
 
 Base score. Exact counts of the ``head`` most frequent words are sent to the
 workers (a bounded table); all other words of a document go through a join with
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from curata.llm import bloom
 from curata.llm import packed as P
-from curata.llm.common import chunks, give_back, text_bytes, texts_of, written
+from curata.llm.common import chunks, dropped, give_back, text_bytes, texts_of, written
 
 ORDER = 3
 #: Weight of the shorter context.
@@ -204,14 +204,14 @@ class Probe:
     def __init__(self, blocks: bloom.Blocks, segment_bits: int):
         self.blocks, self.segment_bits = blocks, segment_bits
 
-    def levels(self, keys: np.ndarray, there: np.ndarray, order: int) -> np.ndarray:
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the block of each key is here."""
+        return self.blocks.bits[segment_of(keys, self.segment_bits)] > 0
+
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """By repeated probes, one level up as long as the last was found."""
         out = np.zeros(len(keys), np.uint8)
-        left = np.flatnonzero(there)
-        segment = segment_of(keys[left], self.segment_bits)
-        known = self.blocks.bits[segment] > 0
-        left, segment = left[known], segment[known]
-        short = short_key(keys[left], self.segment_bits)
+        left, segment, short = np.arange(len(keys)), segment_of(keys, self.segment_bits), short_key(keys, self.segment_bits)
         for level in range(1, LEVELS + 1):
             if not len(left):
                 break
@@ -225,11 +225,12 @@ class Probe:
         out = np.zeros((ORDER, len(tokens)), np.uint8)
         for order in range(1, ORDER + 1):
             h, there = grams_of(tokens, offsets, order)
+            at = np.flatnonzero(there & self.known(h))
             if order == 1:  # words recur: each once
-                word, back = np.unique(h, return_inverse=True)
-                out[0] = self.levels(word, np.ones(len(word), bool), 1)[back]
+                word, back = np.unique(h[at], return_inverse=True)
+                out[0, at] = self.levels(word, 1)[back]
             else:
-                out[order - 1] = self.levels(h, there, order)
+                out[order - 1, at] = self.levels(h[at], order)
         return out
 
 
@@ -288,7 +289,7 @@ def score_texts(docs: DataFrame, training: Column, head: int = HEAD, shard_bytes
     carried = "doc_id long, text string, held_out boolean, levels binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.lit(None).cast("binary").alias("levels"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    rows = None
+    rows = before = None
     for blocks, last in _shards(segments, bits, shard_bytes):
         sent = spark.sparkContext.broadcast(Probe(blocks, bits))  # bounded by shard_bytes
 
@@ -312,13 +313,16 @@ def score_texts(docs: DataFrame, training: Column, head: int = HEAD, shard_bytes
             give_back()
 
         if last:
-            rows = written(docs.mapInArrow(scan, out), "scored")
+            # written with their numbers, which so stay the same
+            rows = written(docs.mapInArrow(scan, out).withColumn("row", F.monotonically_increasing_id()), "scored")
         else:
             docs = written(docs.mapInArrow(scan, carried), "levels")
-        sent.unpersist()
+        sent.destroy()
+        if before is not None:  # one pass's levels are kept, not all of them
+            dropped(before)
+        before = docs
 
-    # the rows are a written table, so their numbers stay the same
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    dropped(segments)  # its words are in counts
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
     found = rare.join(counts, "word", "left").fillna(0, ["c"])
     log = F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
