@@ -3,28 +3,30 @@
 Tokens: the words of the lower-cased (A-Z) text, then one end. A begin stands
 before them as context only.
 
-Counting. Map tasks count the hashed n-grams of one to three tokens of the
-training texts and send them, packed, to segments of the hash range. A segment
-adds them up and makes two things: the exact counts of its words, and one block
-of the Bloom filter. An n-gram with count c is entered once for each level
-1 .. 1 + floor(log2 c). n-grams of two and three tokens need a count of
-``least``: with 1 the model holds every n-gram, with 2 what occurs once in the
-corpus doesn't vouch for itself. A block has a fixed number of bits for each
-entry, so the filter grows with the corpus.
-
-Scoring. The filter is sent to the workers; levels are probed upwards until one
-is missing, which gives a quantised count (the middle of its power of 2, 0
+Chunks. Texts go in chunks of a bounded number of bytes that hold either
+training texts or others. A chunk is one compressed row in the shared folder.
+
+Counting. Each chunk counts its distinct n-grams of one to three tokens and
+sends them, sorted, to segments of the hash range; chunks of other texts send
+theirs without counts, as questions only. A segment adds the counts up and makes
+two things: the exact counts of its words, and one block of the Bloom filter. An
+n-gram with count c is entered once for each level 1 .. 1 + floor(log2 c).
+n-grams of two and three tokens need a count of ``least``: with 1 the model
+holds every n-gram, with 2 what occurs once in the corpus doesn't vouch for
+itself. A block has a fixed number of bits for each entry, so the filter grows
+with the corpus.
+
+Answers. The filter stays where it is made: the segment probes its block for
+all n-grams that were sent to it. What was entered is found, so probes start a
+level above that and go upwards until one is missing. Levels, and the exact
+counts of words, go back to the chunks in the order in which the n-grams came.
+Nothing is broadcast, and every n-gram travels once each way, so the work grows
+in proportion to the corpus.
+
+Scoring. A level stands for a quantised count (the middle of its power of 2, 0
 without a level). Each order is smoothed by the one below with a fixed weight:
 P(w | h) = (min(c(hw), c(h)) + W P(w | shorter h)) / (c(h) + W), down to
-(c(w) + 1) / (N + V + 1). Where the filter is larger than ``shard_bytes``, it is
-sent in shards of that size: each pass over the documents adds the levels that
-its shard knows, written to the shared folder in place of those of the pass
-before, and the last pass scores. What is broadcast is bounded so at any size of
-the corpus, at the price of a pass a shard.
-
-Base score. Exact counts of the ``head`` most frequent words are sent to the
-workers (a bounded table); all other words of a document go through a join with
-the exact counts.
+(c(w) + 1) / (N + V + 1). The base score takes the exact counts.
 
 Words and n-grams are told apart by 64-bit hashes (n-grams of two and three
 tokens within their segment by 32 more bits); the filter errs on the high side
@@ -40,27 +42,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm import bloom
 from curata.llm import packed as P
-from curata.llm.common import chunks, dropped, give_back, text_bytes, texts_of, written
+from curata.llm.common import chunks, give_back, text_bytes, texts_of, written
 
 ORDER = 3
 #: Weight of the shorter context.
 WEIGHT = 2.0
-#: Words whose exact counts are sent to the workers.
+#: Words and bytes that were broadcast before answers went through a shuffle.
 HEAD = 1 << 18
-#: Bytes of the filter that are sent at once.
 SHARD_BYTES = 64 << 20
-#: n-grams that a map task counts before it sends them.
-FLUSH = 1 << 21
+#: Bytes of text of a chunk, but for its last slice.
+FLUSH = 4 << 20
 #: Least count of an n-gram of two or more tokens, if none is given.
 LEAST = 2
 #: Levels: counts up to 2**48.
 LEVELS = 48
 U = P.U
+#: Columns of what a chunk asks a segment, and of what it gets back.
+ASKED = [f"{kind}{order}" for order in range(1, ORDER + 1) for kind in ("grams", "counts")]
+ANSWERED = ["chunk", "segment", "counts", *(f"levels{order}" for order in range(1, ORDER + 1)), "n", "v"]
 END, BEGIN = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
 
 
@@ -89,42 +94,13 @@ def grams_of(tokens: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     return np.where(there, h, U(0)), there
 
 
-def segment_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (P.mix(keys) >> U(64 - bits)).astype(np.int64)
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    head, size = P.runs_of(keys)
-    return keys[head], size if counts is None else np.add.reduceat(counts[order], head) if len(head) else counts
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    large = np.flatnonzero(counts > 255)
-    return b"".join([np.array([len(keys), len(large), keys.itemsize], np.int64).tobytes(), keys.tobytes(), np.where(counts > 255, 0, counts).astype(np.uint8).tobytes(),
-                     large.astype(np.int64).tobytes(), counts[large].astype(np.int64).tobytes()])
-
-
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for blob in blobs:
-        n, larger, size = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-        keys.append(np.frombuffer(blob, f"u{size}", n, 24).astype(U))
-        own = np.frombuffer(blob, np.uint8, n, 24 + n * size).astype(np.int64)
-        at = 24 + n * size + n
-        own[np.frombuffer(blob, np.int64, larger, at)] = np.frombuffer(blob, np.int64, larger, at + 8 * larger)
-        counts.append(own)
-    return np.concatenate(keys), np.concatenate(counts)
+def keys_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Segment (upper half) and 32 bits within it (lower half) of n-grams."""
+    return P.mix(grams) >> U(32 - bits)
 
 
-def short_key(keys: np.ndarray, bits: int) -> np.ndarray:
-    """32 bits of an n-gram within its segment."""
-    return ((P.mix(keys) << U(bits)) >> U(32)).astype(np.uint32)
-
-
-def _level_key(short: np.ndarray, order: int, level: int) -> np.ndarray:
-    return P.mix(short.astype(U) + (U(order) << U(32)) + (U(level) << U(40)))
+def _level_key(short: np.ndarray, order: int, level) -> np.ndarray:
+    return P.mix(short.astype(U) + (U(order) << U(32)) + (np.asarray(level, U) << U(40)))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -138,105 +114,190 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
 
 
-def counted_segments(docs: DataFrame, bits: int, bits_per_key: int = bloom.BITS_PER_KEY, least: int = LEAST) -> DataFrame:
-    """segment, words and counts (the exact counts of its words), bits and
-    filter (its block). The rows are the training texts."""
+def packed_chunks(docs: DataFrame) -> DataFrame:
+    """learned and texts (the rows, compressed) of each chunk of the rows doc_id,
+    text, held_out and learned."""
 
     def scan(batches):
-        held: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        size = 0
-
-        def rows():
-            out = []
-            for order, own in enumerate(held, 1):
-                keys, counts = _counted(np.concatenate(own))
-                by = np.argsort(segment_of(keys, bits), kind="stable")
-                keys, counts = keys[by], counts[by]
-                segment = segment_of(keys, bits)
-                head, length = P.runs_of(segment)
-                sent = keys if order == 1 else short_key(keys, bits)
-                out += [(int(segment[h]), order, _pack(sent[h:h + k], counts[h:h + k])) for h, k in zip(head.tolist(), length.tolist(), strict=True)]
-                own.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int8()), pa.array([r[2] for r in out], pa.binary())], ["segment", "size", "blob"])
+        held: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def row(learned):
+            part = pa.Table.from_batches(held[learned]).combine_chunks().drop_columns("learned")
+            held[learned], size[learned] = [], 0
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(part)
+            return pa.RecordBatch.from_arrays([pa.array([learned]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["learned", "texts"])
 
         for batch in batches:
-            for part in chunks(batch):
-                tokens, offsets = tokens_of(texts_of(part))
-                for order in range(1, ORDER + 1):
-                    h, there = grams_of(tokens, offsets, order)
-                    held[order - 1].append(h[there])
-                size += len(tokens)
-                if size >= FLUSH // ORDER:
-                    yield rows()
-                    size = 0
-        if size:
-            yield rows()
+            for learned in held:
+                for part in chunks(batch.filter(pc.equal(batch.column("learned"), learned)), most=FLUSH):
+                    held[learned].append(part)
+                    size[learned] += 8 * len(part) + (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
+                    if size[learned] >= FLUSH:
+                        yield row(learned)
+        yield from (row(learned) for learned in held if held[learned])
         give_back()
 
-    def settle(rows: pa.Table) -> pa.Table:
-        sizes, blobs = np.asarray(rows.column("size")), rows.column("blob").to_pylist()
-        entries = []
-        for order in range(1, ORDER + 1):
-            keys, counts = _counted(*_unpack([b for b, k in zip(blobs, sizes, strict=True) if k == order]))
-            if order == 1:
-                words, exact = keys, counts
-                keys = short_key(keys, bits)
-            else:
-                keys, counts = keys[counts >= least], counts[counts >= least]
-            level = level_of(counts)
-            for j in range(1, int(level.max(initial=0)) + 1):
-                entries.append(_level_key(keys[level >= j], order, j))
-        entered = np.concatenate(entries)
-        n = max(64, bits_per_key * len(entered))
-        made = bloom.bitmap(entered, n).tobytes()
-        del blobs, entries, entered
+    return docs.mapInArrow(scan, "learned boolean, texts binary")
+
+
+def _opened(texts: pa.Buffer) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a chunk, its tokens and the offsets of the texts in them, its
+    distinct words (hashed once more, ascending), and the number of each token's word."""
+    rows = pa.ipc.open_stream(texts).read_all().combine_chunks().to_batches()[0]
+    tokens, offsets = tokens_of(texts_of(rows))
+    return rows, tokens, offsets, *np.unique(P.mix(tokens), return_inverse=True)
+
+
+def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values[cuts[i]:cuts[i + 1]]`` for each i."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _planes(cuts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first byte of each value is, if each slice holds the first bytes
+    of its values, then the second ones and so on, and the way to the next byte."""
+    n = np.diff(cuts)
+    first = np.repeat(cuts[:-1], n)
+    return first * (size - 1) + np.arange(len(first)), np.repeat(n, n)
+
+
+def packed_runs(keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of ascending keys as bytes: differences, by place of the byte, whose
+    upper bytes the shuffle compresses to little."""
+    steps = np.diff(keys, prepend=keys[:1])
+    head = cuts[:-1][np.diff(cuts) > 0]
+    steps[head] = keys[head]
+    raw, out = steps.view(np.uint8).reshape(len(keys), keys.itemsize), np.empty(keys.nbytes, np.uint8)
+    at, step = _planes(cuts, keys.itemsize)
+    for i in range(keys.itemsize):
+        out[at + i * step] = raw[:, i]
+    return _cut(out, cuts * keys.itemsize)
+
+
+def unpacked_runs(blobs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all slices, and the cuts between them."""
+    cuts = np.concatenate([[0], np.cumsum([len(b) // size for b in blobs], dtype=np.int64)])
+    data, raw = np.frombuffer(b"".join(blobs), np.uint8), np.empty((cuts[-1], size), np.uint8)
+    at, step = _planes(cuts, size)
+    for i in range(size):
+        raw[:, i] = data[at + i * step]
+    total = np.concatenate([np.zeros(1, U), np.cumsum(raw.view(f"u{size}")[:, 0], dtype=U)])
+    return (total[1:] - np.repeat(total[cuts[:-1]], np.diff(cuts))).astype(f"u{size}"), cuts
+
+
+def _least_type(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def asked_grams(chunked: DataFrame, bits: int) -> DataFrame:
+    """chunk and segment, and for each order the distinct n-grams of the chunk in
+    the segment (see :func:`packed_runs`; words by 64 bits, others by 32) with their
+    counts in it (empty: not to be learned)."""
+
+    def scan(batches):
+        edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
+        for batch in batches:
+            for chunk, learned, texts in zip(*(batch.column(name) for name in ("chunk", "learned", "texts")), strict=True):
+                _, tokens, offsets, words, index = _opened(texts.as_buffer())
+                sent = [(words, np.bincount(index), edges)]
+                for order in range(2, ORDER + 1):
+                    h, there = grams_of(tokens, offsets, order)
+                    keys = np.sort(keys_of(h[there], bits))
+                    head, counts = P.runs_of(keys)
+                    sent.append((keys[head], counts, edges >> U(32 - bits)))
+                columns = []
+                for keys, counts, starts in sent:
+                    cuts = np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
+                    columns.append(packed_runs(keys if not columns else keys.astype(np.uint32), cuts))
+                    columns.append(_cut(_least_type(counts), cuts) if learned.as_py() else pa.array([b""] * (len(cuts) - 1), pa.binary()))
+                n = 1 << bits
+                rows = pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk.as_py())), pa.array(np.arange(n, dtype=np.int32)), *columns], ["chunk", "segment", *ASKED])
+                yield rows.filter(pc.greater(sum_of_lengths(columns[::2]), 0))
         give_back()
-        return pa.table({"segment": rows.column("segment")[:1], "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([exact.tobytes()], pa.binary()),
-                         "bits": pa.array([n], pa.int64()), "filter": pa.array([made], pa.binary())})
 
-    found = docs.select("text").mapInArrow(scan, "segment int, size byte, blob binary").groupBy("segment")
-    return found.applyInArrow(settle, "segment int, words binary, counts binary, bits long, filter binary")
+    return chunked.mapInArrow(scan, "chunk long, segment int, " + ", ".join(f"{name} binary" for name in ASKED))
 
 
-class Probe:
-    """Levels of n-grams by the blocks of some segments."""
+def sum_of_lengths(columns: list[pa.Array]) -> pa.Array:
+    out = pc.binary_length(columns[0])
+    for column in columns[1:]:
+        out = pc.add(out, pc.binary_length(column))
+    return out
 
-    def __init__(self, blocks: bloom.Blocks, segment_bits: int):
-        self.blocks, self.segment_bits = blocks, segment_bits
 
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the block of each key is here."""
-        return self.blocks.bits[segment_of(keys, self.segment_bits)] > 0
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and where each was. 32-bit keys are sorted together with
+    their places, which is faster than sorting places by keys."""
+    if keys.itemsize > 4:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = np.sort((keys.astype(U) << U(32)) | np.arange(len(keys), dtype=U))
+    return (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def probed_levels(block: bloom.Blocks, short: np.ndarray, order: int, own: np.ndarray) -> np.ndarray:
+    """Levels by the filter of n-grams that were entered up to level ``own``: by
+    repeated probes, one level up as long as the last was found."""
+    out, left = own.astype(np.uint8), np.flatnonzero(own < LEVELS)
+    while len(left):
+        hit = block.has(_level_key(short[left], order, out[left] + 1), np.zeros(len(left), np.int64))
+        left = left[hit]
+        out[left] += 1
+        left = left[out[left] < LEVELS]
+    return out
 
-    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """By repeated probes, one level up as long as the last was found."""
-        out = np.zeros(len(keys), np.uint8)
-        left, segment, short = np.arange(len(keys)), segment_of(keys, self.segment_bits), short_key(keys, self.segment_bits)
-        for level in range(1, LEVELS + 1):
-            if not len(left):
-                break
-            hit = self.blocks.has(_level_key(short, order, level), segment)
-            left, segment, short = left[hit], segment[hit], short[hit]
-            out[left] = level
-        return out
 
-    def all_levels(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Levels by order and token."""
-        out = np.zeros((ORDER, len(tokens)), np.uint8)
+def answered_grams(asked: DataFrame, bits: int, bits_per_key: int = bloom.BITS_PER_KEY, least: int = LEAST) -> DataFrame:
+    """chunk and segment, counts (exact, of the words asked for) and the levels of
+    the n-grams of each order, in the order of asking; n and v of a segment, once:
+    its tokens and distinct words."""
+    begin = P.mix(np.array([BEGIN]))[0]
+
+    def settle(rows: pa.Table) -> pa.Table:
+        found, entries = [], []
         for order in range(1, ORDER + 1):
-            h, there = grams_of(tokens, offsets, order)
-            at = np.flatnonzero(there & self.known(h))
-            if order == 1:  # words recur: each once
-                word, back = np.unique(h[at], return_inverse=True)
-                out[0, at] = self.levels(word, 1)[back]
-            else:
-                out[order - 1, at] = self.levels(h[at], order)
+            size = 8 if order == 1 else 4
+            blobs, own = (rows.column(name).to_pylist() for name in ASKED[2 * order - 2:2 * order])
+            keys, cuts = unpacked_runs(blobs, size)
+            keys, back = _sorted(keys)
+            counts = np.concatenate([np.frombuffer(c, f"u{len(c) // k}").astype(np.int64) if c else np.zeros(k, np.int64) for c, k in zip(own, np.diff(cuts).tolist(), strict=True)])
+            head, times = P.runs_of(keys)
+            keys, counts = keys[head], np.add.reduceat(counts[back], head) if len(head) else counts
+            short = ((keys << U(bits)) >> U(32)).astype(np.uint32) if order == 1 else keys
+            level = level_of(counts) if order == 1 else np.where(counts >= least, level_of(counts), 0)
+            for j in range(1, int(level.max(initial=0)) + 1):
+                entries.append(_level_key(short[level >= j], order, j))
+            found.append((short, level, back, times, cuts))
+            if order == 1:
+                exact, real = counts, (counts > 0) & (keys != begin)
+        entered = np.concatenate(entries) if entries else np.zeros(0, U)
+        n = max(64, bits_per_key * len(entered))
+        block = bloom.Blocks(np.array([n]), [bloom.bitmap(entered, n).tobytes()])
+        del entries, entered
+
+        def returned(values, back, times, cuts):
+            out = np.empty(len(back), values.dtype)
+            out[back] = np.repeat(values, times)
+            return _cut(out, cuts)
+
+        columns = [returned(_least_type(exact), *found[0][2:])]
+        columns += [returned(probed_levels(block, short, order, level), *rest) for order, (short, level, *rest) in enumerate(found, 1)]
+        once = np.zeros(rows.num_rows, np.int64)
+        once[0] = 1
+        out = pa.table([rows.column("chunk"), rows.column("segment"), *columns, pa.array(once * exact[real].sum()), pa.array(once * real.sum())], ANSWERED)
+        del found, block
+        give_back()
         return out
 
+    return asked.groupBy("segment").applyInArrow(settle, "chunk long, segment int, " + ", ".join(f"{name} binary" for name in ANSWERED[2:-2]) + ", n long, v long")
+
 
 def log_probabilities(levels: np.ndarray, offsets: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """log10 P of each token given up to two before, 0 for the begins."""
-    counts = count_of(levels)
+    counts = count_of(np.arange(LEVELS + 1))[levels]
     place = np.arange(levels.shape[1]) - np.repeat(offsets[:-1], np.diff(offsets))
     p = (counts[0] + 1) / (total + distinct + 1)
     for order in range(2, ORDER + 1):
@@ -247,112 +308,50 @@ def log_probabilities(levels: np.ndarray, offsets: np.ndarray, total: int, disti
     return np.where(place > 0, np.log10(np.minimum(p, 1.0)), 0.0)
 
 
-def _shards(segments: DataFrame, bits: int, shard_bytes: int):
-    """Blocks of a bounded size, one shard of the segments after the other."""
-    total = segments.agg(F.sum(F.octet_length("filter")).alias("b")).first()["b"] or 0
-    n = min(1 << bits, max(1, -(-int(total) // shard_bytes)))
-    for i in range(n):
-        first, last = (i << bits) // n, ((i + 1) << bits) // n
-        size, maps = np.zeros(1 << bits, np.int64), {}
-        for r in segments.where((F.col("segment") >= first) & (F.col("segment") < last)).select("segment", "bits", "filter").toLocalIterator():
-            size[r["segment"]], maps[r["segment"]] = r["bits"], bytes(r["filter"])
-        yield bloom.Blocks(size, [maps[k] for k in sorted(maps)]), i == n - 1
-
-
 def score_texts(docs: DataFrame, training: Column, head: int = HEAD, shard_bytes: int = SHARD_BYTES,
                 bits_per_key: int = bloom.BITS_PER_KEY, least: int = LEAST) -> DataFrame:
     """doc_id, held_out (the opposite of ``training``), n_tokens, n_known,
     train_tokens, base_score and score of each row. n-grams of two and three
-    tokens that occur less than ``least`` times are left out of the model."""
-    spark = docs.sparkSession
+    tokens that occur less than ``least`` times are left out of the model.
+    ``head`` and ``shard_bytes`` bounded broadcasts; there are none any more, and
+    they change nothing."""
     docs = docs.select("doc_id", "text", (~training).alias("held_out"))
-    learned = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
-    bits = max(3, (text_bytes(learned) // (P.WORD_BYTES * P.SEGMENT_WINDOWS)).bit_length())
-    segments = written(counted_segments(learned, bits, bits_per_key, least), "segments")
-
-    def unpacked(batches):
-        for batch in batches:
-            for word, count in zip(batch.column(0), batch.column(1), strict=True):
-                n = pa.array(np.frombuffer(count.as_buffer(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(word.as_buffer(), np.int64)), n], ["word", "c"])
-
-    counts = segments.select("words", "counts").mapInArrow(unpacked, "word long, c long")
-    begin = int(BEGIN.view(np.int64))
-    counts = written(counts.where(F.col("word") != begin), "counts")
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"] or 0), int(sums["v"])
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toPandas()
-    top_words = top["word"].to_numpy(np.int64).view(U)
-    order = np.argsort(top_words)
-    sent_top = spark.sparkContext.broadcast((top_words[order], top["c"].to_numpy(np.int64)[order]))  # bounded by head
-
-    carried = "doc_id long, text string, held_out boolean, levels binary"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.lit(None).cast("binary").alias("levels"))
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    rows = before = None
-    for blocks, last in _shards(segments, bits, shard_bytes):
-        sent = spark.sparkContext.broadcast(Probe(blocks, bits))  # bounded by shard_bytes
-
-        def scan(batches, sent=sent, last=last):
-            probe, (top_words, top_counts) = sent.value, sent_top.value
-            for batch in batches:
-                for part in chunks(batch):
-                    tokens, offsets = tokens_of(texts_of(part))
-                    levels = probe.all_levels(tokens, offsets)
-                    own = part.column("levels")
-                    if own.null_count < len(own):  # what earlier shards know
-                        before = np.frombuffer(b"".join(own.to_pylist()), np.uint8)
-                        sizes = np.diff(offsets)
-                        by_text = np.split(before, np.cumsum(ORDER * sizes)[:-1])
-                        levels = np.maximum(levels, np.concatenate([x.reshape(ORDER, -1) for x in by_text], axis=1))
-                    if last:
-                        yield _scored(part, tokens, offsets, levels, top_words, top_counts, total, distinct)
-                    else:
-                        kept = [levels[:, a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(kept, pa.binary())], ["doc_id", "text", "held_out", "levels"])
-            give_back()
-
-        if last:
-            # written with their numbers, which so stay the same
-            rows = written(docs.mapInArrow(scan, out).withColumn("row", F.monotonically_increasing_id()), "scored")
-        else:
-            docs = written(docs.mapInArrow(scan, carried), "levels")
-        sent.destroy()
-        if before is not None:  # one pass's levels are kept, not all of them
-            dropped(before)
-        before = docs
-
-    dropped(segments)  # its words are in counts
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
-    found = rare.join(counts, "word", "left").fillna(0, ["c"])
-    log = F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
-    found = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    return rows.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-
-
-def _scored(part, tokens, offsets, levels, top_words, top_counts, total, distinct) -> pa.RecordBatch:
-    """Results of each text, and its words that are not among the most frequent."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    learned = F.coalesce(~F.col("held_out") & F.col("doc_id").isNotNull(), F.lit(False))
+    bits = max(3, (text_bytes(docs.where(learned)) // (P.WORD_BYTES * P.SEGMENT_WINDOWS)).bit_length())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", learned.alias("learned"))
+    # written with their numbers, which so stay the same
+    chunked = written(packed_chunks(docs).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    answers = written(answered_grams(asked_grams(chunked, bits), bits, bits_per_key, least), "answers")
+    sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total, distinct = int(sums["n"] or 0), int(sums["v"] or 0)
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        by = np.argsort(np.asarray(answers.column("segment")))
+        own, *blobs = (answers.column(name).take(by).to_pylist() for name in ANSWERED[2:-2])
+        counts = np.concatenate([np.frombuffer(c, f"u{len(c) // len(k)}").astype(np.int64) for c, k in zip(own, blobs[0], strict=True) if k])
+        levels = [np.frombuffer(b"".join(column), np.uint8) for column in blobs]
+        return _scored(texts.column("texts")[0].as_buffer(), counts, levels, bits, total, distinct)
+
+    answers = answers.select("chunk", *ANSWERED[1:-2])
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunked.select("chunk", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
+
+
+def _scored(texts: pa.Buffer, counts: np.ndarray, levels: list[np.ndarray], bits: int, total: int, distinct: int) -> pa.Table:
+    """Results of the texts of a chunk by the exact counts of its words and the
+    levels of its n-grams, both in the order of asking."""
+    rows, tokens, offsets, _, index = _opened(texts)
+    by_token = np.zeros((ORDER, len(tokens)), np.uint8)
+    by_token[0] = levels[0][index]
+    for order in range(2, ORDER + 1):
+        h, there = grams_of(tokens, offsets, order)
+        at, keys = np.flatnonzero(there), keys_of(h[there], bits)
+        by = np.argsort(keys)
+        by_token[order - 1, at[by]] = np.repeat(levels[order - 1], P.runs_of(keys[by])[1])
     inner = np.ones(len(tokens), bool)
     inner[offsets[:-1]] = False
-    score = np.add.reduceat(log_probabilities(levels, offsets, total, distinct), offsets[:-1])
-    word, back = np.unique(tokens, return_inverse=True)
-    at = np.minimum(np.searchsorted(top_words, word), max(len(top_words) - 1, 0))
-    known = top_words[at] == word if len(top_words) else np.zeros(len(word), bool)
-    count = np.where(known, top_counts[at], 0) if len(top_words) else np.zeros(len(word), np.int64)
-    here = known[back] & inner
-    base = np.add.reduceat(np.where(here, np.log10((count + 1) / (total + distinct + 1))[back], 0.0), offsets[:-1])
-    rest = np.flatnonzero(inner & ~known[back])
-    # words of a text with their times: sorted by text and word
-    order = np.lexsort((back[rest], doc[rest]))
-    rest = rest[order]
-    key = doc[rest] * len(word) + back[rest]
-    head, times = P.runs_of(key)
-    first = rest[head]
-    cuts = pa.array(np.searchsorted(doc[first], np.arange(len(offsets))).astype(np.int32))
-    rare = pa.ListArray.from_arrays(cuts, pa.array(tokens[first].view(np.int64)))
-    many = pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets) - 1), pa.array(np.add.reduceat(here.astype(np.int64), offsets[:-1])),
-                                       pa.array(base), pa.array(score), rare, many], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+    score = np.add.reduceat(log_probabilities(by_token, offsets, total, distinct), offsets[:-1])
+    base = np.add.reduceat(np.where(inner, np.log10((counts + 1) / (total + distinct + 1))[index], 0.0), offsets[:-1])
+    known = np.add.reduceat(((counts > 0)[index] & inner).astype(np.int64), offsets[:-1])
+    return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": np.diff(offsets) - 1, "n_known": known,
+                     "train_tokens": np.full(len(known), total), "base_score": base, "score": score})

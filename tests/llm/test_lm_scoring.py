@@ -145,3 +145,29 @@ def test_levels_grow_with_counts():
     counts = np.array([0, 1, 2, 3, 4, 7, 8, 2**40])
     assert L.level_of(counts).tolist() == [0, 1, 2, 2, 3, 3, 4, 41]
     assert L.count_of(L.level_of(counts))[:7].tolist() == [0, 1, 2.5, 2.5, 5.5, 5.5, 11.5]
+
+
+def test_a_larger_filter_takes_no_more_tables_and_no_broadcast(spark, rows, monkeypatch):
+    """Documents go through a fixed number of steps, whatever the filter's size."""
+    names, own = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: (names.append(name), own(df, name))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("broadcast"))
+    L.score_texts(spark.createDataFrame(rows, SCHEMA), training(), shard_bytes=1, bits_per_key=400)
+    assert names == ["chunks", "answers"]
+
+
+def test_counts_of_more_than_a_byte(spark, rows):
+    rows = rows + [(1, "x y " * 400), (2, None), (3, "z"), (4, "x y " * 200)]
+    same(L.score_texts(spark.createDataFrame(rows, SCHEMA), training(), bits_per_key=400, least=1).collect(), plain(rows, 1))
+
+
+@pytest.mark.parametrize("kind, most", [("u4", 2**32 - 1), ("u8", 2**64 - 1)])
+def test_packed_keys_come_back(kind, most):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2000):
+        cuts = np.sort(np.concatenate([[0, n], rng.integers(0, n + 1, 5)]))
+        keys = rng.integers(0, most, n, kind, endpoint=True)
+        for a, b in zip(cuts, cuts[1:]):
+            keys[a:b].sort()
+        got, back = L.unpacked_runs(L.packed_runs(keys, cuts).to_pylist(), keys.itemsize)
+        assert got.tolist() == keys.tolist() and back.tolist() == cuts.tolist()
