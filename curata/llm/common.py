@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -59,6 +60,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def shuffles_given_back(spark: SparkSession):
+    """Executions in here give back their shuffle files when they end, not when
+    the driver next collects garbage, which a small driver's heap may never
+    call for. For tables that are written and then read from where they are.
+    (Spark before 4.1 does not know the setting and waits for the garbage.)"""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

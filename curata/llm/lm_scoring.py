@@ -21,7 +21,8 @@ all n-grams that were sent to it. What was entered is found, so probes start a
 level above that and go upwards until one is missing. Levels, and the exact
 counts of words, go back to the chunks in the order in which the n-grams came.
 Nothing is broadcast, and every n-gram travels once each way, so the work grows
-in proportion to the corpus.
+in proportion to the corpus. What was asked goes from disk when the answers are
+written, before they travel.
 
 Scoring. A level stands for a quantised count (the middle of its power of 2, 0
 without a level). Each order is smoothed by the one below with a fixed weight:
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 
 from curata.llm import bloom
 from curata.llm import packed as P
-from curata.llm.common import chunks, give_back, text_bytes, texts_of, written
+from curata.llm.common import chunks, give_back, shuffles_given_back, text_bytes, texts_of, written
 
 ORDER = 3
 #: Weight of the shorter context.
@@ -321,7 +322,8 @@ def score_texts(docs: DataFrame, training: Column, head: int = HEAD, shard_bytes
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", learned.alias("learned"))
     # written with their numbers, which so stay the same
     chunked = written(packed_chunks(docs).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    answers = written(answered_grams(asked_grams(chunked, bits), bits, bits_per_key, least), "answers")
+    with shuffles_given_back(docs.sparkSession):  # what was asked is larger than the texts, and must not lie beside the answers' way back
+        answers = written(answered_grams(asked_grams(chunked, bits), bits, bits_per_key, least), "answers")
     sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"] or 0)
 

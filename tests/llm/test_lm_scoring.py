@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,29 @@ def test_a_larger_filter_takes_no_more_tables_and_no_broadcast(spark, rows, monk
     assert names == ["chunks", "answers"]
 
 
+def test_what_was_asked_goes_from_disk_once_answered(spark, rows, monkeypatch):
+    """Without waiting for the driver to collect garbage; the setting is the session's own again after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    left, own, before = {}, L.written, spark.conf.get(key, None)
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    def written(df, name):
+        there = shuffled()
+        out, until = own(df, name), time.time() + 10
+        while (new := shuffled() - there) and time.time() < until:
+            time.sleep(0.1)
+        left[name] = new
+        return out
+
+    monkeypatch.setattr(L, "written", written)
+    L.score_texts(spark.createDataFrame(rows, SCHEMA), training())
+    assert left == {"chunks": set(), "answers": set()}
+    assert spark.conf.get(key, None) == before
+
+
 def test_counts_of_more_than_a_byte(spark, rows):
     rows = rows + [(1, "x y " * 400), (2, None), (3, "z"), (4, "x y " * 200)]
     same(L.score_texts(spark.createDataFrame(rows, SCHEMA), training(), bits_per_key=400, least=1).collect(), plain(rows, 1))
