@@ -1,17 +1,24 @@
 """Source divergence audit: how far the word use of each source is from that
 of the other sources of its language, and by which terms.
 
-0. Texts are cut into terms once and written.
+0. Texts are cut into terms once, and the terms of each share of texts are
+   written in two forms. For counts: a term that a group uses c times in the
+   share stands in the rows of the group whose weights, powers of 2, add up to
+   c. For document frequencies: a term in d documents of the share stands in
+   min(d, ``min_df``) rows. The rows of all shares with a term are ``min_df`` or
+   more exactly if the documents with it are.
 1. ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize``
-   turns each document into an exact sparse count vector. A term carries its
-   language, so one fit gives every language its own vocabulary and counts
-   document frequencies within the language. What a fit holds on the driver
-   and sends to the tasks is bounded: beyond ``block_terms`` distinct terms
-   (by HyperLogLog) the terms are dealt to blocks by their hash, and each block
-   is fitted on its own share of the tokens. A row of ``min_df`` documents
-   with an empty term keeps a fit from failing where nothing is frequent.
-2. Group sums: each task adds up the sparse vectors of its documents by group
-   and index, as a summarizer does, and Spark the sums of the tasks.
+   is fitted on the rows for frequencies and turns each row for counts into a
+   sparse vector. A term carries its language, so one fit gives every language
+   its own vocabulary and counts document frequencies within the language. What
+   a fit holds on the driver and sends to the tasks is bounded: beyond
+   ``block_terms`` distinct terms (by HyperLogLog) the terms are dealt to blocks
+   by their hash, and each block is fitted on its own share of the tokens. A
+   row of ``min_df`` documents with an empty term keeps a fit from failing where
+   nothing is frequent. The vocabulary is read from the saved model, not
+   through the driver's Python.
+2. Group sums: each task adds up its sparse vectors times their weights by
+   group and index, as a summarizer does, and Spark the sums of the tasks.
 3. Sparse pair evaluation: for sources s, t of a language the sum over all V
    kept terms is V f(p0_s, p0_t), where p0 is the value of a count of 0, plus
    for each source a correction by its distinct counts (their histogram
@@ -34,11 +41,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.llm.common import chunks, give_back, partitions, texts_of, written
+from curata.session import scratch_path
 
 #: The pattern of a term, as SQL reads it.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,6 +57,10 @@ TOP_TERMS = 10
 BLOCK_TERMS = 4_000_000
 #: Pairs of one source and another that a task evaluates at once.
 PAIRS = 1 << 20
+#: Bytes of text whose terms are counted together.
+SHARE_BYTES = 4 << 20
+#: Terms of a row at most.
+ROW_TERMS = 1 << 10
 #: Entries of vectors that a task sums at once.
 ENTRIES = 1 << 21
 #: Ends the language in a tagged term; no term holds it.
@@ -92,43 +104,102 @@ def groups_of(docs: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def tagged_terms(docs: DataFrame) -> DataFrame:
-    """gid and the terms of each text, each behind its language; the first row
-    of a chunk of texts has the distinct terms of the chunk as ``seen``."""
+def _term_rows(owner: np.ndarray, terms: pa.Array, gids: pa.Array, weight: int) -> pa.RecordBatch:
+    """Rows of the terms of each owner (ascending), with the owner's gid."""
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    head = np.flatnonzero(place % ROW_TERMS == 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)), pa.int32()), terms)
+    return pa.RecordBatch.from_arrays([gids.take(pa.array(owner[head])), pa.array([weight] * len(head), pa.int64()), lists], ["gid", "weight", "terms"])
+
+
+def _share_rows(share: pa.RecordBatch, min_df: int):
+    """Rows for counts and for document frequencies (without gid) of some texts."""
+    terms = cut_terms(texts_of(share))
+    times = np.diff(np.asarray(terms.offsets))
+    coded = terms.flatten().dictionary_encode()
+    words, code = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+    if not len(code):
+        return
+    langs, n = share.column("lang").cast(pa.large_string()), len(words)
+
+    def tagged(docs: np.ndarray, codes: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(langs.take(pa.array(docs)), words.take(pa.array(codes)), pa.scalar(MARK, pa.large_string())).cast(pa.string())
+
+    gids, first, group = np.unique(np.asarray(share.column("gid")), return_index=True, return_inverse=True)
+    key, count = np.unique(np.repeat(group.astype(np.int64) * n, times) + code, return_counts=True)
+    group, own = key // n, tagged(first[key // n], key % n)
+    for bit in range(int(count.max()).bit_length()):
+        has = count >> bit & 1 > 0
+        if has.any():
+            yield _term_rows(group[has], own.filter(pa.array(has)), pa.array(gids), 1 << bit)
+    del own, group, count
+
+    key = np.unique(np.repeat(np.arange(len(times)) * n, times) + code)
+    coded = langs.dictionary_encode()
+    lang = np.asarray(coded.indices).astype(np.int64)
+    key, docs = np.unique(lang[key // n] * n + key % n, return_counts=True)
+    first = np.unique(lang, return_index=True)[1]
+    seen = tagged(first[key // n], key % n)
+    for least in range(max(1, min_df)):
+        has = docs > least
+        if has.any():
+            yield _term_rows(np.zeros(int(has.sum()), np.int64), seen.filter(pa.array(has)), pa.array([None], pa.int64()), least)
+
+
+def tagged_terms(docs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+    """Terms, each behind its language, in rows for counts (gid, weight) and
+    rows for document frequencies (no gid; those of weight 0 hold every term)."""
 
     def cut(batches):
+        held: list = []
+        size = 0
+
+        def rows():
+            shares = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            for share in shares:
+                yield from _share_rows(share, min_df)
+                give_back()
+
         for batch in batches:
             for part in chunks(batch):
-                terms = cut_terms(texts_of(part))
-                offsets = np.asarray(terms.offsets)
-                langs = part.column("lang").cast(pa.large_string()).take(pa.array(np.repeat(np.arange(len(terms)), np.diff(offsets))))
-                tagged = pc.binary_join_element_wise(langs, terms.flatten(), pa.scalar(MARK, pa.large_string())).cast(pa.string())
-                terms = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tagged)
-                distinct = pc.unique(tagged)
-                seen = pa.ListArray.from_arrays(pa.array([0] + [len(distinct)] * len(terms), pa.int32()), distinct)
-                yield pa.RecordBatch.from_arrays([part.column("gid"), terms, seen], ["gid", "terms", "seen"])
-        give_back()
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py()
+                if size >= SHARE_BYTES:
+                    yield from rows()
+                    size = 0
+        if held:
+            yield from rows()
 
-    return docs.select("gid", "lang", "text").mapInArrow(cut, "gid long, terms array<string>, seen array<string>")
+    return docs.select("gid", "lang", "text").mapInArrow(cut, "gid long, weight long, terms array<string>")
 
 
 def blocks_for(tokens: DataFrame, block_terms: int) -> int:
-    seen = tokens.select(F.explode("seen").alias("t")).agg(F.approx_count_distinct("t", 0.05).alias("n")).first()["n"]
+    seen = tokens.where("gid is null and weight = 0").select(F.explode("terms").alias("t"))
+    seen = seen.agg(F.approx_count_distinct("t", 0.05).alias("n")).first()["n"]
     return max(1, -(-int(seen * 1.1) // block_terms))
 
 
-def count_vectors(tokens: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, list[str]]:
-    """gid and sparse vector of each row, and the vocabulary by index (the
-    empty term included)."""
+def count_vectors(tokens: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, CountVectorizerModel]:
+    """gid, weight and sparse vector of each row for counts, and the model (its
+    vocabulary holds the empty term)."""
     spark = tokens.sparkSession
     fill = spark.range(min_df).select(F.array(F.lit(MARK)).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vec", minDF=float(min_df), vocabSize=2**31 - 1).fit(tokens.select("terms").unionByName(fill))
-    return model.transform(tokens).select("gid", "vec"), model.vocabulary
+    seen = tokens.where("gid is null").select("terms").unionByName(fill)
+    model = CountVectorizer(inputCol="terms", outputCol="vec", minDF=float(min_df), vocabSize=2**31 - 1).fit(seen)
+    return model.transform(tokens.where("gid is not null")).select("gid", "weight", "vec"), model
+
+
+def vocabulary_of(model: CountVectorizerModel, spark: SparkSession) -> DataFrame:
+    """idx and tagged term, from the files of the saved model."""
+    path = scratch_path(spark, "model")
+    model.save(path)
+    return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "tagged"))
 
 
 def _vector_sums(batches):
-    """Sums of the sparse vectors (gid, vec) of a task by group and index, in
-    runs of a bounded number of entries."""
+    """Sums of the sparse vectors (gid, weight, vec) of a task by group and
+    index, in runs of a bounded number of entries."""
     held: list = []
     size = 0
 
@@ -150,7 +221,8 @@ def _vector_sums(batches):
         times = np.diff(np.asarray(indices.offsets))
         if not times.sum():
             continue
-        held.append((np.repeat(np.asarray(batch.column("gid")), times), np.asarray(indices.flatten()).astype(np.int64), np.asarray(values.flatten()).astype(np.int64)))
+        gid, weight = (np.repeat(np.asarray(batch.column(k)), times) for k in ("gid", "weight"))
+        held.append((gid, np.asarray(indices.flatten()).astype(np.int64), np.asarray(values.flatten()).astype(np.int64) * weight))
         size += int(times.sum())
         if size > ENTRIES:
             size = rows()
@@ -168,22 +240,21 @@ def _vector_sums(batches):
 def group_sums(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
     """Counts of kept terms by group (gid, block, idx, count), and the
     vocabulary (lang, term, block, idx)."""
-    spark, tokens = docs.sparkSession, written(tagged_terms(docs), "tokens")
+    spark, tokens = docs.sparkSession, written(tagged_terms(docs, min_df), "tokens")
     blocks = blocks_for(tokens, block_terms)
     if blocks > 1:
         own = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int").alias("block")
-        dealt = tokens.withColumn("row", F.monotonically_increasing_id()).select("gid", "row", F.explode("terms").alias("t"))
-        dealt = written(dealt.groupBy("gid", "row", own).agg(F.collect_list("t").alias("terms")).repartition(F.col("block"), F.col("row")), "tokens")
-        shares = [dealt.where(F.col("block") == b).select("gid", "terms") for b in range(blocks)]
+        dealt = tokens.withColumn("row", F.monotonically_increasing_id()).select("gid", "weight", "row", F.explode("terms").alias("t"))
+        dealt = written(dealt.groupBy("gid", "weight", "row", own).agg(F.collect_list("t").alias("terms")).repartition(F.col("block"), F.col("row")), "tokens")
+        shares = [dealt.where(F.col("block") == b).select("gid", "weight", "terms") for b in range(blocks)]
     else:
-        shares = [tokens.select("gid", "terms")]
+        shares = [tokens]
     sums, words = None, None
     for b, share in enumerate(shares):
-        vectors, vocabulary = count_vectors(share, min_df)
+        vectors, model = count_vectors(share, min_df)
         entries = vectors.mapInArrow(_vector_sums, "gid long, idx long, count long")
         own = entries.groupBy("gid", F.col("idx").cast("int").alias("idx")).agg(F.sum("count").alias("count")).withColumn("block", F.lit(b))
-        table = pa.table({"idx": pa.array(range(len(vocabulary)), pa.int32()), "tagged": pa.array(vocabulary, pa.string())})
-        named = spark.createDataFrame(table).where(F.col("tagged") != MARK)
+        named = vocabulary_of(model, spark).where(F.col("tagged") != MARK)
         end = F.length("tagged") - F.length(F.substring_index("tagged", MARK, -1))
         named = named.select(F.col("tagged").substr(F.lit(1), end - 1).alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"), F.lit(b).alias("block"), "idx")
         own, named = written(own, "sums"), written(named, "vocabulary")

@@ -88,3 +88,54 @@ def test_empty_tables_and_clashing_columns(spark, rows):
     assert D.divergence(empty).collect() == []
     df = clashing(spark.createDataFrame(rows[:30], SCHEMA), "terms", "vec", "term", "part", "p", "gid", "block", "idx", "count", "n", "v", "rank", "value")
     assert sorted(map(tuple, D.divergence(df, min_df=2).collect())) == plain(rows[:30], 2, 10)
+
+
+def test_rows_of_a_share_hold_its_counts_and_document_frequencies(monkeypatch):
+    import pyarrow as pa
+
+    docs = [(1, "en", "a a a b"), (2, "en", "a c"), (1, "en", "a b"), (3, "de", "a"), (3, "de", None), (2, "en", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)))]
+    gid, lang, text = zip(*docs, strict=True)
+    share = pa.RecordBatch.from_arrays([pa.array(gid), pa.array(lang), pa.array(text, pa.string())], ["gid", "lang", "text"])
+    counts, frequencies = Counter(), Counter()
+    for g, x, t in docs:
+        counts.update((g, f"{x}\x01{w}") for w in re.findall(D.TERM, t or ""))
+        frequencies.update({f"{x}\x01{w}" for w in re.findall(D.TERM, t or "")})
+    for most in (1024, 7):
+        monkeypatch.setattr(D, "ROW_TERMS", most)
+        rows = [r for b in D._share_rows(share, 2) for r in b.to_pylist()]
+        got, seen = Counter(), Counter()
+        for r in rows:
+            assert len(set(r["terms"])) == len(r["terms"]) <= most
+            if r["gid"] is None:
+                seen.update(r["terms"])
+            else:
+                got.update({(r["gid"], t): r["weight"] for t in r["terms"]})
+        assert got == counts
+        assert seen == Counter({t: min(n, 2) for t, n in frequencies.items()})
+
+
+def test_small_shares_change_nothing(spark, rows):
+    import pyarrow as pa
+
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(text, '') text", "coalesce(lang, '') lang", "1L gid").coalesce(1)
+    share = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
+    total = [sum(len(r["terms"]) for s in parts for b in D._share_rows(s, 3) for r in b.to_pylist() if r["gid"] is None and r["weight"] == 0)
+             for parts in ([share], [share.slice(i, 9) for i in range(0, len(share), 9)])]
+    assert total[0] < total[1]  # one row of a share for each of its terms
+    counts = []
+    for parts in ([share], [share.slice(i, 9) for i in range(0, len(share), 9)]):
+        counts.append(Counter())
+        for r in (r for s in parts for b in D._share_rows(s, 3) for r in b.to_pylist() if r["gid"] is not None):
+            counts[-1].update({t: r["weight"] for t in r["terms"]})
+    assert counts[0] == counts[1]
+
+
+def test_the_vocabulary_stays_out_of_the_drivers_python(spark, rows, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    def refused(model):
+        raise AssertionError("the vocabulary came to the driver's Python")
+
+    monkeypatch.setattr(CountVectorizerModel, "vocabulary", property(refused))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, D.divergence(df, min_df=2, top_terms=5).collect())) == plain(rows, 2, 5)
