@@ -24,7 +24,7 @@ BUCKET_BYTES = 4 << 20
 #: Hashes that a map task holds before it packs them.
 FLUSH = 1 << 20
 #: Bytes hashed at once.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Bytes of a word and the blank after it, for the number of segments.
 WORD_BYTES = 6
 

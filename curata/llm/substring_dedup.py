@@ -38,6 +38,10 @@ from curata.llm.common import chunks, give_back, id_list, text_bytes, texts_of
 WIDTH = 13
 #: Counters in each row of a segment's sketch.
 SKETCH_WIDTH = 1 << 22
+#: Windows that a map task holds before it packs them, and bytes of text whose
+#: windows it hashes at once: two tasks run beside an executor's whole heap.
+FLUSH = 1 << 19
+SCAN_BYTES = 1 << 20
 _OUT = pa.schema([("place", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 
 
@@ -136,6 +140,7 @@ def covered_windows(docs: DataFrame, width: int, segments: int, buckets: int, sk
 
         def packed_rows():
             ids, hashes, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             send, covered = own_repeats(ids, hashes)
             rows = []
             for kind, which, to in ((0, send, place), (1, covered, (P.xxhash64(ids) % segments))):
@@ -144,18 +149,19 @@ def covered_windows(docs: DataFrame, width: int, segments: int, buckets: int, sk
             return _rows(rows)
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=SCAN_BYTES):
                 ids, there = id_list(part.column("doc_id"))
                 a, b, doc, _, _ = _windows(texts_of(part), width)
                 own = there[doc]
-                held.append((ids[doc[own]], a[own], ((b[own] >> P.U(20)) % P.U(segments)).astype(np.int64)))
+                held.append((ids[doc[own]], a[own], ((b[own] >> P.U(20)) % P.U(segments)).astype(np.int32)))
                 size += int(own.sum())
-                if size >= P.FLUSH:
+                del a, b, doc, own
+                if size >= FLUSH:
                     yield packed_rows()
-                    held, size = [], 0
+                    size = 0
+                    give_back()
         if size:
             yield packed_rows()
-        held.clear()
         give_back()
 
     def settle(segment: pa.Table) -> pa.Table:

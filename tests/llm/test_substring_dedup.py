@@ -72,3 +72,32 @@ def test_resolve_merges_map_tasks():
     blobs = [packed.pack(np.array([4]), np.array([11], np.uint64)), packed.pack(np.array([2, 8]), np.array([11, 12], np.uint64))]
     ids, hashes = resolve(blobs, 1 << 8)
     assert ids.tolist() == [4] and hashes.tolist() == [11]
+
+
+def test_scan_holds_little_at_once():
+    """Beside an executor's whole heap two scans run at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from curata.llm import substring_dedup as S
+
+    class Captured:
+        def __getattr__(self, name):
+            return lambda *a: setattr(self, "scan", a[0]) or self if name == "mapInArrow" else self
+
+    docs = Captured()
+    S.covered_windows(docs, 13, 84, 128)
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(1000 * i, 1000 * i + 1000)), pa.array([" ".join(rng.choice(words, 400)) for _ in range(1000)])], ["doc_id", "text"]) for i in range(6)]
+    list(docs.scan(iter(batches[:1])))  # powers that stay
+    tracemalloc.start()
+    try:
+        windows = sum(len(S.P.unpack(b.as_py(), np.uint64)[0]) for out in docs.scan(iter(batches)) for b in out.column("blob"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert windows > 6000 * 380
+    assert peak < 90 << 20, peak
