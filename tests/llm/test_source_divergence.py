@@ -117,7 +117,7 @@ def test_rows_of_a_share_hold_its_counts_and_document_frequencies(monkeypatch):
 def test_small_shares_change_nothing(spark, rows):
     import pyarrow as pa
 
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(text, '') text", "coalesce(lang, '') lang", "1L gid").coalesce(1)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(text, '') text", "coalesce(lang, '') lang", "xxhash64(coalesce(lang, '')) gid").coalesce(1)
     share = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
     total = [sum(len(r["terms"]) for s in parts for b in D._share_rows(s, 3) for r in b.to_pylist() if r["gid"] is None and r["weight"] == 0)
              for parts in ([share], [share.slice(i, 9) for i in range(0, len(share), 9)])]
